@@ -28,7 +28,7 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, compression: str = "lz4_raw") -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
