@@ -17,19 +17,32 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import column, fresh_path, nonempty
 
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 800_000
 CHARS_AT_ONCE = 1 << 21
 #: A space between two characters that are no white space always begins a pre-token of the byte-level pattern.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-ODD_SPACE = re.compile(r"\s | \s|^ | $")
+#: White space but for the space and the line feed, and the character that marks units here.
+OTHER_SPACE = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+class Places(dict):
+    """Numbers units as they are first asked for, and keeps the new ones in order."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        self[unit] = at = len(self)
+        return at
 
 
 class UnitEncoder:
     """Encodes texts with a tokenizers file, each distinct space-separated unit once while it is kept.
 
-    A text is cut only at spaces where the pre-tokenizer always cuts, so the joined ids are those of the whole text. New
-    units are encoded in one call, with the file's own special token between them as a mark; units that hold the special
-    token themselves are encoded one by one.
+    A text is cut only where the pre-tokenizer always cuts, so the joined ids are those of the whole text. New units are
+    encoded in one call, with the file's own special token between them as a mark; if one holds the special token itself,
+    they are encoded one by one.
     """
 
     def __init__(self, path: str):
@@ -41,8 +54,9 @@ class UnitEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place = Places()
         self.parts: list[np.ndarray] = []
+        self.starts = self.sizes = np.zeros(0, dtype=np.int64)
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, where each text's ids begin, one more entry than texts) for blocks of texts in order."""
@@ -56,18 +70,31 @@ class UnitEncoder:
         if block:
             yield self._encode(block)
 
+    @staticmethod
+    def units(text: str) -> list[str]:
+        """Pieces of a text; one that begins with \\0 stands as it is behind that mark, the others have a space before them."""
+        if OTHER_SPACE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n":
+            if "\0" in text:
+                return ["\0" + text]
+            own = CUT.split(text)
+            own[0] = "\0" + own[0]
+            return own
+        # Single spaces and line feeds only: a line feed is a pre-token of its own, and what follows it has no space.
+        return ("\0" + text.replace("\n", " \0\n \0")).split(" ")
+
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.place) > CACHE_UNITS:
             self._reset()
         units: list[str] = []
         counts = []
         for text in texts:
-            own = CUT.split(text) if ODD_SPACE.search(text) else text.split(" ")
-            own[0] = "\x00" + own[0]  # the one unit without a space before it
+            own = self.units(text)
             units += own
             counts.append(len(own))
-        self._learn([u for u in dict.fromkeys(units) if u not in self.place])
         index = np.fromiter(map(self.place.__getitem__, units), dtype=np.int64, count=len(units))
+        if self.place.new:
+            self._learn(self.place.new)
+            self.place.new = []
         flat = np.concatenate(self.parts)
         self.parts = [flat]
         starts, sizes = self.starts[index], self.sizes[index]
@@ -76,15 +103,12 @@ class UnitEncoder:
         return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
 
     def _learn(self, new: list[str]) -> None:
-        have = len(self.place)
-        if not have:
-            self.starts = self.sizes = np.zeros(0, dtype=np.int64)
-        texts = [u[1:] if u[0] == "\x00" else " " + u for u in new]
+        texts = [u[1:] if u[:1] == "\0" else " " + u for u in new]
         if any(self.mark in t for t in texts) or len(new) < 2:
-            got = [np.array(e.ids, dtype=np.int64) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            flat, sizes = np.concatenate([np.zeros(0, dtype=np.int64), *got]), np.array([len(g) for g in got], dtype=np.int64)
+            got = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            flat, sizes = np.concatenate([np.zeros(0, dtype=np.int32), *got]), np.array([len(g) for g in got], dtype=np.int64)
         else:
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, dtype=np.int32)
             marks = np.flatnonzero(ids == self.mark_id)
             sizes = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
             flat = np.delete(ids, marks)
@@ -92,7 +116,6 @@ class UnitEncoder:
         self.parts.append(flat)
         self.starts = np.concatenate([self.starts, at + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.place.update((u, have + i) for i, u in enumerate(new))
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -143,16 +166,21 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str, id_col: str = "
     )
 
 
-def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids, stripe by stripe from the files.
+def with_start(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Replaces block and local_start of rows by start: the ids of all documents before.
 
-    Starts come from one sum for each block: a window over as many rows as there are files.
+    One sum for each block, so one row for each file; the driver lists the files anyway, which bounds what is broadcast.
     """
-    stored = spark.read.orc(path)
     blocks = stored.groupBy("block").agg(F.sum("n_tokens").alias("total"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     base = blocks.select("block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    return stored.join(base, "block").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    start = (F.col("base") + F.col("local_start")).alias("start")
+    return rows.join(F.broadcast(base), "block").select("doc_id", start, *[c for c in rows.columns if c not in ("doc_id", "block", "local_start")])
+
+
+def read_token_orc(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids, stripe by stripe from the files. ids don't shuffle."""
+    return with_start(spark.read.orc(path), spark.read.orc(path))
 
 
 def lookup_tokens(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
@@ -160,23 +188,25 @@ def lookup_tokens(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
     return spark.read.orc(path).where(F.col("doc_id").isin(doc_ids)).select("doc_id", "n_tokens", "ids")
 
 
-def token_checksums(tokens: DataFrame) -> DataFrame:
-    """Adds ids_crc32: unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
+def token_checksums(stored: DataFrame) -> DataFrame:
+    """The stored rows with ids_crc32 (unsigned crc32 of the ids as little-endian unsigned 32-bit integers) for ids. Narrow."""
+    carry = ["doc_id", "block", "local_start", "n_tokens"]
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
-            lists = batch.column(3)
+            lists = batch.column(4)
             offsets = lists.offsets.to_numpy()
             raw = memoryview(lists.values.to_numpy().astype("<u4").tobytes())
             sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(sums, pa.int64())], [*carry, "ids_crc32"])
 
-    source = tokens.select("doc_id", "start", "n_tokens", "ids")
-    return source.mapInArrow(check, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    source = stored.select(*carry, "ids")
+    return source.mapInArrow(check, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, block int, local_start long, n_tokens long, ids_crc32 long")
 
 
 def token_orc_roundtrip(docs: DataFrame, vocabulary: str, path: str | None = None, **options) -> DataFrame:
     """Writes the files (to the shared folder if no path is given), reads them back and returns a digest for each document."""
     path = path or fresh_path(docs.sparkSession, "token-orc")
     write_token_orc(docs, path, vocabulary, **options)
-    return token_checksums(read_token_orc(docs.sparkSession, path))
+    stored = docs.sparkSession.read.orc(path)
+    return with_start(token_checksums(stored), stored)
