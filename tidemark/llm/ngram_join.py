@@ -105,9 +105,8 @@ class Bits:
     """A fixed-size filter of 64-bit hashes: lets through all that are in it and some that are not."""
 
     def __init__(self, spark: SparkSession, hashes: DataFrame):
-        value = F.col(hashes.columns[0])
-        bit = value.bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-        words = hashes.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+        bits = hashes.select((F.col(hashes.columns[0]).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))).alias("bit"))
+        words = bits.groupBy(F.expr("shiftright(bit, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 AS int)))").alias("bits"))
         got = words.toArrow()  # 2 ** (FILTER_BITS - 6) rows at most
         table = np.zeros(1 << FILTER_BITS - 6, dtype=np.int64)
         table[got["word"].to_numpy()] = got["bits"].to_numpy()
@@ -262,8 +261,8 @@ def _other_links(num: int, den: int):
     def links(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         members, edges, forest = members.drop_duplicates("node"), [], Forest()
         if len(members) and len(queries):
-            m_node, m_root, q_node, q_root = (x.tolist() for x in (members["node"], members["root"], queries["node"], queries["root"]))
-            for q, m in qualifying_links(_arrays(queries["tokens"]), _arrays(members["tokens"]), num, den):
+            m_node, m_root, q_node, q_root = (x.tolist() for x in (members["node"], members["root"], queries["q_node"], queries["q_root"]))
+            for q, m in qualifying_links(_arrays(queries["q_tokens"]), _arrays(members["tokens"]), num, den):
                 edges += [(q_node[i], m_node[j]) for i, j in zip(q.tolist(), m.tolist(), strict=True) if forest.join(q_root[i], m_root[j])]
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
@@ -343,7 +342,8 @@ def ngram_components(docs: DataFrame, width: int = 4, similarity: tuple[int, int
     opened = placed.join(parts, ["center", "chunk"]).join(sets.select("node", "tokens"), "node").join(roots, "node", "left")
     opened = opened.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("center", "chunk", "part", "node", F.coalesce("root", "node").alias("root"), "tokens")
     keys = ["center", "chunk", "part"]
-    more = opened.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(_other_links(num, den), "a long, b long")
+    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
+    more = opened.groupBy(*keys).cogroup(queries.groupBy(*[f"q_{c}" for c in keys])).applyInPandas(_other_links(num, den), "a long, b long")
     more = materialize(more, "links")
     if more.limit(1).count():
         roots = connected_components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
