@@ -1,9 +1,9 @@
 """Toxicity: a linear support vector machine over Nyström features of a gap-weighted subsequence kernel on strings.
 
-Landmarks are words that mark the toxic rows of the labelled sample. A text's strings (its words, and runs of single letters
-put together) are compared with each landmark by the kernel, which counts common subsequences, gaps and inserted characters
-only lowering their weight; a text's value for a landmark is its best string's. The kernel matrix of the landmarks whitens
-these values into features.
+Landmarks are words or beginnings of words that mark the toxic rows of the labelled sample. A text's strings (its words, and
+runs of single letters put together) are compared with each landmark by the kernel, which counts common subsequences, gaps
+and inserted characters only lowering their weight; a text's values for a landmark are its best string's and the sum over its
+strings against its length. The kernel matrix of the landmarks whitens these values into features.
 """
 
 from __future__ import annotations
@@ -21,13 +21,19 @@ from tidemark.llm.shared import column, nonempty
 
 #: Labelled rows that the model is fitted on, at most: those of least hash.
 MOST_LABELLED = 8_000
-LANDMARKS, CANDIDATES, ALIKE = 40, 600, 0.55
-ORDER, DECAY, WINDOW, GAP = 3, 0.6, 20, 3
+LANDMARKS, CANDIDATES, ALIKE = 40, 2000, 0.5
+STEMS = (4, 7)
+#: Sums over a text's strings are scaled by SUM_SCALE / sqrt(strings + SUM_WORDS).
+SUM_SCALE, SUM_WORDS = 5.0, 20
+#: A landmark's log-likelihood ratio against chance, and toxic rows that hold it, at least.
+TELLING, ROWS = 27.0, 5
+ORDER, DECAY, POWER, WINDOW, GAP = 4, 0.8, 3, 20, 3
 #: A string is compared with a landmark if it holds this share of the landmark's letter pairs in order, within GAP letters.
 GATE = 0.4
 CACHE_WORDS = 1_000_000
 THRESHOLD = 0.3
-SPACED = re.compile(r"(?<!\S)\S(?:\s\S){2,}(?!\S)")
+#: Single letters with one other sign between them.
+SPACED = re.compile(r"(?<!\w)\w(?:\W\w){2,}(?!\w)")
 
 
 class Landmarks:
@@ -54,7 +60,7 @@ class Landmarks:
                 self.pair_of[self.pair_at[int(a) * size + int(b)], i] = 1
         self.need = GATE * self.pair_of.sum(axis=0)
         own = self._codes(marked)
-        self.norm = np.sqrt(kernel(own, own))
+        self.own = kernel(own, own)
 
     def _codes(self, marked: list[str]) -> np.ndarray:
         code = self.code
@@ -64,7 +70,10 @@ class Landmarks:
         return out
 
     def compare(self, words: list[str]) -> np.ndarray:
-        """Normalised kernel values (words x landmarks), 0 where the gate is shut. Longer words count by their best window."""
+        """The POWER-th power of kernel values by the landmark's own (words x landmarks), 1 at most: how well a word holds a landmark.
+
+        A power of a kernel is a kernel; it parts near matches from chance ones. 0 where the gate is shut. Longer words count by their best window.
+        """
         owner, marked = [], []
         for i, w in enumerate(words):
             w = "^" + w
@@ -82,16 +91,16 @@ class Landmarks:
             row, mark = np.nonzero(held @ self.pair_of >= self.need)
             for part in range(0, len(row), 1 << 15):
                 r, m = row[part : part + (1 << 15)], mark[part : part + (1 << 15)]
-                value = kernel(codes[r], self.target[m]) / np.sqrt(np.maximum(kernel(codes[r], codes[r], silent=True), 1e-12)) / self.norm[m]
+                value = np.minimum(kernel(codes[r], self.target[m]) / self.own[m], 1) ** POWER
                 np.maximum.at(out, (np.array(owner[first : first + (1 << 15)])[r], m), value.astype(np.float32))
         return out
 
 
-def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY, silent: bool = False) -> np.ndarray:
+def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """The gap-weighted subsequence kernel of each pair of rows of letter codes.
 
     Sums decay ** (letters spanned in s + letters spanned in t) over common subsequences of `order` letters. Code 0 matches
-    nothing, or with silent any other letter that stands for itself: each place of s with code 0 then matches itself.
+    nothing.
     """
     n, width = t.shape
     used = np.flatnonzero((s != 0).any(axis=0))
@@ -142,10 +151,11 @@ class Reader:
     @staticmethod
     def strings(text: str | None) -> list[str]:
         low = (text or "").lower()
-        return low.split() + ["".join(run.split()) for run in SPACED.findall(low)]
+        return low.split() + [re.sub(r"\W", "", run) for run in SPACED.findall(low)]
 
     def read(self, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), len(self.marks.words)), dtype=np.float32)
+        width = len(self.marks.words)
+        out = np.zeros((len(texts), 2 * width), dtype=np.float32)
         at = 0
         while at < len(texts):
             first, held, block = at, 0, []
@@ -156,10 +166,11 @@ class Reader:
                 self._reset()
             self._learn(list({w for ws in block for w in ws if w not in self.row}))
             for i, ws in enumerate(block):
-                rows = set(map(self.row.__getitem__, ws))
-                rows.discard(0)
+                rows = [r for r in map(self.row.__getitem__, ws) if r]
                 if rows:
-                    out[first + i] = self.values[list(rows)].max(axis=0)
+                    found = self.values[rows]
+                    out[first + i, :width] = found.max(axis=0)
+                    out[first + i, width:] = found.sum(axis=0) * (SUM_SCALE / np.sqrt(len(ws) + SUM_WORDS))
         return out
 
     def _learn(self, words: list[str]) -> None:
@@ -203,7 +214,7 @@ def fold(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int = 60) -> tuple[np.ndarray, float]:
+def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 3e-4, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM by Newton steps; classes weigh the same in sum."""
     sign = np.where(y > 0, 1.0, -1.0)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
@@ -236,15 +247,26 @@ def fit_scale(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def telling(p: np.ndarray, n: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Log-likelihood ratio of being held by p of toxic and n of clean rows against one common rate; 0 if rarer in toxic rows."""
+    rate = (p + n) / (toxic + clean)
+    terms = [np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / (size * rate)), 0) + np.where(size - x > 0, (size - x) * np.log(np.maximum(size - x, 1e-9) / (size * (1 - rate) + 1e-12)), 0) for x, size in ((p, toxic), (n, clean))]
+    return np.where(p / toxic > n / clean, 2 * sum(terms), 0)
+
+
 def choose_landmarks(counts: list[tuple[str, int, int]], toxic: int, clean: int, most: int = LANDMARKS, alike: float = ALIKE) -> list[str]:
-    """Words by how much more often toxic rows hold them (log odds times rows), leaving out those alike to a chosen one."""
-    score = {w: p * np.log((p + 0.5) / (toxic + 1) * (clean + 1) / (n + 0.5)) for w, p, n in counts if p >= 3 and len(w) >= 3}
+    """The most telling strings, longer ones first among equals, leaving out those that hold or are held by a chosen one."""
+    if not counts or not toxic or not clean:
+        return []
+    p, n = (np.array([c[i] for c in counts], dtype=float) for i in (1, 2))
+    worth = telling(p, n, toxic, clean)
     chosen: list[str] = []
-    for w in sorted((w for w in score if score[w] > 6), key=lambda w: (-score[w], w)):
+    for i in sorted(np.flatnonzero((worth > TELLING) & (p >= ROWS)), key=lambda i: (-round(worth[i], 6), -len(counts[i][0]), counts[i][0])):
+        word = counts[i][0]
         if len(chosen) >= most:
             break
-        if not chosen or Landmarks(chosen).compare([w]).max() < alike:
-            chosen.append(w)
+        if not chosen or max(Landmarks(chosen).compare([word]).max(), Landmarks([word]).compare(chosen).max()) < alike:
+            chosen.append(word)
     return chosen
 
 
@@ -259,12 +281,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     known = known.groupBy("label_id_").agg(F.max("label_").cast("int").alias("label_")).where(fold("label_id_") != 2)
     known = known.orderBy(F.xxhash64("label_id_"), "label_id_").limit(most)
     sample = docs.select(F.col(id_col).alias("label_id_"), F.col(text_col).alias("text")).join(F.broadcast(known), "label_id_").select("label_", "text")
-    words = sample.select("label_", F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "\\s+"))).alias("word")).where("word <> ''")
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "\\s+"), lambda w: F.length(w) >= STEMS[0] - 1)
+    stems = F.transform(words, lambda w: F.concat(F.array(w), F.transform(F.sequence(F.lit(STEMS[0]), F.lit(STEMS[1])), lambda k: F.substr(w, F.lit(1), k))))
+    words = sample.select("label_", F.explode(F.array_distinct(F.flatten(stems))).alias("word"))
     tally = words.groupBy("word").agg(F.sum("label_").alias("p"), F.sum(1 - F.col("label_")).alias("n"))
     size = sample.agg(F.coalesce(F.sum("label_"), F.lit(0)), F.count(F.lit(1))).first()
     toxic, clean = size[0], size[1] - size[0]
-    base = ToxicityModel(["^"], np.zeros(1), 0.0, 0.0, float(np.log((toxic + 0.5) / (clean + 0.5))))
-    ranked = tally.where("p >= 3").orderBy(F.desc(F.col("p") * F.log((F.col("p") + 0.5) / (F.col("n") + 0.5))), "word").limit(CANDIDATES)
+    base = ToxicityModel(["^"], np.zeros(2), 0.0, 0.0, float(np.log((toxic + 0.5) / (clean + 0.5))))
+    odds = (F.col("p") + 0.5) / (F.col("n") + 0.5) * F.lit((clean + 1.0) / (toxic + 1.0))
+    ranked = tally.where(F.col("p") >= ROWS).orderBy(F.desc(F.col("p") * F.log(odds)), "word").limit(CANDIDATES)
     chosen = choose_landmarks([tuple(r) for r in ranked.select("word", "p", "n").collect()], toxic, clean)
     if not chosen or not toxic or not clean:
         return base
@@ -273,9 +298,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     y = np.array(rows["label_"].to_pylist())
     order = np.lexsort((*x.T, y))  # the same sum order in every run
     x, y = x[order], y[order]
+    # Every toxic row counts once more as if each of its insults had a letter inserted, which costs one decay.
+    x, y = np.concatenate([x, x[y > 0] * DECAY**POWER]), np.concatenate([y, y[y > 0]])
     gram = Landmarks(chosen).compare(chosen).astype(np.float64)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(chosen)))
-    whiten = vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T
+    whiten = np.kron(np.eye(2), vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T)
     weights, bias = fit_svm(x @ whiten, y)
     weights = whiten @ weights
     slope, offset = fit_scale(x @ weights + bias, y)
