@@ -371,6 +371,19 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
     return source.mapInArrow(decode, f"id {source.schema['id'].dataType.simpleString()}, decoded string").withColumnRenamed("id", id_col)
 
 
+def with_decoded(encoded: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, text and ids with decoded beside them. Narrow."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in nonempty(batches):
+            model = pieces(model_path)
+            texts = [model.decode(row.values.to_numpy()) for row in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "text", "ids", "decoded"])
+
+    source = encoded.select("doc_id", "text", "ids")
+    return source.mapInArrow(decode, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string, ids array<int>, decoded string")
+
+
 def pieces_digest(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and restored: whether decoding gives the text."""
 

@@ -325,6 +325,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     return scored.select(F.col("id").alias(id_col), (fold("id") == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores below threshold, all columns as they are. Narrow: one pass scores and filters."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in nonempty(batches):
+            p = model.probability(_reader(model.landmarks).read(column(batch, text_col)).astype(np.float64))
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
     """Fits on the labelled rows and scores every document."""
     return score_toxicity(docs, fit_toxicity(docs, labels, **names), **{k: v for k, v in names.items() if k != "label_col"})
