@@ -17,32 +17,78 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import column, fresh_path, nonempty
 
-CACHE_UNITS = 800_000
-CHARS_AT_ONCE = 1 << 21
+CACHE_UNITS = 500_000
+CHARS_AT_ONCE = 1 << 20
 #: A space between two characters that are no white space always begins a pre-token of the byte-level pattern.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+SIGNS = ".,;:!?%&*$#)"
 #: White space but for the space and the line feed, and the character that marks units here.
 OTHER_SPACE = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Places(dict):
-    """Numbers units as they are first asked for, and keeps the new ones in order."""
+    """Numbers units as they are first asked for, and keeps the new ones in order.
+
+    Two generations: when this one is full it becomes the old one, from which units that are still asked for come back.
+    """
 
     def __init__(self) -> None:
         self.new: list[str] = []
+        self.old: dict[str, int] = {}
+        self.size = 0
 
     def __missing__(self, unit: str) -> int:
-        self.new.append(unit)
-        self[unit] = at = len(self)
+        at = self.old.get(unit)
+        if at is None:
+            at = self.size
+            self.size = at + 1
+            self.new.append(unit)
+        self[unit] = at
         return at
 
 
+class Store:
+    """Ids of strings, numbered by Places, as one flat array."""
+
+    def __init__(self) -> None:
+        self.place = Places()
+        self.parts: list[np.ndarray] = [np.zeros(0, dtype=np.int32)]
+        self.starts = self.sizes = np.zeros(0, dtype=np.int64)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """The ids of the new strings, in their order."""
+        at = sum(len(p) for p in self.parts)
+        self.parts.append(flat)
+        self.starts = np.concatenate([self.starts, at + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.place.new = []
+
+    def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of strings one after the other, and how many each has."""
+        if len(self.parts) > 1:
+            self.parts = [np.concatenate(self.parts)]
+        sizes = self.sizes[index]
+        ends = np.cumsum(sizes)
+        return self.parts[0][np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+
+    def turn(self) -> None:
+        """The generation becomes the old one, once it is full; what was in the old one alone goes."""
+        if len(self.place) <= CACHE_UNITS:
+            return
+        held = np.fromiter(self.place.values(), dtype=np.int64, count=len(self.place))
+        flat, self.sizes = self.gather(held)
+        self.parts, self.starts = [flat], np.cumsum(self.sizes) - self.sizes
+        place = Places()
+        place.old, place.size = dict(zip(self.place, range(len(held)), strict=True)), len(held)
+        self.place = place
+
+
 class UnitEncoder:
-    """Encodes texts with a tokenizers file, each distinct space-separated unit once while it is kept.
+    """Encodes texts with a tokenizers file, each distinct piece once while it is kept.
 
-    A text is cut only where the pre-tokenizer always cuts, so the joined ids are those of the whole text. New units are
-    encoded in one call, with the file's own special token between them as a mark; if one holds the special token itself,
-    they are encoded one by one.
+    A text is cut into units, and a unit into a word and the signs behind it, only where the pre-tokenizer always cuts, so the
+    joined ids are those of the whole text. New pieces are encoded in one call with line feeds between them; those with inner
+    white space or the special token one by one.
     """
 
     def __init__(self, path: str):
@@ -50,13 +96,9 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder()
-        self.mark_id, self.mark = next((i, t.content) for i, t in sorted(added.items()) if t.special)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.place = Places()
-        self.parts: list[np.ndarray] = []
-        self.starts = self.sizes = np.zeros(0, dtype=np.int64)
+        self.mark = next(t.content for _, t in sorted(added.items()) if t.special)
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        self.units, self.pieces = Store(), Store()
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, where each text's ids begin, one more entry than texts) for blocks of texts in order."""
@@ -71,8 +113,8 @@ class UnitEncoder:
             yield self._encode(block)
 
     @staticmethod
-    def units(text: str) -> list[str]:
-        """Pieces of a text; one that begins with \\0 stands as it is behind that mark, the others have a space before them."""
+    def cut(text: str) -> list[str]:
+        """Units of a text; one that begins with \\0 stands as it is behind that mark, the others have a space before them."""
         if OTHER_SPACE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n":
             if "\0" in text:
                 return ["\0" + text]
@@ -83,39 +125,55 @@ class UnitEncoder:
         return ("\0" + text.replace("\n", " \0\n \0")).split(" ")
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.place) > CACHE_UNITS:
-            self._reset()
+        self.units.turn()
         units: list[str] = []
         counts = []
         for text in texts:
-            own = self.units(text)
+            own = self.cut(text)
             units += own
             counts.append(len(own))
-        index = np.fromiter(map(self.place.__getitem__, units), dtype=np.int64, count=len(units))
-        if self.place.new:
-            self._learn(self.place.new)
-            self.place.new = []
-        flat = np.concatenate(self.parts)
-        self.parts = [flat]
-        starts, sizes = self.starts[index], self.sizes[index]
-        ends = np.cumsum(sizes)
-        ids = flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        index = np.fromiter(map(self.units.place.__getitem__, units), dtype=np.int64, count=len(units))
+        if self.units.place.new:
+            self._learn(self.units.place.new)
+        ids, sizes = self.units.gather(index)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
 
     def _learn(self, new: list[str]) -> None:
-        texts = [u[1:] if u[:1] == "\0" else " " + u for u in new]
-        if any(self.mark in t for t in texts) or len(new) < 2:
-            got = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            flat, sizes = np.concatenate([np.zeros(0, dtype=np.int32), *got]), np.array([len(g) for g in got], dtype=np.int64)
+        self.pieces.turn()
+        place, pairs = self.pieces.place, []
+        for unit in new:
+            text = unit[1:] if unit[:1] == "\0" else " " + unit
+            word = text.rstrip(SIGNS)
+            if word[-1:].isalpha():  # a letter and a sign never share a pre-token
+                pairs += (place[word], place[text[len(word) :]])
+            else:
+                pairs += (place[text], place[""])
+        if place.new:
+            self._encode_pieces(place.new)
+        flat, sizes = self.pieces.gather(np.array(pairs, dtype=np.int64))
+        self.units.add(flat, sizes.reshape(-1, 2).sum(axis=1))
+
+    def _encode_pieces(self, new: list[str]) -> None:
+        inner = [i for i, t in enumerate(new) if "\n" in t or not t or t[-1] == " "] if "\n" in "".join(new) or "" in new or " " in new else []
+        joined = "\n".join(new)
+        if not inner and self.mark not in joined and not OTHER_SPACE.search(joined):
+            flat, sizes = self._joined(joined)
         else:
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(texts)], add_special_tokens=False)[0].ids, dtype=np.int32)
-            marks = np.flatnonzero(ids == self.mark_id)
-            sizes = np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
-            flat = np.delete(ids, marks)
-        at = sum(len(p) for p in self.parts)
-        self.parts.append(flat)
-        self.starts = np.concatenate([self.starts, at + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
+            apart = {i for i, t in enumerate(new) if not t or t[-1] == " " or "\n" in t or self.mark in t or OTHER_SPACE.search(t)}
+            flat, sizes = self._joined("\n".join(t for i, t in enumerate(new) if i not in apart)) if len(apart) < len(new) else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
+            if apart:
+                odd = sorted(apart)
+                got = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast([new[i] for i in odd], add_special_tokens=False)]
+                order = np.array([i for i in range(len(new)) if i not in apart] + odd)
+                whole = Store()
+                whole.add(np.concatenate([flat, *got]), np.concatenate([sizes, [len(g) for g in got]]).astype(np.int64))
+                flat, sizes = whole.gather(np.argsort(order))
+        self.pieces.add(flat, sizes)
+
+    def _joined(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
+        breaks = np.flatnonzero(ids == self.feed)
+        return np.delete(ids, breaks), np.diff(np.concatenate([[-1], breaks, [len(ids)]])) - 1
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -152,11 +210,11 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str, id_col: str = "
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    ordered = source.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     encoded = ordered.mapInArrow(encode, f"doc_id {kind}, local_start long, n_tokens long, ids array<int>")
     (
         encoded.withColumn("block", F.spark_partition_id())
-        .write.option("compression", "zstd")
+        .write.option("compression", "lz4")
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
