@@ -9,8 +9,9 @@ The join is exact and never forms the pairs of a group of copies:
 3. Groups: nodes that share signatures are partitioned into groups of similar documents (by the least node they meet, cut to a
    bounded number of shingles). A group's rows of the token-group matrix are the unions of its members' shingles, in subgroups.
 4. A query's overlap with a union bounds its overlap with every member. Only qualifying subgroups are opened and their members
-   verified exactly. First each group queries itself; then nodes query the groups of other components that share a signature
-   with them, so members of one component are not compared again.
+   verified exactly. First each group queries itself. Of the nodes that still share a signature with another component, those go
+   that the coarsest row of the matrix, the union of all others, rules out. The rest is grouped by connected signatures, and the
+   nodes outside a group's main component query its tiles, so members of the main component are not compared again.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from tidemark.llm.shared import column, drop_table, hash_shingles, hash_words, m
 
 #: Fixed size of the filter of possible signatures and nodes; when it fills up it only lets more rows through.
 FILTER_BITS = 25
-GROUP_MEMBERS, GROUP_SHINGLES, SUBGROUP, QUERY_BLOCK = 64, 1 << 18, 8, 256
+GROUP_MEMBERS, GROUP_SHINGLES, SUBGROUP, QUERY_BLOCK = 256, 1 << 17, 8, 256
 
 
 def shingle_sets(block: list[bytes], width: int) -> list[np.ndarray]:
@@ -296,6 +297,28 @@ def connected_components(edges: DataFrame) -> DataFrame:
         drop_table(spark, before)
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows (sig, node, root) of signatures that several roots share."""
+    several = rows.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
+    return rows.join(several, "sig").select("sig", "node", "root")
+
+
+def _hopeful(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Nodes of (node, tokens) that the union of all other sets does not rule out: num/den of their shingles are in another set too."""
+    twice = sets.select("node", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
+    in_two = Bits(sets.sparkSession, twice)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in nonempty(batches):
+            lists = batch.column(1)
+            held = np.concatenate([[0], np.cumsum(in_two.has(lists.values.to_numpy()))])
+            ends = lists.offsets.to_numpy()
+            common, size = held[ends[1:]] - held[ends[:-1]], np.diff(ends)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(den * common >= num * size))], ["node"])
+
+    return sets.mapInArrow(emit, "node long")
+
+
 def ngram_components(docs: DataFrame, width: int = 4, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Connected components of the documents whose shingle sets have Jaccard similarity num/den or more.
 
@@ -331,17 +354,27 @@ def ngram_components(docs: DataFrame, width: int = 4, similarity: tuple[int, int
 
     # What is left: signatures that nodes of several components share.
     rooted = shared.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("sig")
-    left = materialize(rooted.join(mixed, "sig").join(placed, "node").select("sig", "node", "root", "center", "chunk").distinct(), "left")
-    targets = left.select("sig", "center", "chunk", F.col("root").alias("other")).distinct()
-    asked = left.select("sig", "node", "root").join(targets, "sig").where("root > other").select("center", "chunk", "node", "root").distinct()
-    asked = materialize(asked, "asked")
-    parts = asked.groupBy("center", "chunk").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("parts"))
-    queries = asked.join(parts, ["center", "chunk"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    queries = queries.join(sets.select("node", "tokens"), "node").select("center", "chunk", "part", "node", "root", "tokens")
-    opened = placed.join(parts, ["center", "chunk"]).join(sets.select("node", "tokens"), "node").join(roots, "node", "left")
-    opened = opened.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("center", "chunk", "part", "node", F.coalesce("root", "node").alias("root"), "tokens")
-    keys = ["center", "chunk", "part"]
+    left = materialize(_mixed(rooted), "left")
+    hopeful = _hopeful(sets.select("node", "tokens").join(left.select("node").distinct(), "node", "left_semi"), num, den)
+    left = materialize(_mixed(left.join(materialize(hopeful, "hopeful"), "node", "left_semi")), "left")
+    met = left.groupBy("sig").agg(F.min("root").alias("least"))
+    clumps = connected_components(left.join(met, "sig").where("root > least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
+    named = left.select("node", "root").distinct().join(clumps.select(F.col("node").alias("root"), F.col("root").alias("clump")), "root", "left")
+    named = materialize(named.select("node", "root", F.coalesce("clump", "root").alias("clump")), "clumps")
+    members = named.join(sets.select("node", "tokens"), "node")
+    by_root = members.groupBy("clump", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("held"))
+    shape = by_root.groupBy("clump").agg(
+        F.max_by("root", F.struct("n", "root")).alias("main"),
+        F.greatest(F.ceil(F.sum("n") / GROUP_MEMBERS), F.ceil(F.sum("held") / GROUP_SHINGLES)).alias("tiles"),
+        F.ceil(F.sum("n") / QUERY_BLOCK).alias("parts"),
+    )
+    shape = materialize(shape, "clump-shapes")
+    placed_in = members.join(shape, "clump").withColumns({"tile": F.pmod(F.xxhash64("node"), "tiles"), "part": F.pmod(F.xxhash64("node", F.lit(1)), "parts")})
+    asking = placed_in.where(F.col("root") != F.col("main"))
+    blocks_asking = asking.select("clump", "part").distinct()
+    queries = asking.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("clump", "tile", "part", "node", "root", "tokens")
+    opened = placed_in.select("clump", "tile", "node", "root", "tokens").join(blocks_asking, "clump").select("clump", "tile", "part", "node", "root", "tokens")
+    keys = ["clump", "tile", "part"]
     queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
     more = opened.groupBy(*keys).cogroup(queries.groupBy(*[f"q_{c}" for c in keys])).applyInPandas(_other_links(num, den), "a long, b long")
     more = materialize(more, "links")
