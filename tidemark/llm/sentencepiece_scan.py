@@ -27,7 +27,7 @@ from tidemark.llm.shared import column, materialize, nonempty
 
 SPACE = "\u2581"
 CHUNK = 1 << 15
-CACHE_UNITS = 600_000
+CACHE_UNITS = 250_000
 NEVER = -np.inf
 
 
@@ -93,8 +93,8 @@ class Pieces:
                 self.id[text], self.score[text] = i, piece[2]
                 self.bytes.append(text.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.id))
-        self.merged = lru_cache(1 << 18)(self._merged)
-        self.compatible = lru_cache(1 << 20)(self._compatible)
+        self.merged = lru_cache(1 << 16)(self._merged)
+        self.compatible = lru_cache(1 << 18)(self._compatible)
 
     def _merged(self, text: str) -> tuple[str, ...]:
         """The pieces of a short text: of the neighbours whose joint text is a piece, the best scored (leftmost of equals) merge first."""
@@ -170,7 +170,8 @@ class UnitCache:
     """Ids of the stretches between places where no piece can cross: a mark that follows another character begins one."""
 
     def __init__(self, model: Pieces):
-        self.model, self.ids = model, {}
+        self.model = model
+        self.ids: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
         # The first unit is empty unless text begins in the middle of a word; runs of marks stay together with their word.
@@ -187,15 +188,14 @@ class UnitCache:
         known = self.ids
         if len(known) > CACHE_UNITS:
             known.clear()
-        model, out = self.model, []
-        if units[0]:
-            out += model.ids(model.trace(units[0]))
+        model = self.model
+        out = [np.array(model.ids(model.trace(units[0])), dtype=np.int32).tobytes()] if units[0] else []
         for u in units[1:]:
             got = known.get(u)
             if got is None:
-                got = known[u] = model.ids(model.trace(SPACE + u))
-            out += got
-        return np.array(out, dtype=np.int32)
+                got = known[u] = np.array(model.ids(model.trace(SPACE + u)), dtype=np.int32).tobytes()
+            out.append(got)
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
 
 _caches: dict[str, UnitCache] = {}
