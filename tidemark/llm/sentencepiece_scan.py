@@ -7,7 +7,8 @@ this is a max-plus path problem, and any stretch of text between two piece bound
 A giant text is cut into chunks of equal length, wherever that falls. For a chunk, the boundary state is how far the piece that
 crosses its edge reaches over it. Its transfer matrix holds, for each state at its beginning and each at its end, the weight of
 the path between and the path's first and last piece; matrices of neighbours combine in max-plus, adding the compatibility of
-the pieces that meet. The combined scan fixes each chunk's states, and then every chunk is encoded by itself.
+the pieces that meet. The combined scan fixes each chunk's states, and then every chunk is encoded by itself, word by word:
+a space mark that follows another character always begins a piece, so distinct words are encoded once while they are kept.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import column, materialize, nonempty
 
 SPACE = "\u2581"
-CHUNK = 1 << 15
+CHUNK = 1 << 16
+#: Longer stretches are traced along their path, shorter ones merged in place: the same pieces.
+SHORT = 64
 CACHE_UNITS = 250_000
 NEVER = -np.inf
 
@@ -98,16 +102,19 @@ class Pieces:
 
     def _merged(self, text: str) -> tuple[str, ...]:
         """The pieces of a short text: of the neighbours whose joint text is a piece, the best scored (leftmost of equals) merge first."""
-        parts, score = list(text), self.score
-        while len(parts) > 1:
-            best, at = NEVER, -1
-            for i in range(len(parts) - 1):
-                s = score.get(parts[i] + parts[i + 1])
-                if s is not None and s > best:
-                    best, at = s, i
-            if at < 0:
+        parts, find = list(text), self.score.get
+        scores = [find(a + b, NEVER) for a, b in pairwise(parts)]
+        while scores:
+            best = max(scores)
+            if best == NEVER:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = find(parts[i - 1] + parts[i], NEVER)
+            if i < len(scores):
+                scores[i] = find(parts[i] + parts[i + 1], NEVER)
         return tuple(parts)
 
     def _compatible(self, left: str, right: str) -> bool:
@@ -132,6 +139,8 @@ class Pieces:
 
     def trace(self, text: str) -> list[str]:
         """The pieces of a stretch that stands alone."""
+        if len(text) <= SHORT:
+            return list(self._merged(text))
         last, out, at = self.paths(text), [], len(text)
         while at:
             out.append(last[at])
