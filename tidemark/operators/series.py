@@ -60,10 +60,8 @@ def seasonal_context(series: DataFrame, keys: list[str], value: str = "new_works
 def dormancy(series: DataFrame, keys: list[str], value: str = "new_works") -> DataFrame:
     """Quarters without works right before each one, and the awakening: value * max(streak, 1) where value is positive."""
     w = ordered(keys, "q_idx")
-    busy = F.max(F.when(F.col(value) > 0, F.row_number().over(w)))
     placed = series.withColumn("row_", F.row_number().over(w))
     last = F.max(F.when(F.col(value) > 0, F.col("row_"))).over(so_far(keys, "q_idx", -1))
-    del busy
     streak = placed.withColumn("streak", F.col("row_") - 1 - F.coalesce(last, F.lit(0))).drop("row_")
     return streak.withColumn("awakening", F.when(F.col(value) > 0, F.col(value) * F.greatest("streak", F.lit(1))).otherwise(0))
 
