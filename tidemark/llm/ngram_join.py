@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import column, drop_table, hash_shingles, hash_words, materialize, mix, nonempty, text_blocks
+from tidemark.llm.shared import column, drop_table, hash_shingles, hash_words, materialize, mix, nonempty, release, text_blocks
 
 #: Fixed size of the filter of possible signatures and nodes; when it fills up it only lets more rows through.
 FILTER_BITS = 25
-GROUP_MEMBERS, GROUP_SHINGLES, SUBGROUP, QUERY_BLOCK = 256, 1 << 17, 8, 256
+GROUP_MEMBERS, GROUP_SHINGLES, SUBGROUP, QUERY_BLOCK = 256, 1 << 17, 8, 512
 
 
 def shingle_sets(block: list[bytes], width: int) -> list[np.ndarray]:
@@ -340,6 +340,8 @@ def ngram_components(docs: DataFrame, width: int = 4, similarity: tuple[int, int
     blocks = materialize(blocks.where("lo < hi").select("sig", "lo"), "blocks")
     shared = _signature_rows(texts, width, num, den, Bits(spark, blocks.select("sig"))).join(blocks, "sig")
     shared = materialize(shared, "shared")
+    drop_table(spark, blocks)
+    release(spark)
 
     centers = shared.groupBy("node").agg(F.min("lo").alias("center"))
     sets = _set_rows(texts, width, Bits(spark, shared.select("node"))).dropDuplicates(["node"]).join(centers, "node")
@@ -351,10 +353,12 @@ def ngram_components(docs: DataFrame, width: int = 4, similarity: tuple[int, int
     grouped = with_center.join(sets.select("node", "tokens"), "node")
     edges = materialize(grouped.groupBy("center", "chunk").applyInPandas(_own_links(num, den), "a long, b long"), "links")
     roots = connected_components(edges)
+    release(spark)
 
     # What is left: signatures that nodes of several components share.
     rooted = shared.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     left = materialize(_mixed(rooted), "left")
+    drop_table(spark, shared)
     hopeful = _hopeful(sets.select("node", "tokens").join(left.select("node").distinct(), "node", "left_semi"), num, den)
     left = materialize(_mixed(left.join(materialize(hopeful, "hopeful"), "node", "left_semi")), "left")
     met = left.groupBy("sig").agg(F.min("root").alias("least"))
@@ -366,9 +370,10 @@ def ngram_components(docs: DataFrame, width: int = 4, similarity: tuple[int, int
     shape = by_root.groupBy("clump").agg(
         F.max_by("root", F.struct("n", "root")).alias("main"),
         F.greatest(F.ceil(F.sum("n") / GROUP_MEMBERS), F.ceil(F.sum("held") / GROUP_SHINGLES)).alias("tiles"),
-        F.ceil(F.sum("n") / QUERY_BLOCK).alias("parts"),
+        (F.sum("n") - F.max("n")).alias("asking"),
     )
-    shape = materialize(shape, "clump-shapes")
+    shape = materialize(shape.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("asking") / QUERY_BLOCK))), "clump-shapes")
+    release(spark)
     placed_in = members.join(shape, "clump").withColumns({"tile": F.pmod(F.xxhash64("node"), "tiles"), "part": F.pmod(F.xxhash64("node", F.lit(1)), "parts")})
     asking = placed_in.where(F.col("root") != F.col("main"))
     blocks_asking = asking.select("clump", "part").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -47,6 +48,12 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now; they otherwise stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unit_noise(*cols: Column, seed: int) -> Column:
     """Uniform in (0, 1), the same in every run: 52 bits of a hash of the columns."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 12)
