@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.ngram_join import Bits
-from tidemark.llm.shared import column, hash_words, materialize, mix, nonempty, text_blocks
+from tidemark.llm.shared import column, drop_table, hash_words, materialize, mix, nonempty, release, text_blocks
 
 #: Lines of fewer words repeat others only exactly: one word is too much of them.
 MIN_WORDS = 10
@@ -193,6 +193,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words = _words_of(docs, text_col, Bits(spark, near), min_words).dropDuplicates(["line_id"])
     near = words.join(near, "line_id").join(where, "line_id").select("line_id", "first.doc_id", "first.line_no", "words")
     near = materialize(near, "line-words")
+    release(spark)
 
     rows = _variant_rows(near)
     earliest = [F.min(F.when(F.col("kind") == k, F.struct("doc_id", "line_no", "line_id"))).alias(f"e{k}") for k in (0, 1, 2)]
@@ -203,7 +204,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = pairs.select("line_id", F.col("other.line_id").alias("other_id")).distinct()
     pairs = pairs.join(near, "line_id").join(near.select(F.col("line_id").alias("other_id"), F.col("words").alias("other_words")), "other_id")
     # A line's own first occurrence goes; its later ones are exact repeats.
-    return exact.union(_verified(pairs)).distinct()
+    repeated = materialize(exact.union(_verified(pairs)).distinct(), "line-repeats")
+    for table in (places, first, near):
+        drop_table(spark, table)
+    release(spark)
+    return repeated
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
