@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import column, materialize, nonempty
+from tidemark.llm.shared import column, held, materialize, nonempty
 
 SPACE = "\u2581"
 CHUNK = 1 << 16
@@ -161,15 +161,6 @@ class Pieces:
         return text[1:] if text[:1] == " " else text
 
 
-_pieces: dict[str, Pieces] = {}
-
-
-def pieces(path: str) -> Pieces:
-    if path not in _pieces:
-        _pieces[path] = Pieces(path)
-    return _pieces[path]
-
-
 def prepared(text: str | None) -> str:
     """What the model encodes: a space in front of a text that is not empty, and spaces as its own mark."""
     return SPACE + text.replace(" ", SPACE) if text else ""
@@ -207,13 +198,13 @@ class UnitCache:
         return np.frombuffer(b"".join(out), dtype=np.int32)
 
 
-_caches: dict[str, UnitCache] = {}
+def _cache(path: str) -> UnitCache:
+    """One for each worker process and model; it holds the model too."""
+    return held(("piece cache", path), lambda: UnitCache(Pieces(path)))
 
 
-def _cache(path: str) -> UnitCache:
-    if path not in _caches:
-        _caches[path] = UnitCache(pieces(path))
-    return _caches[path]
+def pieces(path: str) -> Pieces:
+    return _cache(path).model
 
 
 # --- chunks of giant texts -----------------------------------------------------------------------

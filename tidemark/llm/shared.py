@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -145,6 +145,19 @@ def hash_shingles(words: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np
     return mix(shingles), out_bounds
 
 
+_held: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What a worker process keeps between batches and tasks under a key. One thing at a time: a new key drops the last."""
+    if key not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+        _held[key] = make()
+    return _held[key]
+
+
 def column(batch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 

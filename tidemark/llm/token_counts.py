@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import column, nonempty
+from tidemark.llm.shared import column, held, nonempty
 
 NO_RANK = np.int64(1 << 40)
 CACHE_UNITS = 600_000
@@ -174,14 +174,9 @@ class TokenCounter:
             self.units[parts[at][0]] += total
 
 
-_counters: dict[str, TokenCounter] = {}
-
-
 def counter(path: str) -> TokenCounter:
     """One for each worker process and vocabulary."""
-    if path not in _counters:
-        _counters[path] = TokenCounter(path)
-    return _counters[path]
+    return held(("token counter", path), lambda: TokenCounter(path))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:

@@ -12,83 +12,40 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import column, fresh_path, nonempty
+from tidemark.llm.shared import fresh_path, held, nonempty
 
-CACHE_UNITS = 500_000
-CHARS_AT_ONCE = 1 << 20
+#: Units that are kept; when so many are known, later ones are forgotten after their block, and after FORGOTTEN of them all are.
+CACHE_UNITS, FORGOTTEN = 1_000_000, 8_000_000
+BYTES_AT_ONCE = 1 << 22
 #: A space between two characters that are no white space always begins a pre-token of the byte-level pattern.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-SIGNS = ".,;:!?%&*$#)"
+#: Texts that are not words with single spaces or line feeds between them.
+ODD = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$|^$"
 #: White space but for the space and the line feed, and the character that marks units here.
 OTHER_SPACE = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 class Places(dict):
-    """Numbers units as they are first asked for, and keeps the new ones in order.
-
-    Two generations: when this one is full it becomes the old one, from which units that are still asked for come back.
-    """
+    """Numbers units as they are first asked for, and keeps the new ones in order."""
 
     def __init__(self) -> None:
         self.new: list[str] = []
-        self.old: dict[str, int] = {}
-        self.size = 0
 
     def __missing__(self, unit: str) -> int:
-        at = self.old.get(unit)
-        if at is None:
-            at = self.size
-            self.size = at + 1
-            self.new.append(unit)
-        self[unit] = at
+        self.new.append(unit)
+        self[unit] = at = len(self)
         return at
 
 
-class Store:
-    """Ids of strings, numbered by Places, as one flat array."""
-
-    def __init__(self) -> None:
-        self.place = Places()
-        self.parts: list[np.ndarray] = [np.zeros(0, dtype=np.int32)]
-        self.starts = self.sizes = np.zeros(0, dtype=np.int64)
-
-    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
-        """The ids of the new strings, in their order."""
-        at = sum(len(p) for p in self.parts)
-        self.parts.append(flat)
-        self.starts = np.concatenate([self.starts, at + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.place.new = []
-
-    def gather(self, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of strings one after the other, and how many each has."""
-        if len(self.parts) > 1:
-            self.parts = [np.concatenate(self.parts)]
-        sizes = self.sizes[index]
-        ends = np.cumsum(sizes)
-        return self.parts[0][np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
-
-    def turn(self) -> None:
-        """The generation becomes the old one, once it is full; what was in the old one alone goes."""
-        if len(self.place) <= CACHE_UNITS:
-            return
-        held = np.fromiter(self.place.values(), dtype=np.int64, count=len(self.place))
-        flat, self.sizes = self.gather(held)
-        self.parts, self.starts = [flat], np.cumsum(self.sizes) - self.sizes
-        place = Places()
-        place.old, place.size = dict(zip(self.place, range(len(held)), strict=True)), len(held)
-        self.place = place
-
-
 class UnitEncoder:
-    """Encodes texts with a tokenizers file, each distinct piece once while it is kept.
+    """Encodes texts with a tokenizers file, each distinct unit once while it is kept.
 
-    A text is cut into units, and a unit into a word and the signs behind it, only where the pre-tokenizer always cuts, so the
-    joined ids are those of the whole text. New pieces are encoded in one call with line feeds between them; those with inner
-    white space or the special token one by one.
+    A text is cut into units only where the pre-tokenizer always cuts, so the joined ids are those of the whole text. New
+    units are encoded in one call with line feeds between them; those with inner white space or the special token one by one.
     """
 
     def __init__(self, path: str):
@@ -98,77 +55,86 @@ class UnitEncoder:
         added = self.tokenizer.get_added_tokens_decoder()
         self.mark = next(t.content for _, t in sorted(added.items()) if t.special)
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.units, self.pieces = Store(), Store()
-
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(ids, where each text's ids begin, one more entry than texts) for blocks of texts in order."""
-        block, held = [], 0
-        for text in texts:
-            block.append(text or "")
-            held += len(block[-1])
-            if held > CHARS_AT_ONCE:
-                yield self._encode(block)
-                block, held = [], 0
-        if block:
-            yield self._encode(block)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.place = Places()
+        self.flat = np.zeros(0, dtype=np.int32)
+        self.starts = self.sizes = np.zeros(0, dtype=np.int64)
+        self.forgotten = 0
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, where each text's ids begin, one more entry than texts) for blocks of texts in order; null counts as empty."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            done = ends[at - 1] if at else 0
+            n = max(1, int(np.searchsorted(ends, done + BYTES_AT_ONCE)) - at)
+            yield self._encode(texts.slice(at, n))
+            at += n
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        """Units of a text; one that begins with \\0 stands as it is behind that mark, the others have a space before them."""
-        if OTHER_SPACE.search(text) or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[:1] in " \n" or text[-1:] in " \n":
-            if "\0" in text:
-                return ["\0" + text]
-            own = CUT.split(text)
-            own[0] = "\0" + own[0]
-            return own
+        """Units of any text; one that begins with \\0 stands as it is behind that mark, the others have a space before them."""
+        if "\0" in text:
+            return ["\0" + text]
+        own = CUT.split(text)
+        own[0] = "\0" + own[0]
+        return own
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if self.forgotten > FORGOTTEN:
+            self._reset()
+        have = len(self.place)
+        odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
+        mark, nothing = (pa.scalar(x, pa.large_string()) for x in ("\0", ""))
         # Single spaces and line feeds only: a line feed is a pre-token of its own, and what follows it has no space.
-        return ("\0" + text.replace("\n", " \0\n \0")).split(" ")
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        self.units.turn()
-        units: list[str] = []
-        counts = []
-        for text in texts:
-            own = self.cut(text)
-            units += own
-            counts.append(len(own))
-        index = np.fromiter(map(self.units.place.__getitem__, units), dtype=np.int64, count=len(units))
-        if self.units.place.new:
-            self._learn(self.units.place.new)
-        ids, sizes = self.units.gather(index)
-        return ids, np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-
-    def _learn(self, new: list[str]) -> None:
-        self.pieces.turn()
-        place, pairs = self.pieces.place, []
-        for unit in new:
-            text = unit[1:] if unit[:1] == "\0" else " " + unit
-            word = text.rstrip(SIGNS)
-            if word[-1:].isalpha():  # a letter and a sign never share a pre-token
-                pairs += (place[word], place[text[len(word) :]])
-            else:
-                pairs += (place[text], place[""])
-        if place.new:
-            self._encode_pieces(place.new)
-        flat, sizes = self.pieces.gather(np.array(pairs, dtype=np.int64))
-        self.units.add(flat, sizes.reshape(-1, 2).sum(axis=1))
-
-    def _encode_pieces(self, new: list[str]) -> None:
-        inner = [i for i, t in enumerate(new) if "\n" in t or not t or t[-1] == " "] if "\n" in "".join(new) or "" in new or " " in new else []
-        joined = "\n".join(new)
-        if not inner and self.mark not in joined and not OTHER_SPACE.search(joined):
-            flat, sizes = self._joined(joined)
-        else:
-            apart = {i for i, t in enumerate(new) if not t or t[-1] == " " or "\n" in t or self.mark in t or OTHER_SPACE.search(t)}
-            flat, sizes = self._joined("\n".join(t for i, t in enumerate(new) if i not in apart)) if len(apart) < len(new) else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
-            if apart:
-                odd = sorted(apart)
-                got = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast([new[i] for i in odd], add_special_tokens=False)]
-                order = np.array([i for i in range(len(new)) if i not in apart] + odd)
-                whole = Store()
-                whole.add(np.concatenate([flat, *got]), np.concatenate([sizes, [len(g) for g in got]]).astype(np.int64))
-                flat, sizes = whole.gather(np.argsort(order))
-        self.pieces.add(flat, sizes)
+        marked = pc.binary_join_element_wise(mark, pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \0\n \0"), nothing)
+        units = pc.split_pattern(marked, " ")
+        counted = units.values.dictionary_encode()
+        known = np.fromiter(map(self.place.__getitem__, counted.dictionary.to_pylist()), dtype=np.int64, count=len(counted.dictionary))
+        index = known[counted.indices.to_numpy()]
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[~odd] = np.diff(units.offsets.to_numpy())
+        if odd.any():
+            own = {i: [self.place[u] for u in self.cut(texts[i].as_py())] for i in np.flatnonzero(odd).tolist()}
+            for i, places in own.items():
+                counts[i] = len(places)
+            plain, index = index, np.zeros(counts.sum(), dtype=np.int64)
+            index[np.repeat(~odd, counts)] = plain
+            index[np.repeat(odd, counts)] = np.concatenate([np.array(p, dtype=np.int64) for p in own.values()])
+        new, self.place.new = self.place.new, []
+        if new:
+            flat, sizes = self._ids([u[1:] if u[:1] == "\0" else " " + u for u in new])
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+            self.sizes = np.concatenate([self.sizes, sizes])
+            self.flat = np.concatenate([self.flat, flat])
+        sizes = self.sizes[index]
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        if new and have >= CACHE_UNITS:
+            for u in new:
+                del self.place[u]
+            self.flat = self.flat[: self.starts[have]].copy()
+            self.starts, self.sizes = self.starts[:have].copy(), self.sizes[:have].copy()
+            self.forgotten += len(new)
+        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after the other, and how many each has."""
+        joined = "\n".join(texts)
+        if joined.count("\n") == len(texts) - 1 and self.mark not in joined and not OTHER_SPACE.search(joined) and " " not in texts and "" not in texts:
+            return self._joined(joined)
+        apart = [i for i, t in enumerate(texts) if not t or t == " " or "\n" in t or " " in t[1:] or self.mark in t or OTHER_SPACE.search(t)]
+        others = sorted(set(range(len(texts))) - set(apart))
+        flat, sizes = self._joined("\n".join(texts[i] for i in others)) if others else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
+        got = [np.array(e.ids, dtype=np.int32) for e in self.tokenizer.encode_batch_fast([texts[i] for i in apart], add_special_tokens=False)]
+        flat, sizes = np.concatenate([flat, *got]), np.concatenate([sizes, [len(g) for g in got]]).astype(np.int64)
+        back = np.argsort(np.array(others + apart))
+        starts, sizes = (np.cumsum(sizes) - sizes)[back], sizes[back]
+        ends = np.cumsum(sizes)
+        return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
 
     def _joined(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
@@ -176,13 +142,8 @@ class UnitEncoder:
         return np.delete(ids, breaks), np.diff(np.concatenate([[-1], breaks, [len(ids)]])) - 1
 
 
-_encoders: dict[str, UnitEncoder] = {}
-
-
 def encoder(path: str) -> UnitEncoder:
-    if path not in _encoders:
-        _encoders[path] = UnitEncoder(path)
-    return _encoders[path]
+    return held(("unit encoder", path), lambda: UnitEncoder(path))
 
 
 def write_token_orc(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, stripe_mb: int = 32, row_group: int = 1000) -> None:
@@ -197,7 +158,7 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str, id_col: str = "
         before = 0
         for batch in nonempty(batches):
             at = 0
-            for ids, bounds in encoder(vocabulary).encode(column(batch, "text")):
+            for ids, bounds in encoder(vocabulary).encode(batch.column(1)):
                 n = len(bounds) - 1
                 ends = bounds[1:] + np.arange(1, n + 1)
                 out = np.insert(ids, bounds[1:], end_id).astype(np.int32)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import column, nonempty
+from tidemark.llm.shared import column, held, nonempty
 
 #: Labelled rows that the model is fitted on, at most: those of least hash.
 MOST_LABELLED = 8_000
@@ -30,7 +30,7 @@ TELLING, ROWS = 27.0, 5
 ORDER, DECAY, POWER, WINDOW, GAP = 4, 0.8, 3, 20, 3
 #: A string is compared with a landmark if it holds this share of the landmark's letter pairs in order, within GAP letters.
 GATE = 0.4
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 THRESHOLD = 0.3
 #: Single letters with one other sign between them.
 SPACED = re.compile(r"(?<!\w)\w(?:\W\w){2,}(?!\w)")
@@ -184,15 +184,8 @@ class Reader:
         self.row.update(zip(words, rows.tolist(), strict=True))
 
 
-_readers: dict[tuple[str, ...], Reader] = {}
-
-
 def _reader(landmarks: list[str]) -> Reader:
-    key = tuple(landmarks)
-    if key not in _readers:
-        _readers.clear()
-        _readers[key] = Reader(landmarks)
-    return _readers[key]
+    return held(("landmark reader", *landmarks), lambda: Reader(landmarks))
 
 
 def landmark_values(docs: DataFrame, landmarks: list[str], carry: list[str]) -> DataFrame:
