@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.numeric import ratio
 from tidemark.functions.quarters import quarter_index, quarter_label
@@ -105,7 +104,7 @@ def time_periods(df: DataFrame) -> DataFrame:
 
 
 #: Nested raw record of a scholarly work.
-RAW_WORK = T.StructType.fromDDL(
+RAW_WORK = (
     "id string, doi string, display_name string, type string, language string, publication_date string, publication_year int, cited_by_count int, "
     "open_access struct<is_oa: boolean, oa_status: string, oa_url: string>, has_fulltext boolean, "
     "primary_location struct<source: struct<id: string, display_name: string, type: string>>, "
