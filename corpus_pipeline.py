@@ -13,17 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import line_dedup, mixing, ngram_join, sentencepiece_scan, toxicity
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import bounded_batches, materialize
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier predicts to be toxic go; it is fitted on the labelled ones among docs."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.without_toxic(docs, toxicity.fit_toxicity(docs, labels))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line repeats go, and with them documents that had nothing else; n_chars follows the text."""
+    bounded_batches(spark)
     kept = line_dedup.dedup_lines(docs).where("n_dropped = 0 OR n_dropped < n_lines")
     n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.withColumn("n_chars", n_chars).select(*docs.columns)
@@ -31,6 +33,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one of least id stays."""
+    bounded_batches(spark)
     return ngram_join.one_of_each(docs, ngram_join.ngram_components(docs, width=5, similarity=(80, 100)))
 
 
@@ -41,10 +44,10 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, text, ids, n_pieces and whether decoding the ids gives the text."""
+    bounded_batches(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
-    decoded = sentencepiece_scan.with_decoded(sentencepiece_scan.encode_pieces(docs, model), model)
-    restored = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return decoded.select("doc_id", "text", "ids", F.size("ids").cast("long").alias("n_pieces"), restored.alias("restored"))
+    encoded = sentencepiece_scan.encode_pieces(docs, model, restore=True)
+    return encoded.select("doc_id", "text", "ids", F.size("ids").cast("long").alias("n_pieces"), "restored")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import gif_media, line_dedup, mixing, ngram_join, resampling, sentencepiece_scan, token_counts, token_orc, toxicity, vptree
+from tidemark.llm.shared import bounded_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 

@@ -98,7 +98,7 @@ def gumbel_top(scored: DataFrame, fraction: float = FRACTION, seed: int = 42, id
             above += count
         n, low, high = count, a, b
         inside = keyed.where(F.col("gumbel_key").between(low, high))
-    if not n:
+    if not n or keep <= 0:
         return keyed.withColumn("selected", F.lit(False))
     # The rows of the last range: few, or all of one key value.
     place = F.row_number().over(Window.orderBy(F.desc("gumbel_key"), F.col(id_col).asc_nulls_last()))

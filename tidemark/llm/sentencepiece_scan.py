@@ -330,9 +330,11 @@ def _giant_ids(giants: DataFrame, model_path: str, chunk: int) -> DataFrame:
     return whole.select("key", F.flatten(F.col("parts.ids")).alias("ids"))
 
 
-def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, restore: bool = False) -> DataFrame:
     """doc_id, text and ids of every whole text, as the model's own library encodes it; a row for each row of docs.
 
+    restore adds restored: whether decoding the ids gives the text (null: the empty text).
+
     Null and empty texts have no ids. Texts of more than chunk characters go through the scan: each distinct one is cut into
     chunk rows that are encoded in parallel; the matrices of one text, a few numbers and pieces for each chunk, meet in one
     group. Other texts are one chunk and take a narrow pass. model_path: a model of merges with byte fallback.
@@ -342,20 +344,26 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         for batch in nonempty(batches):
             cache, texts, at = _cache(model_path), column(batch, "text"), 0
             while at < len(texts):
-                ids, held, first = [], 0, at
+                ids, same, held, first = [], [], 0, at
                 while at < len(texts) and held < 1 << 21:
                     ids.append(cache.encode(prepared(texts[at])))
+                    if restore:
+                        same.append(cache.model.decode(ids[-1]) == (texts[at] or ""))
                     held, at = held + len(texts[at] or ""), at + 1
                 offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, len(ids)) for c in (0, 1)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))], ["doc_id", "text", "ids"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, len(ids)) for c in (0, 1)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), *([pa.array(same, pa.bool_())] if restore else [])], names)
 
+    names = ["doc_id", "text", "ids", *(["restored"] if restore else [])]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     giant = F.coalesce(F.length("text") > chunk, F.lit(False))
-    small = source.where(~giant).mapInArrow(encode, f"doc_id {kind}, text string, ids array<int>")
+    small = source.where(~giant).mapInArrow(encode, f"doc_id {kind}, text string, ids array<int>" + ", restored boolean" * restore)
     giants = source.where(giant).withColumn("key", F.sha2("text", 256))
     ids = _giant_ids(giants.select("key", "text").dropDuplicates(["key"]), model_path, chunk)
-    return small.union(giants.join(ids, "key").select("doc_id", "text", "ids")).withColumnRenamed("doc_id", id_col)
+    large = giants.join(ids, "key").select("doc_id", "text", "ids")
+    if restore:
+        large = with_decoded(large, model_path).select("doc_id", "text", "ids", (F.col("decoded") == F.col("text")).alias("restored"))
+    return small.union(large).withColumnRenamed("doc_id", id_col)
 
 
 def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

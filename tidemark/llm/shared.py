@@ -54,6 +54,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most so many rows in this session, as they hold whole texts; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def unit_noise(*cols: Column, seed: int) -> Column:
     """Uniform in (0, 1), the same in every run: 52 bits of a hash of the columns."""
     bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 12)

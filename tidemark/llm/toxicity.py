@@ -30,7 +30,7 @@ TELLING, ROWS = 27.0, 5
 ORDER, DECAY, POWER, WINDOW, GAP = 4, 0.8, 3, 20, 3
 #: A string is compared with a landmark if it holds this share of the landmark's letter pairs in order, within GAP letters.
 GATE = 0.4
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 THRESHOLD = 0.3
 #: Single letters with one other sign between them.
 SPACED = re.compile(r"(?<!\w)\w(?:\W\w){2,}(?!\w)")
@@ -81,18 +81,18 @@ class Landmarks:
                 owner.append(i)
                 marked.append(w[at : at + WINDOW])
         out = np.zeros((len(words), len(self.words)), dtype=np.float32)
-        for first in range(0, len(marked), 1 << 15):
-            codes = self._codes(marked[first : first + (1 << 15)])
+        for first in range(0, len(marked), 1 << 13):
+            codes = self._codes(marked[first : first + (1 << 13)])
             held = np.zeros((len(codes), self.pair_of.shape[0]), dtype=np.float32)
             rows = np.arange(len(codes))[:, None]
             for gap in range(1, GAP + 1):
                 held[rows, self.pair_at[codes[:, :-gap].astype(np.int32) * self.size + codes[:, gap:]]] = 1
             held[:, 0] = 0
             row, mark = np.nonzero(held @ self.pair_of >= self.need)
-            for part in range(0, len(row), 1 << 15):
-                r, m = row[part : part + (1 << 15)], mark[part : part + (1 << 15)]
+            for part in range(0, len(row), 1 << 13):
+                r, m = row[part : part + (1 << 13)], mark[part : part + (1 << 13)]
                 value = np.minimum(kernel(codes[r], self.target[m]) / self.own[m], 1) ** POWER
-                np.maximum.at(out, (np.array(owner[first : first + (1 << 15)])[r], m), value.astype(np.float32))
+                np.maximum.at(out, (np.array(owner[first : first + (1 << 13)])[r], m), value.astype(np.float32))
         return out
 
 
@@ -159,7 +159,7 @@ class Reader:
         at = 0
         while at < len(texts):
             first, held, block = at, 0, []
-            while at < len(texts) and held < 1 << 21:
+            while at < len(texts) and held < 1 << 20:
                 block.append(self.strings(texts[at]))
                 held, at = held + len(texts[at] or ""), at + 1
             if len(self.row) > CACHE_WORDS:
