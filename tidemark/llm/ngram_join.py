@@ -6,12 +6,13 @@ The join is exact and never forms the pairs of a group of copies:
 2. Blocking: two sets of similarity t differ in at most k shingles, so of k + 1 + e hash-chosen parts of the shingle universe
    at least e + 1 hold the same shingles in both. A part's content hash is a signature; only nodes that share a signature
    can link. Frequent shingles make no frequent signatures, so there is no shingle whose documents meet all at once.
-3. Groups: nodes that share signatures are partitioned into groups of similar documents (by the least node they meet, cut to a
-   bounded number of shingles). A group's rows of the token-group matrix are the unions of its members' shingles, in subgroups.
+3. The coarsest row of the token-group matrix, the union of all other sets, rules out the nodes that have too many shingles of
+   their own. The others are partitioned into groups of similar documents (by the least node they share a signature with, cut to
+   a bounded number of shingles); a group's rows of the matrix are the unions of its members' shingles, in subgroups.
 4. A query's overlap with a union bounds its overlap with every member. Only qualifying subgroups are opened and their members
-   verified exactly. First each group queries itself. Of the nodes that still share a signature with another component, those go
-   that the coarsest row of the matrix, the union of all others, rules out. The rest is grouped by connected signatures, and the
-   nodes outside a group's main component query its tiles, so members of the main component are not compared again.
+   verified exactly. First each group queries itself. What still shares a signature with another component is grouped by
+   connected signatures, and the nodes outside a group's main component query its tiles, so members of the main component are
+   not compared again.
 """
 
 from __future__ import annotations
@@ -118,22 +119,31 @@ class Bits:
         return (self.table.value[bit >> 6] >> (bit & 63)) & 1 == 1
 
 
-def _each_set(batches: Iterator[pa.RecordBatch], width: int, name: str = "text") -> Iterator[tuple[int, np.ndarray]]:
-    """Each node of a partition once, with its set."""
+def _row_keys(id_hashes: np.ndarray, nodes: list[int | None]) -> np.ndarray:
+    """A hash of each row's id and node; null nodes count as 0."""
+    node = np.array([0 if n is None else n for n in nodes], dtype=np.int64).view(np.uint64)
+    return mix(mix(id_hashes.view(np.uint64)) + node).view(np.int64)
+
+
+def _each_set(batches: Iterator[pa.RecordBatch], width: int, first_rows: Bits) -> Iterator[tuple[int, np.ndarray]]:
+    """Each node with its set, from the row that stands for it, and once for a task where the filter lets others through."""
     seen: set[int] = set()
     for batch in nonempty(batches):
-        for _, block in text_blocks(column(batch, name)):
-            for tokens in shingle_sets(block, width):
-                node = node_of(tokens)
-                if node is not None and node not in seen:
+        id_hashes = batch.column(0).to_numpy()
+        for first, block in text_blocks(column(batch, "text")):
+            sets = shingle_sets(block, width)
+            nodes = [node_of(s) for s in sets]
+            wanted = first_rows.has(_row_keys(id_hashes[first : first + len(block)], nodes))
+            for node, tokens, stands in zip(nodes, sets, wanted.tolist(), strict=True):
+                if stands and node is not None and node not in seen:
                     seen.add(node)
                     yield node, tokens
 
 
-def _signature_rows(texts: DataFrame, width: int, num: int, den: int, wanted: Bits | None = None) -> DataFrame:
+def _signature_rows(texts: DataFrame, width: int, num: int, den: int, first_rows: Bits, wanted: Bits | None = None) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, nodes, held = [], [], 0
-        for node, tokens in _each_set(batches, width):
+        for node, tokens in _each_set(batches, width, first_rows):
             own = signatures(tokens, num, den)
             if wanted is not None:
                 own = own[wanted.has(own)]
@@ -149,10 +159,10 @@ def _signature_rows(texts: DataFrame, width: int, num: int, den: int, wanted: Bi
     return texts.mapInArrow(emit, "sig long, node long")
 
 
-def _set_rows(texts: DataFrame, width: int, wanted: Bits) -> DataFrame:
+def _set_rows(texts: DataFrame, width: int, first_rows: Bits, wanted: Bits) -> DataFrame:
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, sets, held = [], [], 0
-        for node, tokens in _each_set(batches, width):
+        for node, tokens in _each_set(batches, width, first_rows):
             if not wanted.has(np.array([node]))[0]:
                 continue
             nodes.append(node)
@@ -172,7 +182,7 @@ def _set_rows(texts: DataFrame, width: int, wanted: Bits) -> DataFrame:
 
 
 def document_nodes(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles and node (null without words) of each row."""
+    """doc_id, n_shingles, node (null without words) and key (of id and node) of each row."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
@@ -181,10 +191,11 @@ def document_nodes(docs: DataFrame, width: int, id_col: str, text_col: str) -> D
                 sets = shingle_sets(block, width)
                 sizes += [len(s) for s in sets]
                 nodes += [node_of(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], ["doc_id", "n_shingles", "node"])
+            keys = _row_keys(batch.column(1).to_numpy(), nodes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys)], ["doc_id", "n_shingles", "node", "key"])
 
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(emit, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long")
+    source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col).alias("id_hash"), F.col(text_col).alias("text"))
+    return source.mapInArrow(emit, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, key long")
 
 
 # --- the token-group matrix ----------------------------------------------------------------------
@@ -304,7 +315,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _hopeful(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Nodes of (node, tokens) that the union of all other sets does not rule out: num/den of their shingles are in another set too."""
+    """The rows of (node, tokens) that the union of all other sets does not rule out: num/den of their shingles are in another set too."""
     twice = sets.select("node", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
     in_two = Bits(sets.sparkSession, twice)
 
@@ -314,9 +325,9 @@ def _hopeful(sets: DataFrame, num: int, den: int) -> DataFrame:
             held = np.concatenate([[0], np.cumsum(in_two.has(lists.values.to_numpy()))])
             ends = lists.offsets.to_numpy()
             common, size = held[ends[1:]] - held[ends[:-1]], np.diff(ends)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(den * common >= num * size))], ["node"])
+            yield batch.filter(pa.array(den * common >= num * size))
 
-    return sets.mapInArrow(emit, "node long")
+    return sets.select("node", "tokens").mapInArrow(emit, "node long, tokens array<long>")
 
 
 def ngram_components(docs: DataFrame, width: int = 4, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,34 +344,39 @@ def ngram_components(docs: DataFrame, width: int = 4, similarity: tuple[int, int
     spark, (num, den) = docs.sparkSession, similarity
     if not den < 2 * num <= 2 * den:
         raise ValueError("similarity must be above 1/2 and at most 1")
-    texts = docs.select(F.col(text_col).alias("text"))
+    texts = docs.select(F.xxhash64(id_col).alias("id_hash"), F.col(text_col).alias("text"))
     rows = materialize(document_nodes(docs, width, id_col, text_col), "nodes")
+    first_rows = Bits(spark, rows.where("node IS NOT NULL").groupBy("node").agg(F.min_by("key", F.struct("doc_id", "key")).alias("key")).select("key"))
 
-    blocks = _signature_rows(texts, width, num, den).groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    blocks = _signature_rows(texts, width, num, den, first_rows).groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     blocks = materialize(blocks.where("lo < hi").select("sig", "lo"), "blocks")
-    shared = _signature_rows(texts, width, num, den, Bits(spark, blocks.select("sig"))).join(blocks, "sig")
-    shared = materialize(shared, "shared")
+    shared = _signature_rows(texts, width, num, den, first_rows, Bits(spark, blocks.select("sig"))).join(blocks, "sig")
+    shared = materialize(shared.select("sig", "node"), "shared")
     drop_table(spark, blocks)
     release(spark)
 
-    centers = shared.groupBy("node").agg(F.min("lo").alias("center"))
-    sets = _set_rows(texts, width, Bits(spark, shared.select("node"))).dropDuplicates(["node"]).join(centers, "node")
-    sets = materialize(sets, "sets")
-    sizes = sets.groupBy("center").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS), F.ceil(F.sum(F.size("tokens")) / GROUP_SHINGLES)).alias("chunks"))
-    placed = sets.select("node", "center").join(sizes, "center").select("node", "center", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
-    placed = materialize(placed, "placed")
+    near = materialize(_set_rows(texts, width, first_rows, Bits(spark, shared.select("node"))).dropDuplicates(["node"]), "near")
+    sets = materialize(_hopeful(near, num, den), "sets")
+    shared_left = shared.join(sets.select("node"), "node", "left_semi").withColumn("root", F.col("node"))
+    left = materialize(_mixed(shared_left).select("sig", "node"), "shared")
+    for table in (near, shared):
+        drop_table(spark, table)
+    release(spark)
+
+    least = left.groupBy("sig").agg(F.min("node").alias("lo"))
+    centers = materialize(left.join(least, "sig").groupBy("node").agg(F.min("lo").alias("center")), "centers")
+    sized = centers.join(sets.select("node", F.size("tokens").alias("n")), "node")
+    sizes = sized.groupBy("center").agg(F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_MEMBERS), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("chunks"))
+    placed = centers.join(sizes, "center").select("node", "center", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
     with_center = placed.union(placed.select(F.col("center").alias("node"), "center", "chunk").distinct())
-    grouped = with_center.join(sets.select("node", "tokens"), "node")
+    grouped = with_center.join(sets, "node")
     edges = materialize(grouped.groupBy("center", "chunk").applyInPandas(_own_links(num, den), "a long, b long"), "links")
     roots = connected_components(edges)
     release(spark)
 
     # What is left: signatures that nodes of several components share.
-    rooted = shared.select("sig", "node").join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
+    rooted = left.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
     left = materialize(_mixed(rooted), "left")
-    drop_table(spark, shared)
-    hopeful = _hopeful(sets.select("node", "tokens").join(left.select("node").distinct(), "node", "left_semi"), num, den)
-    left = materialize(_mixed(left.join(materialize(hopeful, "hopeful"), "node", "left_semi")), "left")
     met = left.groupBy("sig").agg(F.min("root").alias("least"))
     clumps = connected_components(left.join(met, "sig").where("root > least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
     named = left.select("node", "root").distinct().join(clumps.select(F.col("node").alias("root"), F.col("root").alias("clump")), "root", "left")
