@@ -249,3 +249,30 @@ def alerts_to_field(alerts: DataFrame, fronts: str = "front", min_fronts: int =
         F.sum(F.col("count") - F.col("mu")).alias("excess"), F.min("q_value").alias("min_q"), F.sum("count").alias("total"),
     )
     return a.withColumn("field_alert", (F.col("n_fronts") >= min_fronts) | (F.col("max_ratio") >= min_ratio))
+
+
+def burst_parameter_sweep(series: DataFrame, keys: list[str], lookbacks: list[int], alphas: list[float], value: str = "count") -> DataFrame:
+    """Alerts and alerting groups for each (lookback, alpha). Alphas share the p-values of a lookback; the driver only lists the settings."""
+    out = None
+    for lookback in lookbacks:
+        tested = burst_alerts(series, keys, value, lookback, need=min(8, lookback))
+        grid = tested.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
+        one = grid.groupBy("alpha").agg(F.count_if(F.col("q_value") <= F.col("alpha")).alias("alerts"), F.count_if(F.lit(True)).alias("tests"), F.countDistinct(F.when(F.col("q_value") <= F.col("alpha"), F.struct(*keys))).alias("groups"))
+        one = one.withColumn("lookback", F.lit(lookback))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def changepoint_calibration(series: DataFrame, keys: list[str], settings: list[tuple[float, int, float]], value: str = "new_works") -> DataFrame:
+    """Mean and greatest probability and the alert rate for each (hazard, window, threshold), all settings in one grouped pass."""
+    grid = F.explode(F.array(*[F.struct(F.lit(h).alias("hazard"), F.lit(w).alias("window"), F.lit(t).alias("threshold")) for h, w, t in settings]))
+    rows = series.select(*keys, "q_idx", value, grid.alias("s")).select(*keys, "q_idx", value, "s.*")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("q_idx")
+        first = group.iloc[0]
+        p, _ = K.run_length_filter(group[value].to_numpy(dtype=float), float(first["hazard"]), 40, int(first["window"]))
+        return pd.DataFrame({"hazard": first["hazard"], "window": int(first["window"]), "threshold": first["threshold"], "p": p})
+
+    found = rows.groupBy(*keys, "hazard", "window", "threshold").applyInPandas(run, "hazard double, window int, threshold double, p double")
+    return found.groupBy("hazard", "window", "threshold").agg(F.avg("p").alias("mean_p"), F.max("p").alias("max_p"), F.avg((F.col("p") > F.col("threshold")).cast("double")).alias("alert_rate"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog import query
 from tidemark.functions.numeric import rounded
 from tidemark.operators import detectors as D
-from tidemark.operators import metrics, series
+from tidemark.operators import metrics, series, signals
 from tidemark.plans import bindings as B
 from tidemark.plans.bindings import MAPPING, SERIES, with_
 
@@ -304,3 +304,20 @@ c AS (SELECT quantile_cont(acceleration, 0.9) AS ca, quantile_cont(volatility, 0
 SELECT lineage_id, q_idx, round(growth, 6) AS growth, round(acceleration, 6) AS acceleration, round(volatility, 6) AS volatility, acceleration > ca AND volatility > cv AS flag FROM a, c""")
 def d123_two_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.two_signals(B.series(spark, sf_dir), ["lineage_id"]).select("lineage_id", "q_idx", *rounded(["growth", "acceleration", "volatility"]), "flag")
+
+
+@query()
+def d094_vector_changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = B.vectors(spark, sf_dir).withColumn("q_idx", (F.col("vec_id") % 24).cast("int"))
+    return D.vector_changepoints(signals.weighted_mean_vector(v, ["label", "q_idx"]), ["label"])
+
+
+@query()
+def d125_parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.burst_parameter_sweep(_fronts(spark, sf_dir), ["front"], [8, 12], [0.05, 0.1, 0.5])
+
+
+@query()
+def d126_changepoint_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = D.changepoint_calibration(B.series(spark, sf_dir), ["lineage_id"], [(1 / 50, 3, 0.5), (1 / 20, 5, 0.3), (1 / 100, 3, 0.5)])
+    return c.select("window", *rounded(["hazard", "threshold", "mean_p", "max_p", "alert_rate"]))
