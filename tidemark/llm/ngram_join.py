@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.shared import column, drop_table, hash_shingles, hash_words, materialize, mix, nonempty, release, text_blocks
 
 #: Fixed size of the filter of possible signatures and nodes; when it fills up it only lets more rows through.
-FILTER_BITS = 25
+FILTER_BITS = 27
 GROUP_MEMBERS, GROUP_SHINGLES, SUBGROUP, QUERY_BLOCK = 256, 1 << 17, 8, 512
 
 
@@ -315,8 +315,8 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def _hopeful(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The rows of (node, tokens) that the union of all other sets does not rule out: num/den of their shingles are in another set too."""
-    twice = sets.select("node", F.explode("tokens").alias("token")).groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("token")
+    """The rows of (node, tokens), a row for each node, that the union of all other sets does not rule out: num/den of their shingles are in another set too."""
+    twice = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
     in_two = Bits(sets.sparkSession, twice)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
