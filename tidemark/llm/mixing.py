@@ -11,6 +11,8 @@ from tidemark.llm.shared import materialize
 WEIGHTS, MOST = (5, 2, 1), 3
 #: The schedule's length is 2 ** BITS at every size of the input; blocks grow with the input instead.
 BITS = 18
+#: A source of fewer blocks, by size or target, is not scheduled in blocks: one block would be too much of it.
+FEW_BLOCKS = 256
 BUCKET_DIGITS = 3
 
 
@@ -73,7 +75,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Returns id_col, source, size, source_size, target (of the source) and taken, a row for each row of docs. Within its
     source, documents stand shuffled (by md5 of the id, then id and size) end to end on a line of words, cut into equal
     blocks; a document's taken is what the scheduled blocks cover of it, repeats counted: at most three times its size.
-    Null and empty texts have size 0 and are not taken; a null source is a source of its own, last; repeated rows count each;
+    The blocks that a source's slots take follow each other, turn after turn, so a source of under FEW_BLOCKS blocks takes its
+    target in words from the beginning of its line, as a schedule of one-word blocks would. Null and empty texts have size 0 and are not taken; a null source is a source of its own, last; repeated rows count each;
     an empty table gives an empty result. Reruns agree: nothing is random.
 
     Shuffles: one row of numbers for each document, by (source, id prefix) for offsets, then by (source, block). Offsets are
@@ -96,15 +99,17 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     laid = rows.join(buckets, ["rank", "bucket"]).withColumn("end", F.col("base") + F.sum("size").over(inside))
     laid = laid.select("doc_id", "source", "size", "source_size", "target", "rank", (F.col("end") - F.col("size")).alias("begin"), "end")
 
-    width = F.lit(block)
+    width, few = F.lit(block), F.lit(block > 1) & (F.least("source_size", "target") < FEW_BLOCKS * block)
     # In whole numbers: div keeps them exact at any size. A document of size 0 has no block.
-    spans = laid.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (end - 1) div {block})")))
+    spans = laid.where((F.col("size") > 0) & ~few).withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (end - 1) div {block})")))
     part = F.least("end", (F.col("block") + 1) * width) - F.greatest("begin", F.col("block") * width)
     taken = spans.join(times, ["rank", "block"], "left").groupBy("rank", "begin", "doc_id", "source", "size", "source_size", "target")
     taken = taken.agg(F.sum(part * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
-    nothing = laid.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    direct = laid.where((F.col("size") == 0) | few).withColumn("words", F.round("target").cast("long")).withColumn("rest", F.expr("words % nullif(source_size, 0)"))
+    whole = F.expr("words div nullif(source_size, 0)") * F.col("size") + F.least("end", "rest") - F.least("begin", "rest")
+    direct = direct.withColumn("taken", F.when(F.col("size") > 0, whole).otherwise(0).cast("long"))
     columns = [F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "taken"]
-    return taken.select(*columns).unionByName(nothing.select(*columns))
+    return taken.select(*columns).unionByName(direct.select(*columns))
 
 
 ORACLE_SQL = f"""
