@@ -4,6 +4,7 @@ import random
 from datetime import datetime
 
 from tidemark import catalog
+from tidemark.plans import graph_plans
 
 D074 = "d074_disruption_all"
 
@@ -29,3 +30,19 @@ def test_disruption_of_every_work(spark, tmp_path):
         want[f] = (len(direct - through), len(direct & through), len(through - direct))
     got = {r.work_id: (r.n_u, r.n_v, r.n_w) for r in catalog.QUERIES[D074](spark, str(tmp_path)).collect()}
     assert got == want and any(k % 7 for k in got)
+
+
+def test_every_quarter(spark, sf_dir, monkeypatch):
+    quarters = graph_plans._quarters(spark, sf_dir)
+    assert len(quarters) > 20
+    found = lambda df: sorted(r.q_idx for r in df.select("q_idx").distinct().collect())
+    assert found(catalog.QUERIES["d027_lineages"](spark, sf_dir)) == quarters
+    assert found(catalog.QUERIES["d028_variation_of_information_all"](spark, sf_dir)) == quarters[1:]
+    assert found(catalog.QUERIES["d032_community_sizes_all"](spark, sf_dir)) == quarters
+    held = found(graph_plans._quarterly(spark, sf_dir))
+    assert held == [q for q in quarters if q >= held[0]] and len(held) > 2
+    assert found(catalog.QUERIES["d024_pagerank_cores"](spark, sf_dir)) == held
+    asked = {}
+    monkeypatch.setattr(graph_plans.C, "detect_communities", lambda *a, **k: asked.update(k))
+    catalog.QUERIES["d021_consensus_communities"](spark, sf_dir)
+    assert asked["runs"] == 16

@@ -15,7 +15,7 @@ from tidemark.operators import partitions as P
 
 def edges_by_quarter(edges: DataFrame, quarters: list[int]) -> DataFrame:
     """The cumulative graph of each asked quarter, as one table with the quarter as key."""
-    at = F.filter(F.array(*[F.lit(q) for q in quarters]), lambda q: q >= F.col("valid_from_q"))
+    at = F.filter(F.array(*[F.lit(q) for q in quarters]).cast("array<int>"), lambda q: q >= F.col("valid_from_q"))
     weight = F.col("weight_total") if "weight_total" in edges.columns else F.lit(1.0)
     return edges.select(F.explode(at).alias("q_idx"), "src", "dst", weight.cast("double").alias("weight"))
 

@@ -111,10 +111,29 @@ PART = with_(WORKS) + """, part AS (SELECT q.q_idx, w.work_id, ((w.author_id + C
   FROM works w JOIN (SELECT unnest(range(7990, 7996))::INTEGER AS q_idx) q ON w.q_idx <= q.q_idx)"""
 
 
-def _partition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A deterministic partition of the works of each of six quarters, in which some works move."""
+#: The quarters of the SQL twins. The queries named _all take every quarter of the data.
+TWIN_QUARTERS = [*range(7990, 7996)]
+
+
+def _quarters(spark: SparkSession, sf_dir: str) -> list[int]:
+    """All quarters of the works: a few dozen numbers by nature."""
+    return [r.q_idx for r in B.works(spark, sf_dir).where("q_idx IS NOT NULL").select("q_idx").distinct().orderBy("q_idx").collect()]
+
+
+def _over_all_quarters(f) -> None:
+    """Registers f over every quarter of the data, as f's name and _all."""
+
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, _quarters(spark, sf_dir))
+
+    whole.__name__ = f"{f.__name__}_all"
+    query()(whole)
+
+
+def _partition(spark: SparkSession, sf_dir: str, quarters: list[int]) -> DataFrame:
+    """A deterministic partition of the works of each of the quarters, in which some works move."""
     w = B.works(spark, sf_dir)
-    at = F.explode(F.filter(F.sequence(F.lit(7990), F.lit(7995)), lambda q: q >= F.col("w_q")))
+    at = F.explode(F.filter(F.array(*[F.lit(q) for q in quarters]).cast("array<int>"), lambda q: q >= F.col("w_q")))
     rows = w.select("work_id", "author_id", F.col("q_idx").alias("w_q")).withColumn("q_idx", at)
     moved = F.when(F.col("work_id") % 10 == F.col("q_idx") % 10, 1).otherwise(0)
     return rows.select("q_idx", "work_id", ((F.col("author_id") + moved) % 12).cast("long").alias("community_id"))
@@ -125,10 +144,10 @@ j AS (SELECT COALESCE(a.q_idx, b.q_idx) AS q_idx, COALESCE('a' || x, 'only' || b
 c AS (SELECT q_idx, x, y, count(*) AS n FROM j GROUP BY ALL), t AS (SELECT *, sum(n) OVER (PARTITION BY q_idx) AS total, sum(n) OVER (PARTITION BY q_idx, x) AS nx, sum(n) OVER (PARTITION BY q_idx, y) AS ny FROM c),
 v AS (SELECT q_idx, greatest(-sum(n / total::DOUBLE * (log2(n / nx::DOUBLE) + log2(n / ny::DOUBLE))), 0) AS vi, max(total)::BIGINT AS n_nodes FROM t GROUP BY 1)
 SELECT q_idx, round(vi, 6) AS vi, n_nodes, round(CASE WHEN n_nodes > 1 THEN vi / log2(n_nodes) ELSE 0 END, 6) AS nvi FROM v""")
-def d028_variation_of_information(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _partition(spark, sf_dir)
-    before = p.where("q_idx < 7995").withColumn("q_idx", F.col("q_idx") + 1)
-    return C.variation_of_information(before, p.where("q_idx > 7990"), ["q_idx"]).select("q_idx", "n_nodes", *rounded(["vi", "nvi"]))
+def d028_variation_of_information(spark: SparkSession, sf_dir: str, quarters: list[int] = TWIN_QUARTERS) -> DataFrame:
+    p = _partition(spark, sf_dir, quarters)
+    before = p.withColumn("q_idx", F.col("q_idx") + 1).where(F.col("q_idx").isin(quarters))
+    return C.variation_of_information(before, p.where((F.col("q_idx") - 1).isin(quarters)), ["q_idx"]).select("q_idx", "n_nodes", *rounded(["vi", "nvi"]))
 
 
 OVERLAPS = PART + """, sz AS (SELECT q_idx, community_id, count(*) AS size FROM part GROUP BY ALL),
@@ -137,54 +156,54 @@ o AS (SELECT ov.*, a.size AS size_prev, b.size AS size_curr FROM ov JOIN sz a ON
 
 
 @query(OVERLAPS + "SELECT * FROM o")
-def d025_core_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.core_overlaps(_partition(spark, sf_dir))
+def d025_core_overlaps(spark: SparkSession, sf_dir: str, quarters: list[int] = TWIN_QUARTERS) -> DataFrame:
+    return C.core_overlaps(_partition(spark, sf_dir, quarters))
 
 
 @query()
 def d025_core_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.match_cores(C.core_overlaps(_partition(spark, sf_dir)))
+    return C.match_cores(C.core_overlaps(_partition(spark, sf_dir, _quarters(spark, sf_dir))))
 
 
 @query(OVERLAPS + """, st AS (SELECT * FROM o WHERE overlap >= 10 AND overlap / least(size_prev, size_curr)::DOUBLE >= 0.08)
 SELECT q_idx, 'split' AS event, prev AS community_id, count(DISTINCT curr) AS partners FROM st GROUP BY ALL HAVING count(DISTINCT curr) > 1 UNION ALL
 SELECT q_idx, 'merge', curr, count(DISTINCT prev) FROM st GROUP BY ALL HAVING count(DISTINCT prev) > 1""")
-def d026_overlap_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.overlap_events(C.core_overlaps(_partition(spark, sf_dir)), share=0.08)
+def d026_overlap_events(spark: SparkSession, sf_dir: str, quarters: list[int] = TWIN_QUARTERS) -> DataFrame:
+    return C.overlap_events(C.core_overlaps(_partition(spark, sf_dir, quarters)), share=0.08)
 
 
 @query()
 def d027_lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _partition(spark, sf_dir)
+    p = _partition(spark, sf_dir, _quarters(spark, sf_dir))
     return C.assign_lineages(p, C.match_cores(C.core_overlaps(p)))
 
 
 @query()
 def d029_core_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _partition(spark, sf_dir)
+    p = _partition(spark, sf_dir, _quarters(spark, sf_dir))
     overlaps = C.core_overlaps(p)
     matches = C.match_cores(overlaps)
     return C.core_overlap_summary(overlaps, C.assign_lineages(p, matches), matches)
 
 
 @query(PART + """SELECT c.community_id AS lineage_id, c.q_idx, count(*) AS n_nodes, round(avg((p.community_id <> c.community_id)::INT), 6) AS change_rate FROM part c JOIN part p ON p.work_id = c.work_id AND p.q_idx + 1 = c.q_idx GROUP BY ALL""")
-def d030_label_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.label_change_rate(_partition(spark, sf_dir).withColumnRenamed("community_id", "lineage_id")).withColumn("change_rate", F.round("change_rate", 6))
+def d030_label_change(spark: SparkSession, sf_dir: str, quarters: list[int] = TWIN_QUARTERS) -> DataFrame:
+    return C.label_change_rate(_partition(spark, sf_dir, quarters).withColumnRenamed("community_id", "lineage_id")).withColumn("change_rate", F.round("change_rate", 6))
 
 
 @query(PART + """SELECT p.q_idx, community_id, count(*) AS new_works FROM part p JOIN works w ON w.work_id = p.work_id AND w.q_idx = p.q_idx GROUP BY ALL""")
-def d031_new_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _partition(spark, sf_dir).join(B.works(spark, sf_dir).select("work_id", "q_idx"), ["work_id", "q_idx"]).groupBy("q_idx", "community_id").agg(F.count(F.lit(1)).alias("new_works"))
+def d031_new_works(spark: SparkSession, sf_dir: str, quarters: list[int] = TWIN_QUARTERS) -> DataFrame:
+    return _partition(spark, sf_dir, quarters).join(B.works(spark, sf_dir).select("work_id", "q_idx"), ["work_id", "q_idx"]).groupBy("q_idx", "community_id").agg(F.count(F.lit(1)).alias("new_works"))
 
 
 @query(PART + """, s AS (SELECT q_idx, community_id, count(*) AS size FROM part GROUP BY ALL)
 SELECT q_idx, count(*) AS communities, min(size) AS size_min, round(median(size), 6) AS size_median, round(avg(size), 6) AS size_mean, round(quantile_cont(size, 0.9), 6) AS size_p90, max(size) AS size_max, count(*) FILTER (size > 700) AS oversized FROM s GROUP BY 1""")
-def d032_community_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.community_sizes(_partition(spark, sf_dir), 700).select("q_idx", "communities", "size_min", "size_max", "oversized", *rounded(["size_median", "size_mean", "size_p90"]))
+def d032_community_sizes(spark: SparkSession, sf_dir: str, quarters: list[int] = TWIN_QUARTERS) -> DataFrame:
+    return C.community_sizes(_partition(spark, sf_dir, quarters), 700).select("q_idx", "communities", "size_min", "size_max", "oversized", *rounded(["size_median", "size_mean", "size_p90"]))
 
 
 def _quarterly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.edges_by_quarter(_edges(spark, sf_dir), [7984, 7988])
+    return C.edges_by_quarter(_edges(spark, sf_dir), _quarters(spark, sf_dir))
 
 
 @query()
@@ -194,12 +213,13 @@ def d020_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def d021_consensus_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.detect_communities(_quarterly(spark, sf_dir), resolution=0.05, least=3, runs=4)
+    return C.detect_communities(_quarterly(spark, sf_dir), resolution=0.05, least=3, runs=16)
 
 
 @query()
 def d024_pagerank_cores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = B.works(spark, sf_dir).select("work_id", (F.col("author_id") % 12).alias("community_id")).withColumn("q_idx", F.explode(F.array(F.lit(7984), F.lit(7988))))
+    quarters = F.array(*[F.lit(q) for q in _quarters(spark, sf_dir)]).cast("array<int>")
+    p = B.works(spark, sf_dir).select("work_id", (F.col("author_id") % 12).alias("community_id"), F.explode(F.filter(quarters, lambda q: q >= F.col("q_idx"))).alias("q_idx"))
     return C.pagerank_cores(_quarterly(spark, sf_dir), p).withColumn("rank", F.round("rank", 9))
 
 
@@ -248,8 +268,8 @@ def d036_stability_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(PART + "SELECT community_id AS lineage_id, work_id, min(q_idx) AS first_q FROM part GROUP BY ALL")
-def d037_lineage_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _partition(spark, sf_dir)
+def d037_lineage_papers(spark: SparkSession, sf_dir: str, quarters: list[int] = TWIN_QUARTERS) -> DataFrame:
+    p = _partition(spark, sf_dir, quarters)
     registry = p.select("q_idx", "community_id").distinct().withColumn("lineage_id", F.col("community_id"))
     return C.lineage_papers(registry, p)
 
@@ -273,8 +293,8 @@ def d054_tight_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(PART + """, m AS (SELECT community_id AS lineage_id, work_id, min(q_idx) AS q_idx FROM part GROUP BY ALL) SELECT lineage_id, q_idx, count(*) AS new_papers FROM m GROUP BY ALL""")
-def d071_new_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return convergence.new_papers(_partition(spark, sf_dir).withColumnRenamed("community_id", "lineage_id"))
+def d071_new_papers(spark: SparkSession, sf_dir: str, quarters: list[int] = TWIN_QUARTERS) -> DataFrame:
+    return convergence.new_papers(_partition(spark, sf_dir, quarters).withColumnRenamed("community_id", "lineage_id"))
 
 
 LINEAGE = CORPUS + ", lin AS (SELECT work_id, (author_id % 12)::BIGINT AS lineage_id, q_idx, author_id FROM k)"
@@ -327,3 +347,7 @@ def d082_convergence_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = B.series(spark, sf_dir)
     f = s.select("lineage_id", "q_idx", (F.col("new_works") % 7 / F.lit(7.0)).alias("max_sim"), (F.col("new_works") % 5 / F.lit(5.0)).alias("migration_rate"), (F.col("q_idx") % 3 / F.lit(3.0)).alias("bridge_rate"), (F.col("lineage_id") % 4 / F.lit(4.0)).alias("term_overlap"))
     return convergence.convergence_composite(f).select("lineage_id", "q_idx", *rounded(["composite", "velocity", "roll_2", "roll_4", "max_dev"]))
+
+
+for _twin in (d028_variation_of_information, d025_core_overlaps, d026_overlap_events, d030_label_change, d031_new_works, d032_community_sizes, d037_lineage_papers, d071_new_papers):
+    _over_all_quarters(_twin)
