@@ -34,7 +34,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 or more, the one of least id stays."""
     bounded_batches(spark)
-    return ngram_join.one_of_each(docs, ngram_join.ngram_components(docs, width=5, similarity=(80, 100)))
+    return ngram_join.without_near_copies(docs, width=5, similarity=(80, 100))
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing
+from tidemark.llm import line_dedup, mixing, ngram_join
 
 
 @pytest.mark.parametrize("bits", [6, 12])
@@ -17,3 +17,17 @@ def test_small_sources_reach_their_targets(spark, bits):
     assert len(small) == 90 and (abs(small.taken - small.target) <= 1).all() and (small.taken > 0).all()
     assert got.where("taken > 3 * size").count() == 0
     assert mixing.repeat_by_taken(docs, got).select("source").distinct().count() == 91
+
+
+def test_null_and_repeated_ids_keep_their_own(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    common = " ".join(f"z{i}" for i in range(12))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, a + " end"), (7, "quite another text of few words"), (1, c)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = ngram_join.without_near_copies(docs, width=5, similarity=(80, 100)).collect()
+    # c stays under 1, a under 7 (with its last word), b once
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, b), (7, a + " end"), (7, rows[5][1]), (1, c)])
+
+    lined = [(None, common + "\nfirst own line"), (None, "second own line\n" + common), (3, common), (4, "x one\n" + common), (4, "y two\nz three")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(lined, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text, r.n_dropped) for r in out) == [(0, "first own line", 1), (0, "second own line", 1), (3, common, 0), (4, "x one", 1), (4, "y two\nz three", 0)]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.ngram_join import Bits
-from tidemark.llm.shared import column, drop_table, hash_words, materialize, mix, nonempty, release, text_blocks
+from tidemark.llm.shared import column, drop_table, hash_words, materialize, mix, nonempty, release, row_key, text_blocks
 
 #: Lines of fewer words repeat others only exactly: one word is too much of them.
 MIN_WORDS = 10
@@ -215,11 +215,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """docs without repeated lines: all columns, text_col made of the kept lines, and n_lines (with words) and n_dropped.
 
     Order of lines and lines without words stay; null texts stay null, empty texts empty; texts of which nothing goes are
-    untouched. Of repeated rows (same id) each keeps the lines that its id keeps. Columns of docs named n_lines or n_dropped
+    untouched. Rows are told apart by id and text, so null and repeated ids keep lines of their own; equal rows keep the same
+    lines. Earlier is by id, null ids last, then hash of the text. Columns of docs named n_lines or n_dropped
     are replaced. The texts shuffle once, to meet their lists of dropped lines; a list is at most as long as its text.
     """
-    dropped = repeated_lines(docs, id_col, text_col, min_words).groupBy(F.col("doc_id").alias("dropped_id_")).agg(F.sort_array(F.collect_list("line_no")).alias("dropped_lines_"))
-    joined = docs.join(dropped, F.col(id_col).eqNullSafe(F.col("dropped_id_")), "left")
+    keyed = docs.select(row_key(id_col, text_col).alias("row_key_"), F.col(text_col))
+    dropped = repeated_lines(keyed, "row_key_", text_col, min_words).groupBy(F.col("doc_id").alias("dropped_id_")).agg(F.sort_array(F.collect_list("line_no")).alias("dropped_lines_"))
+    joined = docs.join(dropped, row_key(id_col, text_col) == F.col("dropped_id_"), "left")
     joined = joined.withColumn("lines_", F.split(F.col(text_col), "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), F.col("dropped_lines_"))
     untouched = F.col("dropped_lines_").isNull() | F.col(text_col).isNull()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import column, drop_table, hash_shingles, hash_words, materialize, mix, nonempty, release, text_blocks
+from tidemark.llm.shared import column, drop_table, hash_shingles, hash_words, materialize, mix, nonempty, release, row_key, text_blocks
 
 #: Fixed size of the filter of possible signatures and nodes; when it fills up it only lets more rows through.
 FILTER_BITS = 27
@@ -410,8 +410,20 @@ def ngram_components(docs: DataFrame, width: int = 4, similarity: tuple[int, int
     return joined.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Of the rows of docs linked by ngram_components, the one of least id (null ids last, then hash of the text).
+
+    Rows are told apart by id and text: null and repeated ids have components of their own; of equal rows one stays.
+    """
+    keyed = docs.withColumn("row_key_", row_key(id_col, text_col))
+    return one_of_each(keyed, ngram_components(keyed, id_col="row_key_", text_col=text_col, **options), "row_key_").drop("row_key_")
+
+
 def one_of_each(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose id is the least of its component; of repeated rows of that id, one stays."""
+    """The rows of docs whose id is the least of its component; of repeated rows of that id, one stays.
+
+    Ids must tell rows apart, as row_key does; see without_near_copies.
+    """
     kept = components.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id_")).distinct()
     names = docs.columns
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id_")), "left_semi").select(*names).dropDuplicates([id_col])

@@ -171,3 +171,8 @@ def column(batch, name: str) -> list:
 
 def nonempty(batches: Iterable) -> Iterator:
     return (b for b in batches if b.num_rows)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """(missing, id, hash of the text): tells rows apart that have no id or share one; equal rows have one key. Null ids are last."""
+    return F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
