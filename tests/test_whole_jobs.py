@@ -1,5 +1,6 @@
 """Queries that run over the whole corpus, against brute force on small tables."""
 
+import hashlib
 import random
 from datetime import datetime
 
@@ -46,3 +47,11 @@ def test_every_quarter(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(graph_plans.C, "detect_communities", lambda *a, **k: asked.update(k))
     catalog.QUERIES["d021_consensus_communities"](spark, sf_dir)
     assert asked["runs"] == 16
+
+
+def test_texts_of_lineage_and_quarter(spark, tmp_path):
+    rows = [(i, f"s{i % 2}", f"t{i}", "en") for i in range(900)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(f"s{q % 2}", q): hashlib.md5(" ".join(f"t{i}" for i in range(900) if i % 8 == q and i < 400).encode()).hexdigest() for q in range(8)}
+    got = catalog.QUERIES["d048_quarterly_texts_all"](spark, str(tmp_path)).collect()
+    assert {(r.lineage, r.q_idx): r.text_md5 for r in got} == want and all(r.papers == 50 for r in got)

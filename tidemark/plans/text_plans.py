@@ -126,6 +126,13 @@ def d048_quarterly_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("lineage", "papers", F.md5("text").alias("text_md5"))
 
 
+@query()
+def d048_quarterly_texts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By lineage and quarter, with the operator's own most; d048_quarterly_texts and its SQL twin take five papers of a lineage."""
+    t = B.texts(spark, sf_dir).withColumn("q_idx", (F.col("paper_id") % 8).cast("int"))
+    return signals.quarterly_texts(t, ["lineage", "q_idx"], "paper_id").select("lineage", "q_idx", "papers", F.md5("text").alias("text_md5"))
+
+
 @query(with_(VECTORS) + ", u AS (SELECT vec_id, label, " + UNIT.format(v="v") + """ AS v FROM vectors), l AS (SELECT *, lag(v) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM u)
 SELECT label, vec_id, round(CASE WHEN p IS NULL THEN 0 ELSE 1 - list_sum(list_transform(list_zip(v, p), lambda z: z[1] * z[2])) END, 6) AS velocity FROM l""")
 def d049_semantic_velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
