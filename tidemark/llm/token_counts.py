@@ -18,13 +18,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import column, held, nonempty
+from tidemark.llm.shared import column, held, holding, nonempty
 
 NO_RANK = np.int64(1 << 40)
-CACHE_UNITS = 600_000
-CHARS_AT_ONCE = 1 << 21
-#: The pre-token pattern of the vocabulary file.
+CACHE_UNITS = 200_000
+CHARS_AT_ONCE = 1 << 20
+#: How the vocabulary file normalises and splits texts; a file that does otherwise is refused.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
 
 
 def byte_letters() -> list[str]:
@@ -40,6 +41,9 @@ class MergeTable:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        splits = [x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
+        if splits != [PRE_TOKEN] or [x["type"] for x in spec["normalizer"]["normalizers"]] != NORMALIZERS:
+            raise ValueError(f"{path} normalises or splits texts in another way than this counter")
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.size = len(vocab) + 1
@@ -106,6 +110,18 @@ def _ranks(symbol: np.ndarray, row: np.ndarray, table: MergeTable) -> tuple[np.n
     return rank, made
 
 
+def parts(text: str, size: int) -> Iterator[str]:
+    """text in parts of about size characters, cut at spaces and line feeds; longer parts only where there are none."""
+    at = 0
+    while len(text) - at > size:
+        end = max(text.rfind(" ", at + 1, at + size), text.rfind("\n", at + 1, at + size))
+        if end < 0:
+            end = min((x for x in (text.find(" ", at + size), text.find("\n", at + size)) if x >= 0), default=len(text))
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 class TokenCounter:
     """Counts tokens of texts; keeps the counts of words already seen, up to CACHE_UNITS of them."""
 
@@ -122,14 +138,21 @@ class TokenCounter:
         return text.split() if not any(c in text for c in "\x1c\x1d\x1e\x1f") else regex.split(r"\s+", text.strip(" "))
 
     def count(self, texts: list[str | None]) -> list[int]:
+        """Tokens of each text; texts are read in blocks, long ones in parts that end at a space or line feed."""
         out: list[int] = []
-        block, held = [], 0
+        block: list[str] = []
+        size = 0
         for text in texts:
+            if text and len(text) > CHARS_AT_ONCE:
+                out += self._count(block)
+                block, size = [], 0
+                out.append(sum(self._count([part])[0] for part in parts(text, CHARS_AT_ONCE)))
+                continue
             block.append(text or "")
-            held += len(block[-1])
-            if held > CHARS_AT_ONCE:
+            size += len(block[-1])
+            if size > CHARS_AT_ONCE:
                 out += self._count(block)
-                block, held = [], 0
+                block, size = [], 0
         return out + self._count(block)
 
     def _count(self, texts: list[str]) -> list[int]:
@@ -184,7 +207,8 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     Returns id_col, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit), a row for each row of docs. Null and empty
     texts have 0 bytes and 0 tokens; equal rows give equal rows; other columns of docs play no part, whatever their names.
-    Narrow: no shuffle. vocabulary: path of a tokenizers file with the pattern PRE_TOKEN, on every executor.
+    Narrow: no shuffle. vocabulary: path of a tokenizers file with the pattern PRE_TOKEN, on every executor; another pattern
+    is refused. Memory grows with the longest run without a space or line feed, not with the longest text.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,5 +218,5 @@ def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long").alias("n_bytes"), F.col(text_col).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
-    counted = source.mapInArrow(count, f"id {kind}, n_bytes long, n_tokens long")
+    counted = source.mapInArrow(holding(count), f"id {kind}, n_bytes long, n_tokens long")
     return counted.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

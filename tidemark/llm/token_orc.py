@@ -16,11 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import fresh_path, held, nonempty
+from tidemark.llm.shared import UnitTable, byte_slices, fresh_path, held, holding, nonempty, settled
 
-#: Units that are kept; when so many are known, later ones are forgotten after their block, and after FORGOTTEN of them all are.
-CACHE_UNITS, FORGOTTEN = 1_000_000, 8_000_000
-BYTES_AT_ONCE = 1 << 22
+BYTES_AT_ONCE = 1 << 21
 #: A space between two characters that are no white space always begins a pre-token of the byte-level pattern.
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Texts that are not words with single spaces or line feeds between them.
@@ -29,18 +27,6 @@ ODD = r"[\x00\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\
 OTHER_SPACE = re.compile("[\x00\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-class Places(dict):
-    """Numbers units as they are first asked for, and keeps the new ones in order."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, unit: str) -> int:
-        self.new.append(unit)
-        self[unit] = at = len(self)
-        return at
-
-
 class UnitEncoder:
     """Encodes texts with a tokenizers file, each distinct unit once while it is kept.
 
@@ -55,24 +41,25 @@ class UnitEncoder:
         added = self.tokenizer.get_added_tokens_decoder()
         self.mark = next(t.content for _, t in sorted(added.items()) if t.special)
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self._reset()
-
-    def _reset(self) -> None:
-        self.place = Places()
-        self.flat = np.zeros(0, dtype=np.int32)
-        self.starts = self.sizes = np.zeros(0, dtype=np.int64)
-        self.forgotten = 0
+        self.units = UnitTable(lambda new: self._ids([u[1:] if u[:1] == "\0" else " " + u for u in new]))
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids, where each text's ids begin, one more entry than texts) for blocks of texts in order; null counts as empty."""
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        for _, block in byte_slices(texts, BYTES_AT_ONCE):
+            if len(block) == 1 and len(block[0].as_buffer()) > BYTES_AT_ONCE:
+                ids = np.concatenate([self._encode(pa.array([part], pa.large_string()))[0] for part in self.parts(block[0].as_py())])
+                yield ids, np.array([0, len(ids)])
+            else:
+                yield self._encode(block)
+
+    @staticmethod
+    def parts(text: str) -> Iterator[str]:
+        """A long text in parts that end where the pre-tokenizer always cuts; longer parts only where it has no such place."""
         at = 0
-        while at < len(texts):
-            done = ends[at - 1] if at else 0
-            n = max(1, int(np.searchsorted(ends, done + BYTES_AT_ONCE)) - at)
-            yield self._encode(texts.slice(at, n))
-            at += n
+        while len(text) - at > BYTES_AT_ONCE and (found := CUT.search(text, at + BYTES_AT_ONCE)):
+            yield text[at : found.start()]
+            at = found.start()
+        yield text[at:]
 
     @staticmethod
     def cut(text: str) -> list[str]:
@@ -84,42 +71,25 @@ class UnitEncoder:
         return own
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        if self.forgotten > FORGOTTEN:
-            self._reset()
-        have = len(self.place)
+        place = self.units.begin()
         odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
         mark, nothing = (pa.scalar(x, pa.large_string()) for x in ("\0", ""))
         # Single spaces and line feeds only: a line feed is a pre-token of its own, and what follows it has no space.
         marked = pc.binary_join_element_wise(mark, pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \0\n \0"), nothing)
         units = pc.split_pattern(marked, " ")
         counted = units.values.dictionary_encode()
-        known = np.fromiter(map(self.place.__getitem__, counted.dictionary.to_pylist()), dtype=np.int64, count=len(counted.dictionary))
+        known = np.fromiter(map(place.__getitem__, counted.dictionary.to_pylist()), dtype=np.int64, count=len(counted.dictionary))
         index = known[counted.indices.to_numpy()]
         counts = np.zeros(len(texts), dtype=np.int64)
         counts[~odd] = np.diff(units.offsets.to_numpy())
         if odd.any():
-            own = {i: [self.place[u] for u in self.cut(texts[i].as_py())] for i in np.flatnonzero(odd).tolist()}
+            own = {i: [place[u] for u in self.cut(texts[i].as_py())] for i in np.flatnonzero(odd).tolist()}
             for i, places in own.items():
                 counts[i] = len(places)
             plain, index = index, np.zeros(counts.sum(), dtype=np.int64)
             index[np.repeat(~odd, counts)] = plain
             index[np.repeat(odd, counts)] = np.concatenate([np.array(p, dtype=np.int64) for p in own.values()])
-        new, self.place.new = self.place.new, []
-        if new:
-            flat, sizes = self._ids([u[1:] if u[:1] == "\0" else " " + u for u in new])
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.flat = np.concatenate([self.flat, flat])
-        sizes = self.sizes[index]
-        ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[index] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        if new and have >= CACHE_UNITS:
-            for u in new:
-                del self.place[u]
-            self.flat = self.flat[: self.starts[have]].copy()
-            self.starts, self.sizes = self.starts[:have].copy(), self.sizes[:have].copy()
-            self.forgotten += len(new)
-        return ids, np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return self.units.ids(index, counts)
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after the other, and how many each has."""
@@ -146,7 +116,7 @@ def encoder(path: str) -> UnitEncoder:
     return held(("unit encoder", path), lambda: UnitEncoder(path))
 
 
-def write_token_orc(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, stripe_mb: int = 32, row_group: int = 1000) -> None:
+def write_token_orc(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, stripe_mb: int = 16, row_group: int = 1000) -> None:
     """Encodes every whole text, appends end_id and writes the ids in ascending order of id_col.
 
     Columns of the files: doc_id, block (the file's place in the order), local_start (ids before it in its block), n_tokens
@@ -172,7 +142,7 @@ def write_token_orc(docs: DataFrame, path: str, vocabulary: str, id_col: str = "
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = ordered.mapInArrow(encode, f"doc_id {kind}, local_start long, n_tokens long, ids array<int>")
+    encoded = ordered.mapInArrow(holding(encode), f"doc_id {kind}, local_start long, n_tokens long, ids array<int>")
     (
         encoded.withColumn("block", F.spark_partition_id())
         .write.option("compression", "lz4")
@@ -220,7 +190,7 @@ def token_checksums(stored: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(sums, pa.int64())], [*carry, "ids_crc32"])
 
     source = stored.select(*carry, "ids")
-    return source.mapInArrow(check, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, block int, local_start long, n_tokens long, ids_crc32 long")
+    return source.mapInArrow(settled(check), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, block int, local_start long, n_tokens long, ids_crc32 long")
 
 
 def token_orc_roundtrip(docs: DataFrame, vocabulary: str, path: str | None = None, **options) -> DataFrame:
