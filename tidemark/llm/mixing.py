@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import materialize
+from tidemark.llm.shared import materialize, row_key
 
 #: Weights of the sources in their order, repeating; no source is taken more often than this.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: The schedule's length is 2 ** BITS at every size of the input; blocks grow with the input instead.
-BITS = 18
-#: A source of fewer blocks, by size or target, is not scheduled in blocks: one block would be too much of it.
-FEW_BLOCKS = 256
+#: Equal blocks that a source's words are cut into (fewer if it has fewer words): so a block's size follows its own source.
+BLOCKS = 1024
 BUCKET_DIGITS = 3
 
 
@@ -21,17 +19,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def reversed_bits(i: Column, bits: int = BITS) -> Column:
-    """Van der Corput's sequence in base 2 as an integer: i's bits mirrored."""
-    return F.conv(F.reverse(F.lpad(F.bin(i), bits, "0")), 2, 10).cast("long")
-
-
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """rank, source, source_size, weight and target of each source.
 
     Sources stand by code point, null last, and weigh weights in turn; they share the sum of all sizes, none above most
     times its size: the capped ones are a prefix in the order of size by weight, the rest divides what is left by weight.
-    The windows run over one row for each source.
+    The windows run over one row for each source, in one task: some hundred bytes a source, so tens of millions of sources.
     """
     per_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = per_source.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
@@ -47,72 +40,71 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return levels.select("rank", "source", "source_size", "weight", target.alias("target"))
 
 
-def slot_schedule(targets: DataFrame, total: int, bits: int = BITS) -> tuple[DataFrame, int]:
-    """(rank, slot, block, turn) of every slot, and the tokens of a block.
+def slot_schedule(targets: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """rank, slot, block, turn, begin and upto: which words of its source's line, block * width ... upto, each slot takes.
 
-    Slot i stands at the mirrored bits of i on a line of 2 ** bits cells, which the targets' cumulative weights divide among
-    the sources. So each source's slots are found from its own cells. The r-th slot of a source takes its block r modulo the
-    number of its blocks. Slots that would take a block a fourth time go.
+    A source's line is cut into blocks of equal width; its weight on the line of slots is the number of blocks that its target
+    asks for, its last one in part. Slot i stands at the mirrored bits of i (van der Corput's sequence) on that line, whose
+    cumulative weights say which source it falls to. So every beginning of the schedule has its sources near their shares, and
+    all of it has them at their targets, whatever a source's size. The r-th slot of a source takes its block r modulo the number
+    of its blocks. A row for each slot: blocks * 3 a source at most.
     """
-    cells = 1 << bits
-    block = max(1, -(-total // cells))
-    slots = -(-total // block)
-    up_to = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    shares = targets.withColumn("high", F.least(F.ceil(F.sum("target").over(up_to) / F.lit(float(max(total, 1))) * cells), F.lit(cells)))
-    shares = shares.withColumn("low", F.coalesce(F.lag("high").over(Window.orderBy("rank")), F.lit(0)))
-    owned = shares.where("low < high").select("rank", "source_size", F.explode(F.sequence("low", F.col("high") - 1)).alias("cell"))
-    owned = owned.withColumn("slot", reversed_bits(F.col("cell"), bits)).where(F.col("slot") < slots)
+    words, size, width = F.round("target").cast("long"), F.col("source_size"), F.col("width")
+    plan = targets.where("source_size > 0").withColumns({"words": words, "width": F.greatest(F.lit(1), F.ceil(size / F.lit(float(blocks)))).cast("long")})
+    plan = plan.withColumns({"blocks": F.expr("(source_size + width - 1) div width"), "turns": F.expr("words div source_size"), "rest": F.expr("words % source_size")})
+    plan = plan.withColumn("slots", F.col("turns") * F.col("blocks") + F.expr("(rest + width - 1) div width")).where("slots > 0")
+    up_to, everything = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    plan = plan.withColumns({"low": F.coalesce(F.sum("slots").over(up_to), F.lit(0)), "bits": F.length(F.bin(F.sum("slots").over(everything)))})
+    owned = plan.withColumn("cell", F.explode(F.expr("sequence(low, low + slots - 1)")))
+    owned = owned.withColumn("slot", F.conv(F.reverse(F.expr("lpad(bin(cell), bits, '0')")), 2, 10).cast("long"))
     place = F.row_number().over(Window.partitionBy("rank").orderBy("slot")) - 1
-    blocks = F.ceil(F.col("source_size") / F.lit(float(block)))
-    placed = owned.withColumn("place", place).withColumn("blocks", blocks).where("blocks > 0")
-    turns = placed.select("rank", "slot", (F.col("place") % F.col("blocks")).cast("long").alias("block"), F.floor(F.col("place") / F.col("blocks")).alias("turn"))
-    return turns.where(F.col("turn") < MOST), block
+    placed = owned.withColumn("place", place).withColumns({"block": F.expr("place % blocks"), "turn": F.expr("place div blocks")})
+    whole = F.col("turn") < F.col("turns")
+    return placed.select("rank", "slot", "block", "turn", whole.alias("whole"), F.least((F.col("block") + 1) * width, F.when(whole, size).otherwise(F.col("rest"))).alias("upto"), "width")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", bits: int = BITS) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", blocks: int = BLOCKS) -> DataFrame:
     """How many words of each document the mix takes.
 
-    Returns id_col, source, size, source_size, target (of the source) and taken, a row for each row of docs. Within its
-    source, documents stand shuffled (by md5 of the id, then id and size) end to end on a line of words, cut into equal
-    blocks; a document's taken is what the scheduled blocks cover of it, repeats counted: at most three times its size.
-    The blocks that a source's slots take follow each other, turn after turn, so a source of under FEW_BLOCKS blocks takes its
-    target in words from the beginning of its line, as a schedule of one-word blocks would. Null and empty texts have size 0 and are not taken; a null source is a source of its own, last; repeated rows count each;
-    an empty table gives an empty result. Reruns agree: nothing is random.
+    Returns id_col, source, size, source_size, target (of the source), taken and first_slot (the schedule's first slot that takes
+    of the document; null: none), a row for each row of docs. Within its source, documents stand shuffled (by md5 of the id,
+    then id and size) end to end on a line of words; a document's taken is what the scheduled blocks cover of it, repeats
+    counted: at most three times its size. Each source's taken is its target rounded to a word, at every size. Null and empty
+    texts have size 0 and are not taken; a null source is a source of its own, last; repeated rows count each; an empty table
+    gives an empty result. Reruns agree: nothing is random.
 
     Shuffles: one row of numbers for each document, by (source, id prefix) for offsets, then by (source, block). Offsets are
-    sums over prefix buckets plus a window inside a bucket, so no task holds a source. The schedule has 2 ** bits slots at
-    most, at every size.
+    sums over prefix buckets plus a window inside a bucket, so no task holds a source.
     """
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     sized = materialize(sized.withColumn("key", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))), "mix-sizes")
-    targets = source_targets(sized)
-    total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    schedule, block = slot_schedule(targets, total, bits)
-    times = schedule.groupBy("rank", "block").agg(F.count(F.lit(1)).alias("times"))
+    targets = materialize(source_targets(sized), "mix-targets")
+    taking = slot_schedule(targets, blocks).groupBy("rank", "block")
+    taking = taking.agg(F.count_if("whole").alias("times"), F.max(F.when(~F.col("whole"), F.col("upto"))).alias("upto"), F.min("slot").alias("slot"))
 
-    known = targets.select("rank", F.col("source").alias("of"), "source_size", "target")
+    size = F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(float(blocks)))).cast("long")
+    known = targets.select("rank", F.col("source").alias("of"), "source_size", "target", size.alias("width"))
     rows = sized.join(known, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("bucket", F.substring("key", 1, BUCKET_DIGITS))
     buckets = rows.groupBy("rank", "bucket").agg(F.sum("size").alias("held"))
     preceding = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("rank", "bucket", F.coalesce(F.sum("held").over(preceding), F.lit(0)).alias("base"))
     inside = Window.partitionBy("rank", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     laid = rows.join(buckets, ["rank", "bucket"]).withColumn("end", F.col("base") + F.sum("size").over(inside))
-    laid = laid.select("doc_id", "source", "size", "source_size", "target", "rank", (F.col("end") - F.col("size")).alias("begin"), "end")
+    laid = laid.select("doc_id", "source", "size", "source_size", "target", "rank", "width", (F.col("end") - F.col("size")).alias("begin"), "end")
 
-    width, few = F.lit(block), F.lit(block > 1) & (F.least("source_size", "target") < FEW_BLOCKS * block)
     # In whole numbers: div keeps them exact at any size. A document of size 0 has no block.
-    spans = laid.where((F.col("size") > 0) & ~few).withColumn("block", F.explode(F.expr(f"sequence(begin div {block}, (end - 1) div {block})")))
-    part = F.least("end", (F.col("block") + 1) * width) - F.greatest("begin", F.col("block") * width)
-    taken = spans.join(times, ["rank", "block"], "left").groupBy("rank", "begin", "doc_id", "source", "size", "source_size", "target")
-    taken = taken.agg(F.sum(part * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
-    direct = laid.where((F.col("size") == 0) | few).withColumn("words", F.round("target").cast("long")).withColumn("rest", F.expr("words % nullif(source_size, 0)"))
-    whole = F.expr("words div nullif(source_size, 0)") * F.col("size") + F.least("end", "rest") - F.least("begin", "rest")
-    direct = direct.withColumn("taken", F.when(F.col("size") > 0, whole).otherwise(0).cast("long"))
-    columns = [F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "taken"]
-    return taken.select(*columns).unionByName(direct.select(*columns))
-
-
-ORACLE_SQL = f"""
+    spans = laid.where("size > 0").withColumn("block", F.explode(F.expr("sequence(begin div width, (end - 1) div width)")))
+    first, last = F.greatest("begin", F.col("block") * F.col("width")), F.least("end", (F.col("block") + 1) * F.col("width"))
+    part = (last - first) * F.coalesce("times", F.lit(0)) + F.greatest(F.lit(0), F.least(last, F.coalesce("upto", F.lit(0))) - first)
+    taken = spans.join(taking, ["rank", "block"], "left").withColumn("part", part).groupBy("rank", "begin", "doc_id", "source", "size", "source_size", "target")
+    taken = taken.agg(F.sum("part").cast("long").alias("taken"), F.min(F.when(F.col("part") > 0, F.col("slot"))).alias("first_slot"))
+    nothing = laid.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")})
+    columns = [F.col("doc_id").alias(id_col), "source", "size", "source_size", "target", "taken", "first_slot"]
+    return taken.select(*columns).unionByName(nothing.select(*columns))
+
+
+#: Knows nothing of slots and blocks: a source's target in words is counted off its line, turn after turn.
+ORACLE_SQL = """
 WITH sized AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          COALESCE(md5(doc_id::VARCHAR), '') AS key
@@ -128,40 +120,33 @@ targets AS (
   SELECT *, CASE WHEN cap <= level * weight THEN cap
     ELSE (SELECT level FROM levels WHERE cap > level * weight ORDER BY cap / weight, rank LIMIT 1) * weight END AS target
   FROM levels),
-scale AS (SELECT sum(size)::BIGINT AS total, greatest(1, (sum(size)::BIGINT + {(1 << BITS) - 1}) // {1 << BITS}) AS width FROM sized),
-shares AS (
-  SELECT t.*, least(ceil(sum(target) OVER (ORDER BY rank) / total::DOUBLE * {1 << BITS}), {1 << BITS})::BIGINT AS high
-  FROM targets t, scale),
-bounds AS (SELECT *, COALESCE(lag(high) OVER (ORDER BY rank), 0) AS low FROM shares),
-cells AS (SELECT rank, source_size, unnest(range(low, high)) AS cell FROM bounds WHERE low < high),
-slots AS (
-  SELECT rank, source_size, list_sum(list_transform(range({BITS}), lambda k: ((cell >> k) & 1) << ({BITS - 1} - k)))::BIGINT AS slot FROM cells),
-placed AS (
-  SELECT rank, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS place, (source_size + width - 1) // width AS blocks
-  FROM slots, scale WHERE slot < (total + width - 1) // width),
-times AS (SELECT rank, place % blocks AS block, count(*) AS times FROM placed WHERE blocks > 0 AND place // blocks < 3 GROUP BY ALL),
 laid AS (
-  SELECT s.*, t.rank, t.source_size, t.target,
-         sum(size) OVER (PARTITION BY t.rank ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fin
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
-spans AS (SELECT *, unnest(range((fin - size)::BIGINT // width, (fin - 1)::BIGINT // width + 1)) AS block FROM laid, scale WHERE size > 0),
-parts AS (
-  SELECT s.rank, s.fin, s.doc_id,
-         sum((least(fin, (s.block + 1) * width) - greatest(fin - size, s.block * width)) * COALESCE(t.times, 0))::BIGINT AS taken
-  FROM spans s LEFT JOIN times t ON s.rank = t.rank AND s.block = t.block GROUP BY s.rank, s.fin, s.doc_id)
-SELECT l.doc_id, l.size, l.source_size, l.target, COALESCE(p.taken, 0)::BIGINT AS taken
-FROM laid l LEFT JOIN parts p ON l.rank = p.rank AND l.fin = p.fin AND l.doc_id = p.doc_id AND l.size > 0
+  SELECT s.doc_id, s.size, t.source_size, t.target, round(t.target)::BIGINT AS words,
+         sum(size) OVER (PARTITION BY t.rank ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS fin
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+  CASE WHEN size = 0 THEN 0
+    ELSE (words // source_size) * size + least(fin, words % source_size) - least(fin - size, words % source_size) END::BIGINT AS taken
+FROM laid
 """
 
 
 def repeat_by_taken(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with each row as often as the mix takes it: taken / size of its id, rounded to whole copies; columns stay.
+    """docs with each row as often as the mix takes it: taken / size of its id, rounded to whole copies; columns stay, whatever their names.
 
     Blocks cut one document of a source at most where a turn ends, so rounding moves less than a document's words a source.
-    Documents of size 0 have nothing to mix and stay once.
+    Documents of size 0 have nothing to mix and stay once. Rows of one id have one share; ids should tell rows apart.
     """
-    copies = mixed.groupBy(F.col(id_col).alias("mixed_id_")).agg(F.sum("taken").alias("taken_"), F.sum("size").alias("size_"))
-    n = F.when(F.col("size_") > 0, F.round(F.col("taken_") / F.col("size_")).cast("int")).otherwise(1)
-    copies = copies.select("mixed_id_", n.alias("copies_")).where("copies_ > 0")
-    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col("mixed_id_")))
-    return joined.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies_")))).select(*[docs[c] for c in docs.columns])
+    own = "tidemark_mix_"
+    copies = mixed.groupBy(F.col(id_col).alias(f"{own}id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    n = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(1)
+    copies = copies.select(f"{own}id", n.alias(f"{own}copies")).where(f"{own}copies > 0")
+    joined = docs.join(copies, F.col(id_col).eqNullSafe(F.col(f"{own}id")))
+    return joined.withColumn(f"{own}copy", F.explode(F.sequence(F.lit(1), F.col(f"{own}copies")))).select(*docs.columns)
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs as often as the mix of all of them takes them. Rows are told apart by id and text, so null and repeated ids have shares of their own."""
+    key = "tidemark_row_key"
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    return repeat_by_taken(keyed, mix_sources(keyed, key, text_col, source_col, **options), key).drop(key)
