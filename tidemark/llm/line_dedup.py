@@ -1,9 +1,11 @@
 """Line dedup by a deletion-neighbourhood join; the unit of an edit is a word.
 
-Two lines within one edit are found by equal keys alone. Substitution: both lines, without the word at the same place, are the
-same sequence, so the key (length, place, rest) brings them together; all lines under such a key are within one edit of each
-other, and the earliest stands for all. Insertion: one of the longer line's variants without a word is the shorter line. So
-each key gives each of its lines one partner, never all pairs of a group. Every pair's edit distance is then verified.
+Lines may differ by one word in ten (WORDS_PER_EDIT), and by one at most: the bound of a line of n words is n // 10 edits, up to
+one, which is none, so equality, for lines of under ten words. Two lines within one edit are found by equal keys alone.
+Substitution: both lines, without the word at the same place, are the same sequence, so the key (length, place, rest) brings
+them together; all lines under such a key are within one edit of each other, and the earliest stands for all. Insertion: one of
+the longer line's variants without a word is the shorter line. So each key gives each of its lines one partner, never all pairs
+of a group. Every pair's edit distance is then verified.
 """
 
 from __future__ import annotations
@@ -16,22 +18,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.ngram_join import Bits
-from tidemark.llm.shared import column, drop_table, hash_words, materialize, mix, nonempty, release, row_key, text_blocks
+from tidemark.llm.shared import column, drop_table, hash_lines, materialize, mix, nonempty, row_key, settled, text_blocks
 
-#: Lines of fewer words repeat others only exactly: one word is too much of them.
-MIN_WORDS = 10
+#: A line may differ by one word for so many words of its own.
+WORDS_PER_EDIT = 10
 RADIX = 0xD1342543DE82EF95
 INVERSE = pow(RADIX, -1, 1 << 64)
-_tables: dict[int, np.ndarray] = {}
+#: Variants that are made at once; lines of any length are taken in windows of so many words.
+VARIANTS_AT_ONCE = 1 << 17
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    have = _tables.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 18), base, dtype=np.uint64)
-        steps[0] = 1
-        have = _tables[base] = np.multiply.accumulate(steps)
-    return have
+def _steps(base: int, n: int) -> np.ndarray:
+    steps = np.full(max(n, 1), base & (1 << 64) - 1, dtype=np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_LOW = {base: _steps(base, 4096) for base in (RADIX, INVERSE)}
+
+
+def powers(base: int, exponent: np.ndarray) -> np.ndarray:
+    """base ** exponent modulo 2 ** 64, from two small tables."""
+    high = _steps(pow(base, 4096, 1 << 64), int(exponent.max(initial=0) >> 12) + 1)
+    return _LOW[base][exponent & 4095] * high[exponent >> 12]
 
 
 class Segments:
@@ -39,10 +48,13 @@ class Segments:
 
     def __init__(self, words: np.ndarray):
         self.total = np.zeros(len(words) + 1, dtype=np.uint64)
-        np.cumsum(words * _powers(RADIX, len(words) + 1)[: len(words)], out=self.total[1:])
+        for at in range(0, len(words), VARIANTS_AT_ONCE):
+            part = words[at : at + VARIANTS_AT_ONCE]
+            np.cumsum(part * powers(RADIX, np.arange(at, at + len(part))), out=self.total[at + 1 : at + len(part) + 1])
+            self.total[at + 1 : at + len(part) + 1] += self.total[at]
 
     def sum(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.total[end] - self.total[start]) * _powers(INVERSE, len(self.total))[start]
+        return (self.total[end] - self.total[start]) * powers(INVERSE, start)
 
     def hash(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
         return mix(self.sum(start, end) + mix((end - start).astype(np.uint64) * np.uint64(8) + np.uint64(salt)))
@@ -64,15 +76,15 @@ def line_keys(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return seg.hash(start, end), again.hash(start, end), np.stack(halves, axis=1)
 
 
-def deletion_variants(words: np.ndarray) -> np.ndarray:
-    """Hashes of the sequence without each of its words in turn, then of the whole sequence."""
+def deletion_variants(words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first place, hashes of the sequence without the word at that place, the next, ...), window by window; last (-1, the whole sequence's hash)."""
     n = len(words)
-    seg = Segments(words)
-    at = np.arange(n)
-    rest = seg.total[:n] + (seg.total[n] - seg.total[1:]) * np.uint64(INVERSE)
-    del at
+    total = Segments(words).total
     length = mix(np.array([n - 1, n], dtype=np.uint64) * np.uint64(8))
-    return np.concatenate([mix(rest + length[0]), mix(seg.total[n:] + length[1])])
+    for at in range(0, n, VARIANTS_AT_ONCE):
+        end = min(n, at + VARIANTS_AT_ONCE)
+        yield at, mix(total[at:end] + (total[n] - total[at + 1 : end + 1]) * np.uint64(INVERSE) + length[0])
+    yield -1, mix(total[n:] + length[1])
 
 
 def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
@@ -90,15 +102,11 @@ def within_one_edit(a: np.ndarray, b: np.ndarray) -> bool:
 def _lines(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(row, line_no, word hashes, bounds) of all lines of a batch, in blocks of texts."""
     for first, block in text_blocks(column(batch, "text")):
-        split = [t.split(b"\n") for t in block]
-        counts = np.array([len(s) for s in split])
-        words, bounds = hash_words([line for s in split for line in s])
-        row = first + np.repeat(np.arange(len(block)), counts)
-        no = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        yield row, no, words, bounds
+        row, no, words, bounds = hash_lines(block)
+        yield first + row, no, words, bounds
 
 
-def line_places(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+def line_places(docs: DataFrame, id_col: str, text_col: str, words_per_edit: int) -> DataFrame:
     """doc_id, line_no, h1, h2 and half keys (none for short lines) of every line that has words. Null texts have no lines."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +116,7 @@ def line_places(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
                 if not len(full):
                     continue
                 h1, h2, halves = line_keys(words, bounds)
-                long = np.diff(bounds)[full] >= min_words
+                long = np.diff(bounds)[full] >= words_per_edit
                 offsets = np.concatenate([[0], np.cumsum(4 * long)]).astype(np.int32)
                 values = halves[full[long]].ravel().view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -117,10 +125,10 @@ def line_places(docs: DataFrame, id_col: str, text_col: str, min_words: int) ->
                 )
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(emit, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, line_no int, h1 long, h2 long, halves array<long>")
+    return source.mapInArrow(settled(emit), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, line_no int, h1 long, h2 long, halves array<long>")
 
 
-def _words_of(docs: DataFrame, text_col: str, wanted: Bits, min_words: int) -> DataFrame:
+def _words_of(docs: DataFrame, text_col: str, wanted: Bits, words_per_edit: int) -> DataFrame:
     """line_id (h1) and word hashes of the wanted lines, each once for a task."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +136,14 @@ def _words_of(docs: DataFrame, text_col: str, wanted: Bits, min_words: int) -> D
         for batch in nonempty(batches):
             for _, _, words, bounds in _lines(batch):
                 h1 = line_keys(words, bounds)[0].view(np.int64)
-                take = np.flatnonzero((np.diff(bounds) >= min_words) & wanted.has(h1))
+                take = np.flatnonzero((np.diff(bounds) >= words_per_edit) & wanted.has(h1))
                 take = [i for i in take.tolist() if not (h1[i] in seen or seen.add(h1[i]))]
                 if take:
                     sets = [words[bounds[i] : bounds[i + 1]].view(np.int64) for i in take]
                     offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([pa.array(h1[take]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["line_id", "words"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(emit, "line_id long, words array<long>")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(settled(emit), "line_id long, words array<long>")
 
 
 def _variant_rows(near: DataFrame) -> DataFrame:
@@ -145,19 +153,23 @@ def _variant_rows(near: DataFrame) -> DataFrame:
         for batch in nonempty(batches):
             keys, kinds, owners, held = [], [], [], 0
             for i, words in enumerate(batch.column(3)):
-                h = deletion_variants(words.values.to_numpy().view(np.uint64))
-                n = len(h) - 1
-                keys.append(np.concatenate([h[n:], h[:n], mix(h[:n] ^ mix(np.arange(n, dtype=np.uint64) + (np.uint64(n) << np.uint64(32))))]))
-                kinds.append(np.repeat(np.array([0, 1, 2], dtype=np.int8), [1, n, n]))
-                owners.append(np.full(2 * n + 1, i))
-                held += 2 * n + 1
-                if held > 1 << 17 or i + 1 == batch.num_rows:
-                    owner = pa.array(np.concatenate(owners))
-                    yield pa.RecordBatch.from_arrays([*[batch.column(c).take(owner) for c in range(3)], pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds))], ["line_id", "doc_id", "line_no", "key", "kind"])
-                    keys, kinds, owners, held = [], [], [], 0
+                n = np.uint64(len(words))
+                for at, h in deletion_variants(words.values.to_numpy().view(np.uint64)):
+                    if at < 0:
+                        keys.append(h)
+                        kinds.append(np.zeros(1, dtype=np.int8))
+                    else:
+                        keys += [h, mix(h ^ mix(np.arange(at, at + len(h), dtype=np.uint64) + (n << np.uint64(32))))]
+                        kinds.append(np.repeat(np.array([1, 2], dtype=np.int8), len(h)))
+                    owners.append(np.full(len(kinds[-1]), i))
+                    held += len(kinds[-1])
+                    if held > VARIANTS_AT_ONCE or at < 0 and i + 1 == batch.num_rows:
+                        owner = pa.array(np.concatenate(owners))
+                        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(owner) for c in range(3)], pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds))], ["line_id", "doc_id", "line_no", "key", "kind"])
+                        keys, kinds, owners, held = [], [], [], 0
 
     source = near.select("line_id", "doc_id", "line_no", "words")
-    return source.mapInArrow(emit, f"line_id long, doc_id {source.schema['doc_id'].dataType.simpleString()}, line_no int, key long, kind byte")
+    return source.mapInArrow(settled(emit), f"line_id long, doc_id {source.schema['doc_id'].dataType.simpleString()}, line_no int, key long, kind byte")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -167,19 +179,19 @@ def _verified(pairs: DataFrame) -> DataFrame:
             yield batch.select([0, 1]).filter(pa.array(good))
 
     source = pairs.select("doc_id", "line_no", "words", "other_words")
-    return source.mapInArrow(emit, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, line_no int")
+    return source.mapInArrow(settled(emit), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, line_no int")
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """(doc_id, line_no) of every line that an earlier line repeats, exactly or within one word.
 
     Lines are compared as sequences of words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased. Earlier is by doc_id, then line_no; a
-    line goes if any earlier line, kept or not, is within the bound. Lines without words never repeat; lines under min_words
-    repeat only exactly. Equal lines are one row before any variant is made, so a very common line is one key like any other.
+    line goes if any earlier line, kept or not, is within the bound: one word, if both lines have words_per_edit words or more,
+    else none. Lines without words never repeat. Equal lines are one row before any variant is made, so a very common line is one key like any other.
     Variants are made only of lines that share a half with another line, as every pair within one edit does.
     """
     spark = docs.sparkSession
-    places = materialize(line_places(docs, id_col, text_col, min_words), "line-places")
+    places = materialize(line_places(docs, id_col, text_col, words_per_edit), "line-places")
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     first = materialize(first, "line-first")
     at = F.struct("doc_id", "line_no")
@@ -190,10 +202,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = materialize(halves.join(common, "half", "left_semi").select("line_id").distinct(), "line-near")
     # Of two lines of one h1 the earlier stands for both here: a collision of 64 bits hides no exact repeat.
     where = first.groupBy(F.col("h1").alias("line_id")).agg(F.min("first").alias("first"))
-    words = _words_of(docs, text_col, Bits(spark, near), min_words).dropDuplicates(["line_id"])
+    words = _words_of(docs, text_col, Bits(spark, near), words_per_edit).dropDuplicates(["line_id"])
     near = words.join(near, "line_id").join(where, "line_id").select("line_id", "first.doc_id", "first.line_no", "words")
     near = materialize(near, "line-words")
-    release(spark)
 
     rows = _variant_rows(near)
     earliest = [F.min(F.when(F.col("kind") == k, F.struct("doc_id", "line_no", "line_id"))).alias(f"e{k}") for k in (0, 1, 2)]
@@ -207,11 +218,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = materialize(exact.union(_verified(pairs)).distinct(), "line-repeats")
     for table in (places, first, near):
         drop_table(spark, table)
-    release(spark)
     return repeated
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """docs without repeated lines: all columns, text_col made of the kept lines, and n_lines (with words) and n_dropped.
 
     Order of lines and lines without words stay; null texts stay null, empty texts empty; texts of which nothing goes are
@@ -219,14 +229,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines. Earlier is by id, null ids last, then hash of the text. Columns of docs named n_lines or n_dropped
     are replaced. The texts shuffle once, to meet their lists of dropped lines; a list is at most as long as its text.
     """
-    keyed = docs.select(row_key(id_col, text_col).alias("row_key_"), F.col(text_col))
-    dropped = repeated_lines(keyed, "row_key_", text_col, min_words).groupBy(F.col("doc_id").alias("dropped_id_")).agg(F.sort_array(F.collect_list("line_no")).alias("dropped_lines_"))
-    joined = docs.join(dropped, row_key(id_col, text_col) == F.col("dropped_id_"), "left")
-    joined = joined.withColumn("lines_", F.split(F.col(text_col), "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), F.col("dropped_lines_"))
-    untouched = F.col("dropped_lines_").isNull() | F.col(text_col).isNull()
-    text = F.when(untouched, F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines_"), i)), "\n"))
-    n_lines = F.size(F.filter(F.col("lines_"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
-    columns = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    counts = [F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("dropped_lines_").isNotNull(), F.size("dropped_lines_")), F.lit(0)).cast("long").alias("n_dropped")]
+    own = "tidemark_line_"
+    keyed = docs.select(row_key(id_col, text_col).alias(f"{own}key"), F.col(text_col))
+    dropped = repeated_lines(keyed, f"{own}key", text_col, words_per_edit)
+    dropped = dropped.groupBy(F.col("doc_id").alias(f"{own}id")).agg(F.sort_array(F.collect_list("line_no")).alias(f"{own}gone"))
+    joined = docs.join(dropped, row_key(id_col, text_col) == F.col(f"{own}id"), "left")
+    joined = joined.withColumn(f"{own}all", F.split(F.col(text_col), "\n"))
+    lines, gone = F.col(f"{own}all"), F.col(f"{own}gone")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    untouched = gone.isNull() | F.col(text_col).isNull()
+    text = F.when(untouched, F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    n_lines = F.size(F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    counts = [F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.when(gone.isNotNull(), F.size(gone)), F.lit(0)).cast("long").alias("n_dropped")]
     return joined.select(*columns, *counts)
