@@ -10,9 +10,9 @@ The join is exact and never forms the pairs of a group of copies:
    their own. The others are partitioned into groups of similar documents (by the least node they share a signature with, cut to
    a bounded number of shingles); a group's rows of the matrix are the unions of its members' shingles, in subgroups.
 4. A query's overlap with a union bounds its overlap with every member. Only qualifying subgroups are opened and their members
-   verified exactly. First each group queries itself. What still shares a signature with another component is grouped by
-   connected signatures, and the nodes outside a group's main component query its tiles, so members of the main component are
-   not compared again.
+   verified exactly. First each group queries itself. What still shares a signature with another component is laid out in
+   tiles, and the nodes outside the main component of their surroundings query those tiles that hold one of their signatures
+   under another component; members of a main component are not compared again.
 """
 
 from __future__ import annotations
@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import column, drop_table, hash_shingles, hash_words, materialize, mix, nonempty, release, row_key, text_blocks
+from tidemark.llm.shared import column, drop_table, give_back, hash_shingles, hash_words, materialize, mix, nonempty, row_key, settled, text_blocks
 
 #: Fixed size of the filter of possible signatures and nodes; when it fills up it only lets more rows through.
 FILTER_BITS = 27
-GROUP_MEMBERS, GROUP_SHINGLES, SUBGROUP, QUERY_BLOCK = 256, 1 << 17, 8, 512
+GROUP_MEMBERS, GROUP_SHINGLES, SUBGROUP = 256, 1 << 17, 8
+#: Members and queries of a tile that meet in one group.
+TILE_MEMBERS, QUERY_BLOCK = 128, 128
 
 
 def shingle_sets(block: list[bytes], width: int) -> list[np.ndarray]:
@@ -100,7 +102,10 @@ def signatures(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
                 break
         else:
             raise ValueError("no seed spreads this set over its parts")
-    return np.concatenate(found).view(np.int64) if found else np.zeros(0, dtype=np.int64)
+    return np.concatenate(found).view(np.int64) if found else NOTHING
+
+
+NOTHING = np.zeros(0, dtype=np.int64)
 
 
 class Bits:
@@ -140,23 +145,18 @@ def _each_set(batches: Iterator[pa.RecordBatch], width: int, first_rows: Bits) -
                     yield node, tokens
 
 
-def _signature_rows(texts: DataFrame, width: int, num: int, den: int, first_rows: Bits, wanted: Bits | None = None) -> DataFrame:
+def _wanted_signatures(rows: DataFrame, wanted: Bits) -> DataFrame:
+    """(sig, node) of the stored signatures that the filter lets through."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, nodes, held = [], [], 0
-        for node, tokens in _each_set(batches, width, first_rows):
-            own = signatures(tokens, num, den)
-            if wanted is not None:
-                own = own[wanted.has(own)]
-            sigs.append(own)
-            nodes.append(np.full(len(own), node))
-            held += len(own)
-            if held > 1 << 17:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
-                sigs, nodes, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+        for batch in nonempty(batches):
+            lists = batch.column(1)
+            sigs = lists.flatten().to_numpy()
+            kept = wanted.has(sigs)
+            nodes = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(sigs[kept]), pa.array(nodes[kept])], ["sig", "node"])
 
-    return texts.mapInArrow(emit, "sig long, node long")
+    return rows.where("size(sigs) > 0").select("node", "sigs").mapInArrow(settled(emit), "sig long, node long")
 
 
 def _set_rows(texts: DataFrame, width: int, first_rows: Bits, wanted: Bits) -> DataFrame:
@@ -178,24 +178,27 @@ def _set_rows(texts: DataFrame, width: int, first_rows: Bits, wanted: Bits) -> D
         offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))], ["node", "tokens"])
 
-    return texts.mapInArrow(emit, "node long, tokens array<long>")
+    return texts.mapInArrow(settled(emit), "node long, tokens array<long>")
 
 
-def document_nodes(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n_shingles, node (null without words) and key (of id and node) of each row."""
+def document_nodes(docs: DataFrame, width: int, similarity: tuple[int, int], id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_shingles, node (null without words), key (of id and node) and sigs of each row; of equal sets in one task only the first has sigs."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int | None] = {None}
         for batch in nonempty(batches):
-            sizes, nodes = [], []
-            for _, block in text_blocks(column(batch, "text")):
+            id_hashes = batch.column(1).to_numpy()
+            for first, block in text_blocks(column(batch, "text")):
                 sets = shingle_sets(block, width)
-                sizes += [len(s) for s in sets]
-                nodes += [node_of(s) for s in sets]
-            keys = _row_keys(batch.column(1).to_numpy(), nodes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys)], ["doc_id", "n_shingles", "node", "key"])
+                nodes = [node_of(s) for s in sets]
+                sigs = [signatures(s, *similarity) if not (n in seen or seen.add(n)) else NOTHING for s, n in zip(sets, nodes, strict=True)]
+                keys = _row_keys(id_hashes[first : first + len(block)], nodes)
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sigs])]).astype(np.int32)
+                arrays = [pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(block)), *arrays], ["doc_id", "n_shingles", "node", "key", "sigs"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col).alias("id_hash"), F.col(text_col).alias("text"))
-    return source.mapInArrow(emit, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, key long")
+    return source.mapInArrow(settled(emit), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_shingles long, node long, key long, sigs array<long>")
 
 
 # --- the token-group matrix ----------------------------------------------------------------------
@@ -210,7 +213,7 @@ def qualifying_links(queries: list[np.ndarray], members: list[np.ndarray], num:
     vocabulary = np.unique(np.concatenate(members))
     size = np.array([len(m) for m in members])
     order = np.lexsort((size, [m[0] for m in members]))
-    matrix = np.zeros((len(members), len(vocabulary)), dtype=np.float32)
+    matrix = np.zeros((len(members), len(vocabulary)), dtype=np.float32)  # some 256 x 2 ** 17 cells at most
     for row, i in enumerate(order):
         matrix[row, np.searchsorted(vocabulary, members[i])] = 1
     begins = np.arange(0, len(members), SUBGROUP)
@@ -258,12 +261,19 @@ def _arrays(tokens: pd.Series) -> list[np.ndarray]:
     return [np.asarray(t, dtype=np.int64).view(np.uint64) for t in tokens]
 
 
+def _after(sets: list[np.ndarray]) -> None:
+    """A large group's worker gives its memory back."""
+    if sum(map(len, sets)) > 1 << 15:
+        give_back()
+
+
 def _own_links(num: int, den: int):
     def links(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("node")
         sets, nodes, forest, edges = _arrays(group["tokens"]), group["node"].tolist(), Forest(), []
         for q, m in qualifying_links(sets, sets, num, den):
             edges += [(nodes[i], nodes[j]) for i, j in zip(q.tolist(), m.tolist(), strict=True) if i != j and forest.join(nodes[i], nodes[j])]
+        _after(sets)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return links
@@ -274,8 +284,10 @@ def _other_links(num: int, den: int):
         members, edges, forest = members.drop_duplicates("node"), [], Forest()
         if len(members) and len(queries):
             m_node, m_root, q_node, q_root = (x.tolist() for x in (members["node"], members["root"], queries["q_node"], queries["q_root"]))
-            for q, m in qualifying_links(_arrays(queries["q_tokens"]), _arrays(members["tokens"]), num, den):
+            sets = _arrays(members["tokens"])
+            for q, m in qualifying_links(_arrays(queries["q_tokens"]), sets, num, den):
                 edges += [(q_node[i], m_node[j]) for i, j in zip(q.tolist(), m.tolist(), strict=True) if forest.join(q_root[i], m_root[j])]
+            _after(sets)
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return links
@@ -327,7 +339,38 @@ def _hopeful(sets: DataFrame, num: int, den: int) -> DataFrame:
             common, size = held[ends[1:]] - held[ends[:-1]], np.diff(ends)
             yield batch.filter(pa.array(den * common >= num * size))
 
-    return sets.select("node", "tokens").mapInArrow(emit, "node long, tokens array<long>")
+    return sets.select("node", "tokens").mapInArrow(settled(emit), "node long, tokens array<long>")
+
+
+def _links_across(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links that join the components (root) of the rows (sig, node, root), whose signatures several components share.
+
+    Roots that share signatures make a clump, and the root with most nodes is its main one. Nodes lie in tiles of a bounded number
+    of members, those with the same least signature together. Every node but the main root's asks each tile that holds one of its
+    signatures under another root; a tile with many askers is opened in as many parts.
+    """
+    met = left.groupBy("sig").agg(F.min("root").alias("least"))
+    clumps = connected_components(left.join(met, "sig").where("root > least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
+    nodes = left.groupBy("node").agg(F.first("root").alias("root"), F.min("sig").alias("kind"))
+    nodes = nodes.join(clumps.select(F.col("node").alias("root"), F.col("root").alias("clump")), "root", "left").withColumn("clump", F.coalesce("clump", "root"))
+    nodes = materialize(nodes.join(sets.select("node", F.size("tokens").alias("n")), "node"), "members")
+    main = nodes.groupBy("clump", "root").count().groupBy("clump").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    sizes = nodes.groupBy("kind").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_MEMBERS), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("tiles"))
+    placed = nodes.join(main, "clump").join(sizes, "kind").select("node", "root", "kind", F.pmod(F.xxhash64("node"), "tiles").alias("tile"), (F.col("root") != F.col("main")).alias("asks"))
+    placed = materialize(placed, "tiles")
+
+    by_sig = left.select("sig", "node").join(placed, "node")
+    held = by_sig.groupBy("sig", "kind", "tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    asking = by_sig.where("asks").select("sig", F.col("node").alias("q_node"), F.col("root").alias("q_root"))
+    routes = asking.join(held, "sig").where("lo <> q_root OR hi <> q_root").select("q_node", "q_root", "kind", "tile").distinct()
+    routes = materialize(routes, "routes")
+    loads = routes.groupBy("kind", "tile").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("parts"))
+    queries = routes.join(loads, ["kind", "tile"]).withColumn("part", F.pmod(F.xxhash64("q_node"), "parts"))
+    queries = queries.join(sets.select(F.col("node").alias("q_node"), F.col("tokens").alias("q_tokens")), "q_node")
+    queries = queries.select(F.col("kind").alias("q_kind"), F.col("tile").alias("q_tile"), F.col("part").alias("q_part"), "q_node", "q_root", "q_tokens")
+    opened = placed.join(loads, ["kind", "tile"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    opened = opened.join(sets.select("node", "tokens"), "node").select("kind", "tile", "part", "node", "root", "tokens")
+    return opened.groupBy("kind", "tile", "part").cogroup(queries.groupBy("q_kind", "q_tile", "q_part")).applyInPandas(_other_links(num, den), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, width: int = 4, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -345,23 +388,21 @@ def ngram_components(docs: DataFrame, width: int = 4, similarity: tuple[int, int
     if not den < 2 * num <= 2 * den:
         raise ValueError("similarity must be above 1/2 and at most 1")
     texts = docs.select(F.xxhash64(id_col).alias("id_hash"), F.col(text_col).alias("text"))
-    rows = materialize(document_nodes(docs, width, id_col, text_col), "nodes")
-    first_rows = Bits(spark, rows.where("node IS NOT NULL").groupBy("node").agg(F.min_by("key", F.struct("doc_id", "key")).alias("key")).select("key"))
+    rows = materialize(document_nodes(docs, width, similarity, id_col, text_col), "nodes")
 
-    blocks = _signature_rows(texts, width, num, den, first_rows).groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
+    blocks = rows.select(F.explode("sigs").alias("sig"), "node").groupBy("sig").agg(F.min("node").alias("lo"), F.max("node").alias("hi"))
     blocks = materialize(blocks.where("lo < hi").select("sig", "lo"), "blocks")
-    shared = _signature_rows(texts, width, num, den, first_rows, Bits(spark, blocks.select("sig"))).join(blocks, "sig")
-    shared = materialize(shared.select("sig", "node"), "shared")
+    shared = _wanted_signatures(rows, Bits(spark, blocks.select("sig"))).join(blocks, "sig")
+    shared = materialize(shared.select("sig", "node").distinct(), "shared")
     drop_table(spark, blocks)
-    release(spark)
 
+    first_rows = Bits(spark, rows.where("node IS NOT NULL").groupBy("node").agg(F.min_by("key", F.struct("doc_id", "key")).alias("key")).select("key"))
     near = materialize(_set_rows(texts, width, first_rows, Bits(spark, shared.select("node"))).dropDuplicates(["node"]), "near")
     sets = materialize(_hopeful(near, num, den), "sets")
     shared_left = shared.join(sets.select("node"), "node", "left_semi").withColumn("root", F.col("node"))
     left = materialize(_mixed(shared_left).select("sig", "node"), "shared")
     for table in (near, shared):
         drop_table(spark, table)
-    release(spark)
 
     least = left.groupBy("sig").agg(F.min("node").alias("lo"))
     centers = materialize(left.join(least, "sig").groupBy("node").agg(F.min("lo").alias("center")), "centers")
@@ -372,35 +413,19 @@ def ngram_components(docs: DataFrame, width: int = 4, similarity: tuple[int, int
     grouped = with_center.join(sets, "node")
     edges = materialize(grouped.groupBy("center", "chunk").applyInPandas(_own_links(num, den), "a long, b long"), "links")
     roots = connected_components(edges)
-    release(spark)
+    drop_table(spark, edges)
+    drop_table(spark, centers)
 
     # What is left: signatures that nodes of several components share.
     rooted = left.join(roots, "node", "left").select("sig", "node", F.coalesce("root", "node").alias("root"))
-    left = materialize(_mixed(rooted), "left")
-    met = left.groupBy("sig").agg(F.min("root").alias("least"))
-    clumps = connected_components(left.join(met, "sig").where("root > least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
-    named = left.select("node", "root").distinct().join(clumps.select(F.col("node").alias("root"), F.col("root").alias("clump")), "root", "left")
-    named = materialize(named.select("node", "root", F.coalesce("clump", "root").alias("clump")), "clumps")
-    members = named.join(sets.select("node", "tokens"), "node")
-    by_root = members.groupBy("clump", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("held"))
-    shape = by_root.groupBy("clump").agg(
-        F.max_by("root", F.struct("n", "root")).alias("main"),
-        F.greatest(F.ceil(F.sum("n") / GROUP_MEMBERS), F.ceil(F.sum("held") / GROUP_SHINGLES)).alias("tiles"),
-        (F.sum("n") - F.max("n")).alias("asking"),
-    )
-    shape = materialize(shape.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("asking") / QUERY_BLOCK))), "clump-shapes")
-    release(spark)
-    placed_in = members.join(shape, "clump").withColumns({"tile": F.pmod(F.xxhash64("node"), "tiles"), "part": F.pmod(F.xxhash64("node", F.lit(1)), "parts")})
-    asking = placed_in.where(F.col("root") != F.col("main"))
-    blocks_asking = asking.select("clump", "part").distinct()
-    queries = asking.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))).select("clump", "tile", "part", "node", "root", "tokens")
-    opened = placed_in.select("clump", "tile", "node", "root", "tokens").join(blocks_asking, "clump").select("clump", "tile", "part", "node", "root", "tokens")
-    keys = ["clump", "tile", "part"]
-    queries = queries.select(*[F.col(c).alias(f"q_{c}") for c in queries.columns])
-    more = opened.groupBy(*keys).cogroup(queries.groupBy(*[f"q_{c}" for c in keys])).applyInPandas(_other_links(num, den), "a long, b long")
-    more = materialize(more, "links")
+    before, left = left, materialize(_mixed(rooted), "left")
+    drop_table(spark, before)
+    more = materialize(_links_across(left, sets, num, den), "links")
     if more.limit(1).count():
-        roots = connected_components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        before, roots = roots, connected_components(more.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        drop_table(spark, before)
+    for table in (left, sets, more):
+        drop_table(spark, table)
 
     first = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"))
     named = first.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
@@ -415,8 +440,9 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows are told apart by id and text: null and repeated ids have components of their own; of equal rows one stays.
     """
-    keyed = docs.withColumn("row_key_", row_key(id_col, text_col))
-    return one_of_each(keyed, ngram_components(keyed, id_col="row_key_", text_col=text_col, **options), "row_key_").drop("row_key_")
+    key = "tidemark_row_key"
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    return one_of_each(keyed, ngram_components(keyed, id_col=key, text_col=text_col, **options), key).drop(key)
 
 
 def one_of_each(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -424,6 +450,5 @@ def one_of_each(docs: DataFrame, components: DataFrame, id_col: str = "doc_id")
 
     Ids must tell rows apart, as row_key does; see without_near_copies.
     """
-    kept = components.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept_id_")).distinct()
-    names = docs.columns
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id_")), "left_semi").select(*names).dropDuplicates([id_col])
+    kept = components.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("tidemark_kept_id")).distinct()
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("tidemark_kept_id")), "left_semi").dropDuplicates([id_col])
