@@ -4,11 +4,13 @@ A merge-based piece sequence is the one path through the lattice of pieces whose
 compatible if encoding their joint text alone gives just these two. With weight 0 for compatible and -inf for other neighbours
 this is a max-plus path problem, and any stretch of text between two piece boundaries is encoded as if it stood alone.
 
-A giant text is cut into chunks of equal length, wherever that falls. For a chunk, the boundary state is how far the piece that
-crosses its edge reaches over it. Its transfer matrix holds, for each state at its beginning and each at its end, the weight of
-the path between and the path's first and last piece; matrices of neighbours combine in max-plus, adding the compatibility of
-the pieces that meet. The combined scan fixes each chunk's states, and then every chunk is encoded by itself, word by word:
-a space mark that follows another character always begins a piece, so distinct words are encoded once while they are kept.
+Every text is cut into chunks of equal length, wherever that falls; a short one is one chunk. For a chunk, the boundary state is
+how far the piece that crosses its edge reaches over it. Its transfer matrix holds, for each state at its beginning and each at
+its end, the weight of the path between and the path's first and last piece; matrices of neighbours combine in max-plus, adding
+the compatibility of the pieces that meet, pair by pair up a tree. Down the tree the states of all chunks are read off the
+products, and then every chunk is traced back by itself along its path, stretch by stretch: a space mark that follows another
+character always begins a piece, so distinct words are traced once while they are kept. The one chunk of a short text goes from
+state 0 to state 0 and needs no matrix.
 """
 
 from __future__ import annotations
@@ -22,16 +24,17 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import column, held, materialize, nonempty
+from tidemark.llm.shared import UnitTable, byte_slices, column, held, holding, materialize, nonempty, settled
 
 SPACE = "\u2581"
 CHUNK = 1 << 16
-#: Longer stretches are traced along their path, shorter ones merged in place: the same pieces.
-SHORT = 64
-CACHE_UNITS = 250_000
+BYTES_AT_ONCE = 1 << 21
+#: Chunks of a giant text that go on as one batch.
+CHUNKS_AT_ONCE = 32
 NEVER = -np.inf
 
 
@@ -101,7 +104,7 @@ class Pieces:
         self.compatible = lru_cache(1 << 18)(self._compatible)
 
     def _merged(self, text: str) -> tuple[str, ...]:
-        """The pieces of a short text: of the neighbours whose joint text is a piece, the best scored (leftmost of equals) merge first."""
+        """The pieces of two joined pieces' text: of the neighbours whose joint text is a piece, the best scored (leftmost of equals) merge first."""
         parts, find = list(text), self.score.get
         scores = [find(a + b, NEVER) for a, b in pairwise(parts)]
         while scores:
@@ -138,9 +141,7 @@ class Pieces:
         return last
 
     def trace(self, text: str) -> list[str]:
-        """The pieces of a stretch that stands alone."""
-        if len(text) <= SHORT:
-            return list(self._merged(text))
+        """The pieces of a stretch that stands alone, back along its path."""
         last, out, at = self.paths(text), [], len(text)
         while at:
             out.append(last[at])
@@ -166,41 +167,64 @@ def prepared(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-class UnitCache:
-    """Ids of the stretches between places where no piece can cross: a mark that follows another character begins one."""
+class PieceEncoder:
+    """Ids of stretches that begin and end at piece boundaries, each distinct word traced once while it is kept."""
 
     def __init__(self, model: Pieces):
         self.model = model
-        self.ids: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        # The first unit is empty unless text begins in the middle of a word; runs of marks stay together with their word.
-        units = text.split(SPACE)
-        if "" in units[1:]:
-            units, run = [units[0]], ""
-            for u in text.split(SPACE)[1:]:
-                run += SPACE
-                if u:
-                    units.append(run[1:] + u)
-                    run = ""
-            if run:
-                units.append(run[1:])
-        known = self.ids
-        if len(known) > CACHE_UNITS:
-            known.clear()
-        model = self.model
-        out = [np.array(model.ids(model.trace(units[0])), dtype=np.int32).tobytes()] if units[0] else []
-        for u in units[1:]:
-            got = known.get(u)
-            if got is None:
-                got = known[u] = np.array(model.ids(model.trace(SPACE + u)), dtype=np.int32).tobytes()
-            out.append(got)
-        return np.frombuffer(b"".join(out), dtype=np.int32)
-
-
-def _cache(path: str) -> UnitCache:
+        self.units = UnitTable(self._learn)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.model.ids(self.model.trace(w)) for w in words]
+        return np.array([i for ids in found for i in ids], dtype=np.int32), np.array([len(ids) for ids in found], dtype=np.int64)
+
+    @staticmethod
+    def cut(text: str) -> list[str]:
+        """The words of any stretch: no piece crosses a mark that follows another character; a run of marks stays with its word."""
+        first, *units = text.split(SPACE)
+        words, run = [first] if first else [], ""
+        for u in units:
+            run += SPACE
+            if u:
+                words.append(run + u)
+                run = ""
+        return [*words, run] if run else words
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each text's begin, one entry more) of prepared texts."""
+        place = self.units.begin()
+        odd = pc.match_substring_regex(texts, f"^[^{SPACE}]|{SPACE}{SPACE}|{SPACE}$").to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts.filter(pa.array(~odd)), SPACE)
+        counted = split.values.dictionary_encode()
+        # What stands before the first mark of a text is empty, and so no word.
+        known = np.array([place[SPACE + u] if u else -1 for u in counted.dictionary.to_pylist()], dtype=np.int64)
+        index = known[counted.indices.to_numpy()]
+        index = index[index >= 0]
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[~odd] = np.maximum(np.diff(split.offsets.to_numpy()) - 1, 0)
+        if odd.any():
+            own = {i: [place[w] for w in self.cut(texts[i].as_py())] for i in np.flatnonzero(odd).tolist()}
+            for i, places in own.items():
+                counts[i] = len(places)
+            plain, index = index, np.zeros(counts.sum(), dtype=np.int64)
+            index[np.repeat(~odd, counts)] = plain
+            index[np.repeat(odd, counts)] = np.concatenate([np.array(p, dtype=np.int64) for p in own.values()])
+        return self.units.ids(index, counts)
+
+    def encode_texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of whole texts as they come: a space in front of those that are not empty, and spaces as marks."""
+        marked = pc.replace_substring(texts, " ", SPACE)
+        mark, nothing = (pa.scalar(x, pa.large_string()) for x in (SPACE, ""))
+        return self.encode(pc.if_else(pc.equal(marked, nothing), nothing, pc.binary_join_element_wise(mark, marked, nothing)))
+
+    def encode_one(self, text: str) -> np.ndarray:
+        """Ids of one prepared stretch."""
+        return self.encode(pa.array([text], pa.large_string()))[0]
+
+
+def _cache(path: str) -> PieceEncoder:
     """One for each worker process and model; it holds the model too."""
-    return held(("piece cache", path), lambda: UnitCache(Pieces(path)))
+    return held(("piece encoder", path), lambda: PieceEncoder(Pieces(path)))
 
 
 def pieces(path: str) -> Pieces:
@@ -255,36 +279,49 @@ def _exits(model: Pieces, text: str, begin: int, size: int, final: bool) -> list
     return found
 
 
-def combine(model: Pieces, left: list[tuple], right: list[tuple]) -> list[tuple]:
-    """The max-plus product of two neighbours' transfer matrices: paths meet in a state, and the meeting pieces must be compatible."""
+def product(model: Pieces, left: list[tuple], right: list[tuple]) -> dict[tuple[int, int], tuple[tuple, int]]:
+    """The max-plus product of two neighbours' transfer matrices, by (state at the beginning, at the end): the entry and the state in which its path crosses from one to the other.
+
+    Paths meet in a state, and the meeting pieces must be compatible; of the paths between two states only one has a finite weight.
+    """
     by_state: dict[int, list[tuple]] = {}
     for entry in right:
         by_state.setdefault(entry[0], []).append(entry)
-    product = {}
+    found = {}
     for begin, middle, first, last in left:
         for _, end, next_first, next_last in by_state.get(middle, ()):
             if not last or not next_first or model.compatible(last, next_first):
-                product[begin, end] = (begin, end, first or next_first, next_last or last)
-    return list(product.values())
+                found[begin, end] = (begin, end, first or next_first, next_last or last), middle
+    return found
+
+
+def combine(model: Pieces, left: list[tuple], right: list[tuple]) -> list[tuple]:
+    """The product's entries alone: an associative operation."""
+    return [entry for entry, _ in product(model, left, right).values()]
 
 
 def scan_states(model: Pieces, matrices: list[list[tuple]]) -> list[int]:
-    """The state at the beginning of each chunk and at the end of the last, on the path from state 0 to state 0."""
-    prefix = [[(0, 0, "", "")]]
-    for m in matrices:
-        prefix.append([e for e in combine(model, prefix[-1], m) if e[0] == 0])
-    states, following = [0], ""
-    for i in range(len(matrices) - 1, -1, -1):
-        for begin, end, first, last in matrices[i]:
-            if end != states[-1] or (last and following and not model.compatible(last, following)):
-                continue
-            if any(e[1] == begin and (not e[3] or not first or model.compatible(e[3], first)) for e in prefix[i]):
-                states.append(begin)
-                following = first or following
-                break
-        else:
-            raise ValueError("no path through the chunks")
-    return states[::-1]
+    """The state at the beginning of each chunk and at the end of the last, on the path from state 0 to state 0.
+
+    Neighbours' matrices are multiplied pair by pair, level by level; then each product's states give the one between its halves.
+    """
+    levels: list[list] = [[{(e[0], e[1]): (e, None) for e in m} for m in matrices]]
+    while len(levels[-1]) > 1:
+        below = [[e for e, _ in m.values()] for m in levels[-1]]
+        above = [product(model, below[i], below[i + 1]) for i in range(0, len(below) - 1, 2)]
+        levels.append(above + levels[-1][len(below) - len(below) % 2 :])
+    spans = [(0, 0)]
+    if (0, 0) not in levels[-1][0]:
+        raise ValueError("no path through the chunks")
+    for below, above in zip(reversed(levels[:-1]), reversed(levels[1:]), strict=True):
+        wider, spans = spans, []
+        for i, span in enumerate(wider):
+            if 2 * i + 1 < len(below):
+                middle = above[i][span][1]
+                spans += [(span[0], middle), (middle, span[1])]
+            else:
+                spans.append(span)
+    return [0, *[end for _, end in spans]]
 
 
 def _giant_ids(giants: DataFrame, model_path: str, chunk: int) -> DataFrame:
@@ -295,11 +332,12 @@ def _giant_ids(giants: DataFrame, model_path: str, chunk: int) -> DataFrame:
         for batch in nonempty(batches):
             for key, text in zip(column(batch, "key"), column(batch, "text"), strict=True):
                 whole = prepared(text)
-                at = range(0, len(whole), chunk)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(at)), pa.array(range(len(at)), pa.int32()), pa.array([min(chunk, len(whole) - i) for i in at], pa.int32()), pa.array([i + chunk >= len(whole) for i in at]), pa.array([whole[i : i + chunk + reach] for i in at])],
-                    ["key", "no", "size", "final", "part"],
-                )
+                for first in range(0, len(whole), CHUNKS_AT_ONCE * chunk):
+                    at = range(first, min(len(whole), first + CHUNKS_AT_ONCE * chunk), chunk)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([key] * len(at)), pa.array([i // chunk for i in at], pa.int32()), pa.array([min(chunk, len(whole) - i) for i in at], pa.int32()), pa.array([i + chunk >= len(whole) for i in at]), pa.array([whole[i : i + chunk + reach] for i in at])],
+                        ["key", "no", "size", "final", "part"],
+                    )
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
@@ -319,13 +357,13 @@ def _giant_ids(giants: DataFrame, model_path: str, chunk: int) -> DataFrame:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
             cache = _cache(model_path)
-            ids = [cache.encode(part[b : size + e]) if size + e > b else np.zeros(0, np.int32) for part, size, b, e in zip(*[column(batch, c) for c in ("part", "size", "begin", "end")], strict=True)]
+            ids = [cache.encode_one(part[b : size + e]) if size + e > b else np.zeros(0, np.int32) for part, size, b, e in zip(*[column(batch, c) for c in ("part", "size", "begin", "end")], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([i.tolist() for i in ids], pa.list_(pa.int32()))], ["key", "no", "ids"])
 
-    parts = materialize(giants.mapInArrow(cut, "key string, no int, size int, final boolean, part string").repartition("key", "no"), "chunks")
-    states = parts.mapInArrow(matrices, "key string, no int, begins array<int>, ends array<int>, firsts array<string>, lasts array<string>")
+    parts = materialize(giants.mapInArrow(holding(cut), "key string, no int, size int, final boolean, part string").repartition("key", "no"), "chunks")
+    states = parts.mapInArrow(holding(matrices), "key string, no int, begins array<int>, ends array<int>, firsts array<string>, lasts array<string>")
     states = states.groupBy("key").applyInPandas(scan, "key string, no int, begin int, end int")
-    encoded = parts.join(states, ["key", "no"]).select("key", "no", "size", "begin", "end", "part").mapInArrow(encode, "key string, no int, ids array<int>")
+    encoded = parts.join(states, ["key", "no"]).select("key", "no", "size", "begin", "end", "part").mapInArrow(holding(encode), "key string, no int, ids array<int>")
     whole = encoded.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("parts"))
     return whole.select("key", F.flatten(F.col("parts.ids")).alias("ids"))
 
@@ -335,29 +373,26 @@ def encode_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     restore adds restored: whether decoding the ids gives the text (null: the empty text).
 
-    Null and empty texts have no ids. Texts of more than chunk characters go through the scan: each distinct one is cut into
-    chunk rows that are encoded in parallel; the matrices of one text, a few numbers and pieces for each chunk, meet in one
-    group. Other texts are one chunk and take a narrow pass. model_path: a model of merges with byte fallback.
+    Null and empty texts have no ids. A text of one chunk is traced in a narrow pass. Of the others each distinct one is cut into
+    chunk rows, whose matrices and paths are found in parallel; the matrices of one text, a few numbers and pieces for each
+    chunk, meet in one group. Other columns of docs play no part. model_path: a model of merges with byte fallback.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
-            cache, texts, at = _cache(model_path), column(batch, "text"), 0
-            while at < len(texts):
-                ids, same, held, first = [], [], 0, at
-                while at < len(texts) and held < 1 << 21:
-                    ids.append(cache.encode(prepared(texts[at])))
-                    if restore:
-                        same.append(cache.model.decode(ids[-1]) == (texts[at] or ""))
-                    held, at = held + len(texts[at] or ""), at + 1
-                offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(first, len(ids)) for c in (0, 1)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))), *([pa.array(same, pa.bool_())] if restore else [])], names)
+            encoder, texts = _cache(model_path), batch.column(1)
+            for first, block in byte_slices(texts, BYTES_AT_ONCE):
+                ids, bounds = encoder.encode_texts(block)
+                columns = [*[batch.column(c).slice(first, len(block)) for c in (0, 1)], pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))]
+                if restore:
+                    columns.append(pa.array([encoder.model.decode(ids[a:b]) == t for a, b, t in zip(bounds[:-1], bounds[1:], block.to_pylist(), strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "text", "ids", *(["restored"] if restore else [])]
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    giant = F.coalesce(F.length("text") > chunk, F.lit(False))
-    small = source.where(~giant).mapInArrow(encode, f"doc_id {kind}, text string, ids array<int>" + ", restored boolean" * restore)
+    giant = F.coalesce(F.length("text") >= chunk, F.lit(False))  # a space goes in front
+    small = source.where(~giant).mapInArrow(holding(encode), f"doc_id {kind}, text string, ids array<int>" + ", restored boolean" * restore)
     giants = source.where(giant).withColumn("key", F.sha2("text", 256))
     ids = _giant_ids(giants.select("key", "text").dropDuplicates(["key"]), model_path, chunk)
     large = giants.join(ids, "key").select("doc_id", "text", "ids")
@@ -376,33 +411,39 @@ def decode_pieces(encoded: DataFrame, model_path: str, id_col: str = "doc_id", i
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "decoded"])
 
     source = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    return source.mapInArrow(decode, f"id {source.schema['id'].dataType.simpleString()}, decoded string").withColumnRenamed("id", id_col)
+    return source.mapInArrow(holding(decode), f"id {source.schema['id'].dataType.simpleString()}, decoded string").withColumnRenamed("id", id_col)
 
 
 def with_decoded(encoded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, text and ids with decoded beside them. Narrow."""
+    """doc_id, text and ids with decoded beside them; null ids give null. Narrow."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
             model = pieces(model_path)
-            texts = [model.decode(row.values.to_numpy()) for row in batch.column(2)]
+            texts = [model.decode(row.values.to_numpy()) if row.is_valid else None for row in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], ["doc_id", "text", "ids", "decoded"])
 
     source = encoded.select("doc_id", "text", "ids")
-    return source.mapInArrow(decode, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string, ids array<int>, decoded string")
+    return source.mapInArrow(holding(decode), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string, ids array<int>, decoded string")
 
 
 def pieces_digest(encoded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and restored: whether decoding gives the text."""
+    """doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit integers) and restored: whether decoding gives the text.
+
+    A row for each row; a null text counts as empty, null ids give nulls. Narrow.
+    """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
             model, rows = pieces(model_path), []
             for text, row in zip(column(batch, "text"), batch.column(2), strict=True):
-                ids = row.values.to_numpy()
-                rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), model.decode(ids) == (text or "")))
+                if row.is_valid:
+                    ids = row.values.to_numpy()
+                    rows.append((len(ids), zlib.crc32(ids.astype("<u4").tobytes()), model.decode(ids) == (text or "")))
+                else:
+                    rows.append((None, None, None))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2])], ["doc_id", "n_pieces", "ids_crc32", "restored"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())], ["doc_id", "n_pieces", "ids_crc32", "restored"])
 
     source = encoded.select("doc_id", "text", "ids")
-    return source.mapInArrow(digest, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids_crc32 long, restored boolean")
+    return source.mapInArrow(holding(digest), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids_crc32 long, restored boolean")
