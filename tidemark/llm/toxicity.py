@@ -1,9 +1,11 @@
 """Toxicity: a linear support vector machine over Nyström features of a gap-weighted subsequence kernel on strings.
 
-Landmarks are words or beginnings of words that mark the toxic rows of the labelled sample. A text's strings (its words, and
-runs of single letters put together) are compared with each landmark by the kernel, which counts common subsequences, gaps
-and inserted characters only lowering their weight; a text's values for a landmark are its best string's and the sum over its
-strings against its length. The kernel matrix of the landmarks whitens these values into features.
+The kernel counts common subsequences of two strings, gaps and inserted characters only lowering their weight; divided by the
+roots of both strings' own values and taken to the third power it stays positive definite. Landmarks are words or beginnings of
+words that mark the toxic rows of the labelled sample. A text's strings (its words, and runs of single letters put together) have
+kernel values with each landmark; the kernel matrix of the landmarks whitens them into Nyström features, once for the sum over
+the text's strings (the kernel of sets of strings, scaled by their number) and once for their best values, so that one insult
+shows in a long text.
 """
 
 from __future__ import annotations
@@ -14,10 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import column, held, nonempty
+from tidemark.llm.shared import Places, byte_slices, held, holding, nonempty
 
 #: Labelled rows that the model is fitted on, at most: those of least hash.
 MOST_LABELLED = 8_000
@@ -27,13 +30,15 @@ STEMS = (4, 7)
 SUM_SCALE, SUM_WORDS = 5.0, 20
 #: A landmark's log-likelihood ratio against chance, and toxic rows that hold it, at least.
 TELLING, ROWS = 27.0, 5
-ORDER, DECAY, POWER, WINDOW, GAP = 4, 0.8, 3, 20, 3
-#: A string is compared with a landmark if it holds this share of the landmark's letter pairs in order, within GAP letters.
-GATE = 0.4
-CACHE_WORDS = 300_000
+ORDER, DECAY, POWER, WINDOW = 4, 0.8, 3, 20
+#: Words whose values a worker keeps, and bytes of text that it reads at once.
+CACHE_WORDS, BYTES_AT_ONCE = 150_000, 1 << 20
 THRESHOLD = 0.3
 #: Single letters with one other sign between them.
 SPACED = re.compile(r"(?<!\w)\w(?:\W\w){2,}(?!\w)")
+#: Arrow's regular expressions know no look-around, and only texts that match this can match SPACED.
+MAYBE_SPACED = r"[\pL\pN_][^\pL\pN_][\pL\pN_][^\pL\pN_][\pL\pN_]"
+PAIRS_AT_ONCE = 1 << 13
 
 
 class Landmarks:
@@ -44,36 +49,51 @@ class Landmarks:
         marked = ["^" + w[: WINDOW - 1] for w in words]
         letters = sorted(set("".join(marked)))
         self.code = {c: i + 1 for i, c in enumerate(letters)}  # 0: in no landmark
-        self.length = np.array([len(m) for m in marked])
-        self.target = np.zeros((len(marked), max(self.length, default=1)), dtype=np.int16)
-        for i, m in enumerate(marked):
-            self.target[i, : len(m)] = [self.code[c] for c in m]
-        size = len(letters) + 1
-        pairs = sorted({(a, b) for row, n in zip(self.target, self.length, strict=True) for a, b in zip(row[: n - 1], row[1:n], strict=True)})
-        self.pair_at = np.zeros(size * size, dtype=np.int32)
-        self.size = size
-        self.pair_of = np.zeros((len(pairs) + 1, len(marked)), dtype=np.float32)
-        for j, (a, b) in enumerate(pairs):
-            self.pair_at[int(a) * size + int(b)] = j + 1
-        for i, (row, n) in enumerate(zip(self.target, self.length, strict=True)):
-            for a, b in zip(row[: n - 1], row[1:n], strict=True):
-                self.pair_of[self.pair_at[int(a) * size + int(b)], i] = 1
-        self.need = GATE * self.pair_of.sum(axis=0)
-        own = self._codes(marked)
-        self.own = kernel(own, own)
+        self.target = self._codes(marked)
+        self.root = np.sqrt(kernel(self.target, self.target))
+        self.held = self._held(self._counts(self.target))
+        # Bit j of reach[letter, landmark]: the landmark's j-th letter is this one.
+        self.reach = np.zeros((len(letters) + 1, len(words)), dtype=np.uint32)
+        for i, row in enumerate(self.target):
+            for j, c in enumerate(row[row != 0].tolist()):
+                self.reach[c, i] |= np.uint32(1 << j)
 
     def _codes(self, marked: list[str]) -> np.ndarray:
-        code = self.code
-        out = np.zeros((len(marked), WINDOW), dtype=np.int16)
+        out = np.zeros((len(marked), WINDOW), dtype=np.uint8)
         for i, m in enumerate(marked):
-            out[i, : len(m)] = [code.get(c, 0) for c in m]
+            out[i, : len(m)] = [self.code.get(c, 0) for c in m]
         return out
 
-    def compare(self, words: list[str]) -> np.ndarray:
-        """The POWER-th power of kernel values by the landmark's own (words x landmarks), 1 at most: how well a word holds a landmark.
+    def _counts(self, codes: np.ndarray) -> np.ndarray:
+        """How often each string has each letter."""
+        size = len(self.code) + 1
+        at = np.arange(len(codes))[:, None] * size + codes
+        return np.bincount(at.ravel(), minlength=len(codes) * size).reshape(-1, size)[:, 1:]
+
+    @staticmethod
+    def _held(counts: np.ndarray) -> np.ndarray:
+        """For each string and letter, whether it has the letter once, twice, three times at least (0 or 1, side by side)."""
+        return np.concatenate([counts >= n for n in (1, 2, 3)], axis=1).astype(np.float32)
 
-        A power of a kernel is a kernel; it parts near matches from chance ones. 0 where the gate is shut. Longer words count by their best window.
+    def _related(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The (string, landmark) pairs with a common subsequence of ORDER letters or more; the kernel of all others is 0.
+
+        Pairs with fewer common letters go first; strings with a letter four times stay. Then the longest common subsequence
+        is counted in the bits of a word for each pair.
         """
+        counts = self._counts(codes)
+        string, mark = np.nonzero((self._held(counts) @ self.held.T >= ORDER) | (counts > 3).any(axis=1)[:, None])
+        rows = np.full(len(string), 0xFFFFFFFF, dtype=np.uint32)
+        for j in range(int((codes != 0).any(axis=0).sum())):
+            letter = codes[string, j]
+            match = rows & self.reach[letter, mark]
+            rows = (rows + match) | (rows - match)
+        common = np.bitwise_count(~rows)
+        near = common >= ORDER
+        return string[near], mark[near]
+
+    def compare(self, words: list[str]) -> np.ndarray:
+        """The POWER-th power of the normalised kernel (words x landmarks), at most 1. Longer words count by their best window."""
         owner, marked = [], []
         for i, w in enumerate(words):
             w = "^" + w
@@ -81,18 +101,20 @@ class Landmarks:
                 owner.append(i)
                 marked.append(w[at : at + WINDOW])
         out = np.zeros((len(words), len(self.words)), dtype=np.float32)
-        for first in range(0, len(marked), 1 << 13):
-            codes = self._codes(marked[first : first + (1 << 13)])
-            held = np.zeros((len(codes), self.pair_of.shape[0]), dtype=np.float32)
-            rows = np.arange(len(codes))[:, None]
-            for gap in range(1, GAP + 1):
-                held[rows, self.pair_at[codes[:, :-gap].astype(np.int32) * self.size + codes[:, gap:]]] = 1
-            held[:, 0] = 0
-            row, mark = np.nonzero(held @ self.pair_of >= self.need)
-            for part in range(0, len(row), 1 << 13):
-                r, m = row[part : part + (1 << 13)], mark[part : part + (1 << 13)]
-                value = np.minimum(kernel(codes[r], self.target[m]) / self.own[m], 1) ** POWER
-                np.maximum.at(out, (np.array(owner[first : first + (1 << 13)])[r], m), value.astype(np.float32))
+        # Strings of like length together: the kernel's loops end at the longest of a block.
+        order = np.argsort([len(m) for m in marked], kind="stable")
+        for first in range(0, len(marked), PAIRS_AT_ONCE):
+            some = order[first : first + PAIRS_AT_ONCE]
+            codes = self._codes([marked[i] for i in some.tolist()])
+            string, mark = self._related(codes)
+            rooted = np.zeros(len(codes))
+            used = np.unique(string)
+            rooted[used] = np.sqrt(kernel(codes[used], codes[used]))
+            mine = np.array(owner)[some]
+            for part in range(0, len(string), PAIRS_AT_ONCE):
+                s, m = string[part : part + PAIRS_AT_ONCE], mark[part : part + PAIRS_AT_ONCE]
+                value = (kernel(codes[s], self.target[m]) / (rooted[s] * self.root[m])) ** POWER
+                np.maximum.at(out, (mine[s], m), value.astype(np.float32))
         return out
 
 
@@ -145,44 +167,48 @@ class Reader:
         self._reset()
 
     def _reset(self) -> None:
-        self.row: dict[str, int] = {}
-        self.values = np.zeros((1, len(self.marks.words)), dtype=np.float32)
+        self.place = Places()
+        self.values = np.zeros((0, len(self.marks.words)), dtype=np.float32)
 
     @staticmethod
-    def strings(text: str | None) -> list[str]:
-        low = (text or "").lower()
-        return low.split() + [re.sub(r"\W", "", run) for run in SPACED.findall(low)]
+    def spelled(low: str) -> list[str]:
+        """Runs of single letters, put together."""
+        return [re.sub(r"\W", "", run) for run in SPACED.findall(low)]
 
-    def read(self, texts: list[str | None]) -> np.ndarray:
+    def read(self, texts: pa.Array) -> np.ndarray:
+        """For each text (null: empty) its strings' best values, then their scaled sums."""
         width = len(self.marks.words)
         out = np.zeros((len(texts), 2 * width), dtype=np.float32)
-        at = 0
-        while at < len(texts):
-            first, held, block = at, 0, []
-            while at < len(texts) and held < 1 << 20:
-                block.append(self.strings(texts[at]))
-                held, at = held + len(texts[at] or ""), at + 1
-            if len(self.row) > CACHE_WORDS:
+        for first, block in byte_slices(texts, BYTES_AT_ONCE):
+            if len(self.place) > CACHE_WORDS:
                 self._reset()
-            self._learn(list({w for ws in block for w in ws if w not in self.row}))
-            for i, ws in enumerate(block):
-                rows = [r for r in map(self.row.__getitem__, ws) if r]
-                if rows:
-                    found = self.values[rows]
-                    out[first + i, :width] = found.max(axis=0)
-                    out[first + i, width:] = found.sum(axis=0) * (SUM_SCALE / np.sqrt(len(ws) + SUM_WORDS))
+            low = pc.utf8_lower(block)
+            split = pc.utf8_split_whitespace(low)
+            counted = split.values.dictionary_encode()
+            known = np.array([self.place[w] if w else -1 for w in counted.dictionary.to_pylist()], dtype=np.int64)
+            owner = np.repeat(np.arange(len(block)), np.diff(split.offsets.to_numpy()))
+            index = known[counted.indices.to_numpy()]
+            owner, index = owner[index >= 0], index[index >= 0]  # white space at a text's ends gives empty strings
+            for i in np.flatnonzero(pc.match_substring_regex(low, MAYBE_SPACED).to_numpy(zero_copy_only=False)).tolist():
+                more = [self.place[w] for w in self.spelled(low[i].as_py())]
+                owner, index = np.concatenate([owner, np.full(len(more), i)]), np.concatenate([index, np.array(more, dtype=np.int64)])
+            if self.place.new:
+                new, self.place.new = self.place.new, []
+                self.values = np.concatenate([self.values, self.marks.compare(new)])
+            number = np.bincount(owner, minlength=len(block))
+            hit = self.values.any(axis=1)[index]
+            owner, index = owner[hit], index[hit]
+            order = np.argsort(owner, kind="stable")
+            owner, index = owner[order], index[order]
+            for at in range(0, len(owner), 1 << 17):
+                who, values = owner[at : at + (1 << 17)], self.values[index[at : at + (1 << 17)]]
+                starts = np.flatnonzero(np.diff(who, prepend=-1))
+                mine = first + who[starts]
+                out[mine, :width] = np.maximum(out[mine, :width], np.maximum.reduceat(values, starts, axis=0))
+                out[mine, width:] += np.add.reduceat(values, starts, axis=0, dtype=np.float64)
+            out[first : first + len(block), width:] *= (SUM_SCALE / np.sqrt(number + SUM_WORDS))[:, None]
         return out
 
-    def _learn(self, words: list[str]) -> None:
-        if not words:
-            return
-        values = self.marks.compare(words)
-        hit = values.any(axis=1)
-        rows = np.zeros(len(words), dtype=np.int64)
-        rows[hit] = len(self.values) + np.arange(hit.sum())
-        self.values = np.concatenate([self.values, values[hit]])
-        self.row.update(zip(words, rows.tolist(), strict=True))
-
 
 def _reader(landmarks: list[str]) -> Reader:
     return held(("landmark reader", *landmarks), lambda: Reader(landmarks))
@@ -193,13 +219,13 @@ def landmark_values(docs: DataFrame, landmarks: list[str], carry: list[str]) ->
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
-            values = _reader(landmarks).read(column(batch, "text"))
+            values = _reader(landmarks).read(batch.column(batch.schema.get_field_index("text")))
             offsets = pa.array(np.arange(0, values.size + 1, values.shape[1], dtype=np.int32))
             keep = [batch.column(batch.schema.get_field_index(c)) for c in carry]
             yield pa.RecordBatch.from_arrays([*keep, pa.ListArray.from_arrays(offsets, pa.array(values.ravel().astype(np.float64)))], [*carry, "values"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(*carry, "text").mapInArrow(read, f"{kinds}, values array<double>")
+    return docs.select(*carry, "text").mapInArrow(holding(read), f"{kinds}, values array<double>")
 
 
 def fold(id_col: str) -> Column:
@@ -291,10 +317,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     y = np.array(rows["label_"].to_pylist())
     order = np.lexsort((*x.T, y))  # the same sum order in every run
     x, y = x[order], y[order]
-    # Every toxic row counts once more as if each of its insults had a letter inserted, which costs one decay.
-    x, y = np.concatenate([x, x[y > 0] * DECAY**POWER]), np.concatenate([y, y[y > 0]])
-    gram = Landmarks(chosen).compare(chosen).astype(np.float64)
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(chosen)))
+    # Every toxic row counts once more as if each of its insults had a letter inserted.
+    marks = Landmarks(chosen)
+    inserted = [np.diag(marks.compare([w[: len(w) // 2] + letter + w[len(w) // 2 :] for w in chosen])) for letter in sorted(marks.code)]
+    x, y = np.concatenate([x, x[y > 0] * float(np.median(inserted))]), np.concatenate([y, y[y > 0]])
+    gram = marks.compare(chosen).astype(np.float64)
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2 + 1e-3 * np.eye(len(chosen)))  # symmetric but for rounding
     whiten = np.kron(np.eye(2), vectors @ np.diag(np.maximum(values, 1e-3) ** -0.5) @ vectors.T)
     weights, bias = fit_svm(x @ whiten, y)
     weights = whiten @ weights
@@ -311,10 +339,10 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
-            p = model.probability(_reader(model.landmarks).read(column(batch, "text")).astype(np.float64))
+            p = model.probability(_reader(model.landmarks).read(batch.column(1)).astype(np.float64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["id", "score"])
 
-    scored = source.mapInArrow(score, f"id {source.schema['id'].dataType.simpleString()}, score double")
+    scored = source.mapInArrow(holding(score), f"id {source.schema['id'].dataType.simpleString()}, score double")
     return scored.select(F.col("id").alias(id_col), (fold("id") == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -323,10 +351,10 @@ def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text",
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
-            p = model.probability(_reader(model.landmarks).read(column(batch, text_col)).astype(np.float64))
+            p = model.probability(_reader(model.landmarks).read(batch.column(batch.schema.get_field_index(text_col))).astype(np.float64))
             yield batch.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(holding(keep), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **names: str) -> DataFrame:
