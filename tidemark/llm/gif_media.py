@@ -14,11 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import column, materialize, nonempty
+from tidemark.llm.shared import column, materialize, nonempty, settled
 
 MAX_BITS = 12
 WIDTH, FRAME_ROWS, DELAY_CS = 64, 1024, 10
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+#: Samples of all images of a file, and of its canvas, beyond which it is refused: headers may claim any size.
+MOST_SAMPLES = 1 << 26
+#: The palette index that stands for "as before" in files of samples that don't use it, as UTF-8 never does.
+CLEAR = 255
 
 
 def _widths(min_bits: int, n: int) -> np.ndarray:
@@ -157,8 +161,16 @@ def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def parse_gif(data: bytes) -> Gif:
-    """Reads the structure of a file and decodes its images; raises ValueError if it is no GIF."""
+def parse_gif(data: bytes, most: int = MOST_SAMPLES) -> Gif:
+    """Reads the structure of a file and decodes its images; raises ValueError if it is no GIF, is cut off in a header, has codes
+    of other than 2 to 11 bits at first or more than `most` samples. Images whose code stream ends early are filled up with 0."""
+    try:
+        return _parse(data, most)
+    except (struct.error, IndexError) as short:
+        raise ValueError("not a whole GIF file") from short
+
+
+def _parse(data: bytes, most: int) -> Gif:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF file")
     width, height, flags = struct.unpack_from("<HHB", data, 6)
@@ -167,6 +179,7 @@ def parse_gif(data: bytes) -> Gif:
         size = 3 << ((flags & 7) + 1)
         shared, at = _palette(data[at : at + size]), at + size
     gif, delay, disposal, transparent = Gif(width, height, None, []), 0, 0, None
+    held = width * height
     while at < len(data) and data[at] != 0x3B:
         if data[at] == 0x21:
             label = data[at + 1]
@@ -185,6 +198,9 @@ def parse_gif(data: bytes) -> Gif:
                 size = 3 << ((flags & 7) + 1)
                 palette, at = _palette(data[at : at + size]), at + size
             min_bits = data[at]
+            held += w * h
+            if not 2 <= min_bits < MAX_BITS or held > most:
+                raise ValueError("no sound image")
             body, at = _blocks(data, at + 1)
             samples = lzw_decode(body, min_bits)[: w * h].ljust(w * h, b"\0")
             indices = np.frombuffer(samples, dtype=np.uint8).reshape(h, w)
@@ -227,16 +243,27 @@ def colour_histogram(canvas: np.ndarray) -> np.ndarray:
 def encode_gif(samples: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS, delay_cs: int = DELAY_CS, palette: bytes = GREY) -> bytes:
     """A GIF89a file of 8-bit samples, row by row, width to a row and at most frame_rows rows to a frame.
 
-    samples must fill whole rows. The last frame has the rows that are left; frames stay on the canvas (disposal 1).
+    samples must fill whole rows. The last frame has the rows that are left; frames stay on the canvas (disposal 1). Where a frame
+    shows what the one before has shown, it is transparent, if no sample is CLEAR.
     """
     if not samples or len(samples) % width:
         raise ValueError("samples must fill one row or more")
     height = min(frame_rows, len(samples) // width)
     parts = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), palette, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\0\0\0"]
-    for at in range(0, len(samples), width * frame_rows):
-        own = samples[at : at + width * frame_rows]
-        parts.append(b"\x21\xf9\x04" + struct.pack("<BHB", 1 << 2, delay_cs, 0) + b"\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(own) // width, 0) + b"\x08")
-        stream = lzw_encode(own)
+    frame = width * frame_rows
+    clear = CLEAR not in samples
+    shown = None
+    for at in range(0, len(samples), frame):
+        own = samples[at : at + frame]
+        stored = own
+        if clear and len(samples) > frame:
+            now = np.frombuffer(own, dtype=np.uint8)
+            if shown is not None:
+                stored = np.where(now == shown[: len(now)], np.uint8(CLEAR), now).tobytes()
+            shown = now
+        control = struct.pack("<BHB", 1 << 2 | (stored is not own), delay_cs, CLEAR if stored is not own else 0)
+        parts.append(b"\x21\xf9\x04" + control + b"\0" + b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(own) // width, 0) + b"\x08")
+        stream = lzw_encode(stored)
         parts += [bytes([len(stream[i : i + 255])]) + stream[i : i + 255] for i in range(0, len(stream), 255)]
         parts.append(b"\0")
     return b"".join([*parts, b"\x3b"])
@@ -261,59 +288,77 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(media)), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(encode, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return source.mapInArrow(settled(encode), f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
-def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """The timed frames of each file: doc_id, frame (from 0), start_cs, delay_cs, width, height, histogram (64 colour cells) of the shown canvas.
+def decode_media(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", most: int = MOST_SAMPLES) -> DataFrame:
+    """The timed frames of each file: id_col, frame (from 0), start_cs, delay_cs, width, height, histogram (64 colour cells) of the shown canvas.
 
-    Null media and media that are no GIF give no rows. Narrow.
+    Null media, media that are no sound GIF and files of more than `most` samples give no rows. Other columns play no part. Narrow.
     """
 
+    def frames(key: object, raw: bytes | None) -> list[tuple]:
+        try:
+            gif = parse_gif(raw or b"", most)
+            shown = [colour_histogram(canvas).tolist() for canvas in compose(gif)]
+        except (ValueError, IndexError):
+            return []
+        ends = np.cumsum([f.delay_cs for f in gif.frames]).tolist()
+        return [(key, i, end - f.delay_cs, f.delay_cs, gif.width, gif.height, h) for i, (f, end, h) in enumerate(zip(gif.frames, ends, shown, strict=True))]
+
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
-            rows: list[tuple] = []
-            for key, raw in zip(column(batch, "doc_id"), column(batch, "media"), strict=True):
-                try:
-                    gif = parse_gif(raw or b"")
-                except (ValueError, struct.error, IndexError):
-                    continue
-                clock = 0
-                for i, (frame, canvas) in enumerate(zip(gif.frames, compose(gif), strict=True)):
-                    rows.append((key, i, clock, frame.delay_cs, gif.width, gif.height, colour_histogram(canvas).tolist()))
-                    clock += frame.delay_cs
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            for key, raw in zip(range(batch.num_rows), batch.column(1), strict=True):
+                if rows := frames(key, raw.as_py()):
+                    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(cols[0]), *cols[1:]], names)
 
-    source = media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media"))
-    key_type = source.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "frame", "start_cs", "delay_cs", "width", "height", "histogram"]
-    kinds = [None, pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-    return source.mapInArrow(decode, f"doc_id {key_type}, frame int, start_cs long, delay_cs int, width int, height int, histogram array<long>")
+    source = media.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
+    names = ["id", "frame", "start_cs", "delay_cs", "width", "height", "histogram"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    decoded = source.mapInArrow(settled(decode), f"id {source.schema['id'].dataType.simpleString()}, frame int, start_cs long, delay_cs int, width int, height int, histogram array<long>")
+    return decoded.withColumnRenamed("id", id_col)
 
 
 def media_digest(media: DataFrame) -> DataFrame:
-    """Reads stored files back: payload size and digests, the file's size and digest and its features as a string.
+    """Reads stored files back: payload size and digests, the file's size and digest, its features as a string and its timed frames.
 
-    feature: JSON of the number of frames, the playing time and the colour histogram summed over frames.
+    feature: JSON of the number of frames, the playing time and the colour histogram summed over frames. frames: an array of
+    (start_cs, delay_cs, histogram of the 64 colour cells of the shown canvas). The payload is what the frames show, so palettes,
+    disposal and transparency count. Null media give nulls; media that are no file of encode_gif fail. Narrow.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
-            rows = []
+            rows, frames = [], []
             for raw in column(batch, "media"):
+                if raw is None:
+                    rows.append((None,) * 6)
+                    frames.append(None)
+                    continue
                 gif = parse_gif(raw)
-                payload = b"".join(f.indices.tobytes() for f in gif.frames)
-                seen = sum(colour_histogram(c) for c in compose(gif))
-                feature = json.dumps({"frames": len(gif.frames), "time_cs": sum(f.delay_cs for f in gif.frames), "histogram": seen[seen > 0].tolist(), "cells": np.flatnonzero(seen).tolist()})
+                payload, shown = [], []
+                for f, canvas in zip(gif.frames, compose(gif), strict=True):
+                    payload.append(canvas[: f.indices.shape[0]].astype(np.uint8).tobytes())
+                    shown.append(colour_histogram(canvas))
+                payload, seen = b"".join(payload), sum(shown)
+                delays = np.array([f.delay_cs for f in gif.frames])
+                feature = json.dumps({"frames": len(gif.frames), "time_cs": int(delays.sum()), "histogram": seen[seen > 0].tolist(), "cells": np.flatnonzero(seen).tolist()})
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
+                frames.append([{"start_cs": a, "delay_cs": d, "histogram": h.tolist()} for a, d, h in zip((np.cumsum(delays) - delays).tolist(), delays.tolist(), shown, strict=True)])
             cols = list(zip(*rows, strict=True))
-            arrays = [pa.array(c, pa.string() if isinstance(c[0], str) else pa.int64()) for c in cols]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], ["doc_id", "n_bytes", *names])
+            arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays, pa.array(frames, timed)], ["doc_id", "n_bytes", *names, "frames"])
 
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    timed = pa.list_(pa.struct([("start_cs", pa.int64()), ("delay_cs", pa.int32()), ("histogram", pa.list_(pa.int64()))]))
     source = media.select("doc_id", "n_bytes", "media")
-    return source.mapInArrow(digest, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return source.mapInArrow(
+        settled(digest),
+        f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+        "frames array<struct<start_cs: long, delay_cs: int, histogram: array<long>>>",
+    )
 
 
 def text_media_roundtrip(docs: DataFrame, **options) -> DataFrame:
