@@ -9,28 +9,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import column, hash_words, materialize, nonempty, text_blocks, unit_noise
+from tidemark.llm.shared import column, hash_words, materialize, nonempty, settled, text_blocks, unit_noise
 
 BUCKETS = 1 << 14
 #: Target texts that the target model is fitted on, at most.
 MOST_TARGETS = 20_000
-#: n-grams that a text's mean log ratio is scaled to, so that long texts don't win or lose by length alone.
-EFFECTIVE_NGRAMS = 64.0
 FRACTION = 0.8
+#: n-grams of raw text that smooth the target model.
+PRIOR = 1000.0
 BINS = 4096
+#: Words whose n-grams are counted or scored at once; a text of any length is taken in such windows.
+WORDS_AT_ONCE = 1 << 19
 
 
-def bucket_ngrams(block: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words and word pairs of a block, text by text, and where each text's begin."""
+def bucket_ngrams(words: np.ndarray, bounds: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each word, and that of each word with the next one of its text (-1: it is the last)."""
+    shift = np.uint64(64 - buckets.bit_length() + 1)
+    single = ((words * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+    pair = np.full(len(words), -1, dtype=np.int64)
+    joined = words[:-1] * np.uint64(0x9FB21C651E98DF25) + words[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    pair[:-1] = ((joined * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+    last = bounds[1:][np.diff(bounds) > 0] - 1
+    pair[last] = -1
+    return single, pair
+
+
+def _windows(block: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first word, buckets of words and pairs, where each text's words begin) of a block, window by window."""
     words, bounds = hash_words(block)
-    count = np.diff(bounds)
-    owner = np.repeat(np.arange(len(count)), count)
-    pair = owner[1:] == owner[:-1]
-    pairs = (words[:-1] * np.uint64(0x9FB21C651E98DF25) + words[1:] * np.uint64(0xC2B2AE3D27D4EB4F))[pair]
-    grams = np.concatenate([words, pairs * np.uint64(0x9E3779B97F4A7C15)]) >> np.uint64(64 - buckets.bit_length() + 1)
-    owners = np.concatenate([owner, owner[1:][pair]])
-    order = np.argsort(owners, kind="stable")
-    return grams[order].astype(np.int64), np.concatenate([[0], np.cumsum(np.bincount(owners, minlength=len(count)))])
+    for at in range(0, max(len(words), 1), WORDS_AT_ONCE):
+        end = min(len(words), at + WORDS_AT_ONCE)
+        single, pair = bucket_ngrams(words[at : end + 1], np.clip(bounds - at, 0, min(len(words), end + 1) - at), buckets)
+        yield at, single[: end - at], pair[: end - at], bounds
 
 
 def ngram_counts(texts: DataFrame, text_col: str = "text", buckets: int = BUCKETS) -> np.ndarray:
@@ -40,53 +50,74 @@ def ngram_counts(texts: DataFrame, text_col: str = "text", buckets: int = BUCKET
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
             for _, block in text_blocks(column(batch, "text")):
-                total += np.bincount(bucket_ngrams(block, buckets)[0], minlength=buckets)
+                for _, single, pair, _ in _windows(block, buckets):
+                    total += np.bincount(single, minlength=buckets) + np.bincount(pair[pair >= 0], minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    rows = texts.select(F.col(text_col).alias("text")).mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    rows = texts.select(F.col(text_col).alias("text")).mapInArrow(settled(count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(buckets)
     for r in rows:
         out[r["bucket"]] = r["n"]
     return out
 
 
-def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = 1.0) -> np.ndarray:
-    """log of target's over raw's smoothed probability for each bucket."""
-    p, q = target + prior, raw + prior
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+def log_ratio(target: np.ndarray, raw: np.ndarray, prior: float = PRIOR) -> np.ndarray:
+    """log of target's over raw's probability for each bucket; 0 for buckets that raw doesn't have.
+
+    The target model is smoothed by `prior` n-grams drawn like the raw text, so where it knows nothing it says what raw says, and
+    without targets every ratio is 0.
+    """
+    q = raw / max(raw.sum(), 1)
+    p = (target + prior * q) / (target.sum() + prior)
+    return np.where(raw > 0, np.log(np.maximum(p, 1e-300)) - np.log(np.maximum(q, 1e-300)), 0.0)
 
 
-def importance_scores(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text", scale: float = EFFECTIVE_NGRAMS) -> DataFrame:
-    """id_col, n_ngrams and score: the mean log ratio of a whole text's n-grams times scale. Texts without words score 0."""
+def importance_scores(docs: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_ngrams, score: a whole text's log importance weight, the sum of its n-grams' log ratios, and mean_score, that by n-gram.
+
+    n-grams are words and pairs of neighbours. Texts without words score 0. Narrow.
+    """
     buckets = len(ratio)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worth = np.append(ratio, 0.0)  # no pair is worth nothing
         for batch in nonempty(batches):
-            counts, means = [], []
+            counts, sums = [], []
             for _, block in text_blocks(column(batch, "text")):
-                grams, bounds = bucket_ngrams(block, buckets)
-                n = np.diff(bounds)
-                sums = np.concatenate([[0.0], np.cumsum(ratio[grams])])
+                total, n = np.zeros(len(block)), np.zeros(len(block), dtype=np.int64)
+                for at, single, pair, bounds in _windows(block, buckets):
+                    low, high = np.clip(bounds[:-1] - at, 0, len(single)), np.clip(bounds[1:] - at, 0, len(single))
+                    mine = np.flatnonzero(low < high)
+                    for values, to in ((worth[single] + worth[pair], total), (1 + (pair >= 0), n)):
+                        if len(mine):  # text by text, so that a text's sum doesn't depend on what stands beside it
+                            to[mine] += np.add.reduceat(values, low[mine])
                 counts.append(n)
-                means.append((sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(n, 1) * scale)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts), pa.int64()), pa.array(np.concatenate(means))], ["id", "n_ngrams", "score"])
+                sums.append(total)
+            n, total = np.concatenate(counts), np.concatenate(sums)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], ["id", "n_ngrams", "score", "mean_score"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored = source.mapInArrow(score, f"id {source.schema['id'].dataType.simpleString()}, n_ngrams long, score double")
+    scored = source.mapInArrow(settled(score), f"id {source.schema['id'].dataType.simpleString()}, n_ngrams long, score double, mean_score double")
     return scored.withColumnRenamed("id", id_col)
 
 
-def gumbel_top(scored: DataFrame, fraction: float = FRACTION, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
-    """Adds gumbel_key and selected: the ceil(fraction * rows) rows of largest score plus Gumbel noise, ties by id.
+def gumbel_top(scored: DataFrame, fraction: float = FRACTION, seed: int = 42, id_col: str = "doc_id", score_col: str = "score") -> DataFrame:
+    """Adds gumbel_key and selected: the ceil(fraction * rows) rows of largest score_col plus Gumbel noise, ties by id.
 
-    The noise is a hash of id and seed, so reruns agree. The cut is found without a global sort: counts of BINS key ranges
-    give the range that holds it, and only that range is ranked, again by ranges, until BINS rows or one key value are left.
+    The noise is a hash of id, n_ngrams and seed, so reruns agree, and rows of one id, or of none, have noises of their own if they
+    differ in length. The cut is found without a global sort: counts of BINS key ranges give the range that holds it, and
+    only that range is ranked, again by ranges, until BINS rows or one key value are left; of equal keys those of smaller id are
+    selected, and all rows of the last id.
     """
-    noise = -F.log(-F.log(unit_noise(F.col(id_col), seed=seed)))
-    keyed = materialize(scored.withColumn("gumbel_key", F.col("score") + noise), "gumbel")
+    noise = -F.log(-F.log(unit_noise(*[F.col(c) for c in (id_col, "n_ngrams") if c in scored.columns], seed=seed)))
+    keyed = materialize(scored.withColumn("gumbel_key", F.col(score_col) + noise), "gumbel")
     n, low, high = keyed.agg(F.count(F.lit(1)), F.min("gumbel_key"), F.max("gumbel_key")).first()
     keep = int(np.ceil(fraction * n))
+    if not n or keep <= 0:
+        return keyed.withColumn("selected", F.lit(False))
+    if keep >= n:
+        return keyed.withColumn("selected", F.lit(True))
     inside, above = keyed, 0
     while n > BINS and low < high:
         width = (high - low) / BINS
@@ -98,27 +129,37 @@ def gumbel_top(scored: DataFrame, fraction: float = FRACTION, seed: int = 42, id
             above += count
         n, low, high = count, a, b
         inside = keyed.where(F.col("gumbel_key").between(low, high))
-    if not n or keep <= 0:
-        return keyed.withColumn("selected", F.lit(False))
-    # The rows of the last range: few, or all of one key value.
-    place = F.row_number().over(Window.orderBy(F.desc("gumbel_key"), F.col(id_col).asc_nulls_last()))
-    last = inside.select("gumbel_key", id_col).withColumn("place", place).where(F.col("place") == keep - above).first()
-    if last is None:
-        return keyed.withColumn("selected", F.lit(True))
-    tie = (F.col("gumbel_key") == last["gumbel_key"]) & (F.lit(last[id_col] is None) | (F.col(id_col) <= F.lit(last[id_col])))
-    return keyed.withColumn("selected", (F.col("gumbel_key") > last["gumbel_key"]) | F.coalesce(tie, F.lit(False)))
+    # Rows by key, largest first: BINS of them, or all of one key, whose ids are then counted.
+    cut = inside.groupBy("gumbel_key", id_col).agg(F.count(F.lit(1)).alias("n"))
+    if low < high:
+        few = sorted(((-r[0], r[1] is None, r[1], r[2]) for r in cut.collect()), key=lambda x: x[:2] + ((x[2],) if x[2] is not None else ()))
+        for key, missing, last, count in few:
+            above += count
+            if above >= keep:
+                low = -key
+                break
+    else:
+        place = F.sum("n").over(Window.partitionBy("gumbel_key").orderBy(F.col(id_col).asc_nulls_last()))
+        at = cut.withColumn("place", place).where(F.col("place") >= keep - above).orderBy("place").first()
+        missing, last = at[id_col] is None, at[id_col]
+    tie = (F.col("gumbel_key") == low) & (F.lit(True) if missing else F.coalesce(F.col(id_col) <= F.lit(last), F.lit(False)))
+    return keyed.withColumn("selected", (F.col("gumbel_key") > low) | tie)
 
 
-def resample(docs: DataFrame, targets: DataFrame, fraction: float = FRACTION, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", most_targets: int = MOST_TARGETS) -> DataFrame:
+def resample(
+    docs: DataFrame, targets: DataFrame, fraction: float = FRACTION, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", most_targets: int = MOST_TARGETS, score_col: str = "score"
+) -> DataFrame:
     """Scores every document by target over raw and selects a fraction of them like the target.
 
     targets: ids of documents of the target kind; the target model is fitted on the most_targets ids of least hash (their
-    bound makes them fit to broadcast), the raw model on all documents. Returns id_col, n_ngrams, score, gumbel_key and
-    selected, a row for each row of docs. Null and empty texts score 0; without targets every score is near 0; repeated rows
-    have equal keys and go or stay together but for the last tie, which goes by id.
+    bound makes them fit to broadcast), the raw model on all documents. Returns id_col, n_ngrams, score, mean_score, gumbel_key
+    and selected, a row for each row of docs. Keys are made of score, the log importance weight, or of mean_score, which length
+    doesn't decide, if score_col says so. Null and empty texts score 0; without targets every score is near 0; repeated rows
+    have equal keys and go or stay together. Other columns play no part.
     """
     ids = targets.select(F.col(id_col).alias("target_id_")).where("target_id_ IS NOT NULL").distinct()
     ids = ids.orderBy(F.xxhash64("target_id_"), "target_id_").limit(most_targets)
-    chosen = docs.join(F.broadcast(ids), F.col(id_col) == F.col("target_id_"), "left_semi")
-    ratio = log_ratio(ngram_counts(chosen, text_col), ngram_counts(docs, text_col))
-    return gumbel_top(importance_scores(docs, ratio, id_col, text_col), fraction, seed, id_col)
+    texts = docs.select(id_col, text_col)
+    chosen = texts.join(F.broadcast(ids), F.col(id_col) == F.col("target_id_"), "left_semi")
+    ratio = log_ratio(ngram_counts(chosen, text_col), ngram_counts(texts, text_col))
+    return gumbel_top(importance_scores(texts, ratio, id_col, text_col), fraction, seed, id_col, score_col)
