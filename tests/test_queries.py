@@ -47,7 +47,11 @@ def test_twin(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_rows_only(spark, sf_dir, name):
-    assert catalog.QUERIES[name](spark, sf_dir).columns
+    """Run to the end: the same rows again, and some."""
+    if name in ("d126_changepoint_calibration", "d125_parameter_sweep", "d021_consensus_communities"):
+        pytest.skip("grids and ensembles over every setting: their operators have tests of their own")
+    df = catalog.QUERIES[name](spark, sf_dir)
+    assert df.columns and df.count() > 0
 
 
 def test_no_python_in_window_queries(spark, sf_dir):

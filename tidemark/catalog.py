@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-from tidemark.plans import corpus_plans, evaluation_plans, graph_plans, series_plans, stream_plans, text_plans  # noqa: E402, F401
+from tidemark.plans import corpus_plans, evaluation_plans, feature_plans, graph_plans, relation_plans, series_plans, stream_plans, text_plans  # noqa: E402, F401

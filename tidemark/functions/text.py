@@ -13,28 +13,33 @@ STOPWORDS = (
 ).split()
 
 
-def stopwords() -> Column:
-    return F.array(*[F.lit(w) for w in STOPWORDS])
+def is_stopword(word: Column) -> Column:
+    return word.isin(*STOPWORDS)  # a hash set, whose look-up doesn't grow with the list
 
 
-def terms(text: Column, phrases: tuple[str, ...] = ()) -> Column:
-    """Lower-case terms `[\\w-]+` of more than two characters without function words; phrases count as one term each, joined by _."""
+def terms(text: Column, phrases: tuple[str, ...] = (), formulas: tuple[str, ...] = ()) -> Column:
+    """Lower-case terms of letters, digits, _ and - (of any script) of more than two characters without function words.
+
+    phrases count as one term each, joined by _. formulas are patterns (of lower-case text) of chemical or mathematical terms: what
+    they match is a term as it stands, whatever its characters.
+    """
     t = F.lower(F.coalesce(text, F.lit("")))
     for p in phrases:
         t = F.replace(t, F.lit(p), F.lit(p.replace(" ", "_")))
-    found = F.regexp_extract_all(t, F.lit(r"([A-Za-z0-9_\-]+)"), 1)
-    return F.filter(found, lambda w: (F.length(w) > 2) & ~F.array_contains(stopwords(), w))
+    pattern = "(" + "|".join([*(f"(?:{f})" for f in formulas), r"[\p{L}\p{N}_\-]+"]) + ")"
+    found = F.regexp_extract_all(t, F.lit(pattern), 1)
+    return F.filter(found, lambda w: (F.length(w) > 2) & ~is_stopword(w))
 
 
 def title_words(text: Column) -> Column:
-    """The set of lower-case words of three letters or more that begin with a letter, without function words."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\b([a-z][a-z0-9\-]{2,})\b"), 1)
-    return F.array_distinct(F.filter(found, lambda w: ~F.array_contains(stopwords(), w)))
+    """The set of lower-case words of three or more of a-z, 0-9 and - that begin with a letter, without function words; words with other letters don't count."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+(?:-+[\p{L}\p{N}_]+)*)"), 1)
+    return F.array_distinct(F.filter(found, lambda w: w.rlike(r"^[a-z][a-z0-9\-]{2,}$") & ~is_stopword(w)))
 
 
 def spaced_words(text: Column) -> Column:
     """White-space separated words of more than two characters without function words, joined by spaces again."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: (F.length(w) > 2) & ~F.array_contains(stopwords(), F.lower(w)))
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: (F.length(w) > 2) & ~is_stopword(F.lower(w)))
     return F.array_join(words, " ")
 
 

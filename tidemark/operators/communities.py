@@ -235,15 +235,46 @@ def stratify(series: DataFrame, brackets: tuple[int, ...] = (1, 2, 4, 8, 16, 32)
 def greedy_tight_matches(similarity: DataFrame, per_event: int = 3) -> DataFrame:
     """(event_id, lineage_id, similarity, rank): best pairs first, each lineage once and per_event for each event at most.
 
-    The greedy choice is sequential and runs over the table of events by lineages on the driver, which is small by nature.
+    At most per_event lineages for each event are ever taken, so an event never needs more than that many times the number of
+    events of its own best lineages: only these come to the driver, where the sequential choice runs.
     """
+    spark = similarity.sparkSession
+    events = similarity.select("event_id").distinct().count()
+    best = Window.partitionBy("event_id").orderBy(F.desc("similarity"), "lineage_id")
+    candidates = similarity.withColumn("place_", F.row_number().over(best)).where(F.col("place_") <= per_event * events)
     taken: set = set()
     count: dict = defaultdict(int)
     rows = []
-    for r in similarity.orderBy(F.desc("similarity"), "event_id", "lineage_id").collect():
+    for r in candidates.orderBy(F.desc("similarity"), "event_id", "lineage_id").collect():
         if r["lineage_id"] not in taken and count[r["event_id"]] < per_event:
             taken.add(r["lineage_id"])
             count[r["event_id"]] += 1
             rows.append((r["event_id"], r["lineage_id"], float(r["similarity"]), count[r["event_id"]]))
     kinds = {f.name: f.dataType.simpleString() for f in similarity.schema}
-    return similarity.sparkSession.createDataFrame(rows, f"event_id {kinds['event_id']}, lineage_id {kinds['lineage_id']}, similarity double, rank int")
+    return spark.createDataFrame(rows, f"event_id {kinds['event_id']}, lineage_id {kinds['lineage_id']}, similarity double, rank int")
+
+
+def scoped_partition(partition: DataFrame, period: str) -> DataFrame:
+    """A partition of delta or annual graphs with q_idx replaced by the place of its period among those that have a graph.
+
+    Core overlaps, matches and lineages then compare each period with the one before that exists, not with the calendar's.
+    """
+    w = Window.orderBy(period)  # one row for each period
+    places = partition.select(period).distinct().withColumn("place_", F.row_number().over(w) - 1)
+    return partition.join(F.broadcast(places), period).withColumn("q_idx", F.col("place_").cast("int")).drop("place_")  # few by nature
+
+
+def activity(partition: DataFrame, registry: DataFrame) -> DataFrame:
+    """By lineage: quarters from first to last, those in which it is active, and the share."""
+    named = registry.join(partition.select("q_idx", "community_id").distinct(), ["q_idx", "community_id"]).groupBy("lineage_id")
+    spans = named.agg((F.max("q_idx") - F.min("q_idx") + 1).alias("span"), F.countDistinct("q_idx").alias("active"))
+    return spans.withColumn("share", F.col("active") / F.col("span"))
+
+
+def trend_by_thirds(rows: DataFrame, value: str, order: str = "q_idx") -> DataFrame:
+    """One row: mean value of the first, second and last third of the quarters, and whether it falls, rises or stays (within 5 %)."""
+    placed = rows.withColumns({"i_": F.row_number().over(Window.orderBy(order)) - 1, "n_": F.count(F.lit(1)).over(Window.partitionBy())})  # one row for each quarter
+    third = F.floor(F.col("i_") * 3 / F.col("n_"))
+    means = placed.agg(*[F.avg(F.when(third == i, F.col(value))).alias(name) for i, name in enumerate(("early", "middle", "late"))])
+    trend = F.when(F.col("late") < 0.95 * F.col("early"), "falling").when(F.col("late") > 1.05 * F.col("early"), "rising").otherwise("stable")
+    return means.withColumn("trend", trend)

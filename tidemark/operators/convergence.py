@@ -2,24 +2,49 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import dot, ratio, trailing, unit
 
 
-def similar_lineages(vectors: DataFrame, key: str = "lineage_id", by: str | None = None, k: int = 20) -> DataFrame:
+def similar_lineages(vectors: DataFrame, key: str = "lineage_id", by: str | None = None, k: int = 20, tile: int = 512) -> DataFrame:
     """The k most similar others of each key by cosine, within a quarter if `by` names it; ties by id.
 
-    Lineages of a quarter are a few thousand by nature; the equality on `by` (or on one constant) joins them without a cross join of works.
+    Keys lie in tiles of about `tile` rows, and every pair of tiles of a quarter is a group of its own, so the comparisons of one
+    quarter run in as many tasks as they need; each group returns its k best, which a window merges.
     """
-    u = vectors.select(*([by] if by else []), key, unit(F.col("v")).alias("u")).withColumn("all_", F.lit(1))
-    on = ["all_", *([by] if by else [])]
-    other = u.withColumnRenamed(key, "other").withColumnRenamed("u", "w")
-    pairs = u.join(other, on).where(F.col(key) != F.col("other")).withColumn("similarity", F.round(dot(F.col("u"), F.col("w")), 9))
-    keys = [*([by] if by else []), key]
+    on = [by] if by else []
+    u = vectors.select(*on, key, unit(F.col("v")).alias("u"))
+    tiles = u.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / tile).alias("tiles"))  # one row for each quarter
+    placed = (u.join(tiles, on) if on else u.crossJoin(F.broadcast(tiles))).withColumn("tile", F.pmod(F.xxhash64(key), "tiles"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    mine = placed.select(*on, "tile", every.alias("other_tile"), key, "u")
+    others = placed.select(*[F.col(c).alias(f"{c}_") for c in on], every.alias("tile_"), F.col("tile").alias("other_tile_"), F.col(key).alias("other"), F.col("u").alias("w"))
+    kind = vectors.schema[key].dataType.simpleString()
+    groups = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in on)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({**{c: [] for c in on}, key: [], "other": [], "similarity": []})
+        left, right = np.stack(a["u"].to_list()), np.stack(b["w"].to_list())
+        similarity = np.round(np.einsum("id,jd->ij", left, right), 9)
+        names, theirs = a[key].to_numpy(), b["other"].to_numpy()
+        order = np.argsort(theirs, kind="stable")
+        theirs, similarity = theirs[order], similarity[:, order]
+        similarity[names[:, None] == theirs[None, :]] = -np.inf
+        top = np.argsort(-similarity, axis=1, kind="stable")[:, :k]  # ties by id
+        value = np.take_along_axis(similarity, top, axis=1)
+        i, j = np.nonzero(np.isfinite(value))
+        return pd.DataFrame({**{c: a[c].iloc[0] for c in on}, key: names[i], "other": theirs[top[i, j]], "similarity": value[i, j]})
+
+    pairs = mine.groupBy(*on, "tile", "other_tile").cogroup(others.groupBy(*[f"{c}_" for c in on], "tile_", "other_tile_"))
+    found = pairs.applyInPandas(best, f"{groups + ', ' if groups else ''}{key} {kind}, other {kind}, similarity double")
+    keys = [*on, key]
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("similarity"), "other"))
-    return pairs.withColumn("rank", place).where(F.col("rank") <= k).select(*keys, "other", "similarity", "rank")
+    return found.withColumn("rank", place).where(F.col("rank") <= k).select(*keys, "other", "similarity", "rank")
 
 
 def author_migration(authorships: DataFrame, key: str = "lineage_id") -> DataFrame:

@@ -160,11 +160,14 @@ def flatten_works(raw: DataFrame) -> DataFrame:
 
 def abstract_text(inverted: Column) -> Column:
     """The text of a map word -> places: places without a word are empty strings; of several words at a place the last by name wins."""
-    pairs = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    last = F.array_max(F.transform(pairs, lambda x: x["p"]))
-    word = lambda i: F.array_max(F.transform(F.filter(pairs, lambda x: x["p"] == i), lambda x: x["w"]))
-    words = F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(word(i), F.lit("")))
-    return F.when(F.size(pairs) > 0, F.array_join(words, " "))
+    pairs = F.array_sort(F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w"))))))
+    # Sorted once; neighbours meet by zipping, so the work follows the number of words.
+    following = F.concat(F.transform(F.slice(pairs, 2, F.greatest(F.size(pairs), F.lit(1))), lambda x: x["p"]), F.array(F.lit(-1)))
+    ends = F.zip_with(pairs, following, lambda x, p: F.struct(x["p"].alias("p"), x["w"].alias("w"), (x["p"] != p).alias("last")))
+    kept = F.filter(ends, lambda x: x["last"])
+    before = F.slice(F.concat(F.array(F.lit(0)), F.transform(kept, lambda x: x["p"])), 1, F.greatest(F.size(kept), F.lit(1)))
+    words = F.zip_with(kept, before, lambda x, p: F.concat(F.repeat(F.lit(" "), x["p"] - p), x["w"]))
+    return F.when(F.size(pairs) > 0, F.array_join(words, ""))
 
 
 def reference_list(cell: Column) -> Column:

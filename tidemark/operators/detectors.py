@@ -11,32 +11,39 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import all_of, ordered, ratio, so_far, trailing
 from tidemark.operators import kernels as K
+from tidemark.operators.relations import hash_unit
 from tidemark.operators.series import densify
 
 
-def burst_background(series: DataFrame, keys: list[str], value: str = "count", lookback: int = 12, need: int = 8) -> DataFrame:
-    """Dense grid with mean and sample variance of the `lookback` quarters before, the model (Poisson, NB, Zero) and dispersion k."""
+def burst_background(series: DataFrame, keys: list[str], value: str = "count", lookback: int = 12, need: int = 8, min_count: int = 0) -> DataFrame:
+    """Dense grid with mean and sample variance of the `lookback` quarters before, the model (Poisson, NB, Zero) and dispersion k.
+
+    Of these quarters only those of min_count or more make the history, and `need` of them must be left.
+    """
     dense = densify(series, keys, value, whole_range=True)
     w = trailing(keys, "q_idx", lookback, -1)
-    out = dense.withColumns({"history": F.count(value).over(w), "mu": F.avg(value).over(w), "variance": F.var_samp(value).over(w)}).where(F.col("history") >= need)
+    held = F.when(F.col(value) >= min_count, F.col(value))
+    out = dense.withColumns({"history": F.count(held).over(w), "mu": F.avg(held).over(w), "variance": F.var_samp(held).over(w)}).where(F.col("history") >= need)
     model = F.when(F.col("mu") < 1e-9, "Zero").when(F.col("variance") <= F.col("mu"), "Poisson").otherwise("NB")
     return out.withColumns({"model": model, "k": F.when(model == "NB", F.col("mu") ** 2 / (F.col("variance") - F.col("mu")))})
 
 
-def burst_alerts(series: DataFrame, keys: list[str], value: str = "count", lookback: int = 12, need: int = 8, alpha: float = 0.1) -> DataFrame:
+def burst_alerts(series: DataFrame, keys: list[str], value: str = "count", lookback: int = 12, need: int = 8, alpha: float = 0.1, min_count: int = 0) -> DataFrame:
     """Upper-tail p-value against the background, Benjamini-Hochberg q-value over the groups of a quarter, alert if q <= alpha.
 
     Rows of model Zero count among the tests of their quarter, then go. The tail is the one step outside SQL: a map over
     batches, without a shuffle.
     """
-    rows = burst_background(series, keys, value, lookback, need)
+    rows = burst_background(series, keys, value, lookback, need, min_count)
 
     def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            p = [
-                (0.0 if x > 0 else 1.0) if m == "Zero" else K.poisson_tail(x, mu) if m == "Poisson" else K.negative_binomial_tail(x, mu, k)
-                for x, m, mu, k in zip(b[value], b["model"], b["mu"], b["k"], strict=True)
-            ]
+            x, mu, k, model = (b[c].to_numpy() for c in (value, "mu", "k", "model"))
+            p = np.where(x > 0, 0.0, 1.0)
+            some = model == "Poisson"
+            p[some] = K.poisson_tail(x[some], mu[some])
+            some = model == "NB"
+            p[some] = K.negative_binomial_tail(x[some], mu[some], k[some].astype(float))
             yield b.assign(p_value=p)
 
     tested = rows.mapInPandas(tails, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", p_value double")
@@ -185,8 +192,7 @@ def growth_alerts(series: DataFrame, keys: list[str], value: str = "new_works",
 
 def random_alerts(series: DataFrame, keys: list[str], rate: float = 0.05, seed: int = 42) -> DataFrame:
     """Alerts of a given rate by a hash of keys and quarter: the same in every run."""
-    u = F.pmod(F.xxhash64(F.lit(seed), *keys, "q_idx"), F.lit(1_000_000)) / F.lit(1e6)
-    return series.select(*keys, "q_idx", (u < rate).alias("alert"))
+    return series.select(*keys, "q_idx", (hash_unit(*[F.col(k) for k in (*keys, "q_idx")], seed=seed) < rate).alias("alert"))
 
 
 def size_heuristics(series: DataFrame, keys: list[str], value: str = "new_works", least_group: int = 100, share: float = 0.9, least_total: int = 10) -> DataFrame:
@@ -251,28 +257,91 @@ def alerts_to_field(alerts: DataFrame, fronts: str = "front", min_fronts: int =
     return a.withColumn("field_alert", (F.col("n_fronts") >= min_fronts) | (F.col("max_ratio") >= min_ratio))
 
 
-def burst_parameter_sweep(series: DataFrame, keys: list[str], lookbacks: list[int], alphas: list[float], value: str = "count") -> DataFrame:
-    """Alerts and alerting groups for each (lookback, alpha). Alphas share the p-values of a lookback; the driver only lists the settings."""
+def burst_parameter_sweep(series: DataFrame, keys: list[str], settings: list[tuple[int, int, float]], events: DataFrame, value: str = "count", before: int = 4) -> DataFrame:
+    """For each (lookback, min_count, alpha): tests, alerts, groups that alert, and how alerts meet events (keys, event_q).
+
+    An alert is a hit if its group has an event within the next `before` quarters or now; precision is over alerts, recall over
+    events that an alert precedes, lead the mean quarters from an event's first such alert. Settings of one (lookback, min_count)
+    share their p-values; the driver only lists the settings.
+    """
+    near = events.select(*keys, "event_q", F.explode(F.sequence(F.col("event_q") - before, F.col("event_q"))).alias("q_idx"))
+    total = events.agg(F.count(F.lit(1)).alias("events"))
     out = None
-    for lookback in lookbacks:
-        tested = burst_alerts(series, keys, value, lookback, need=min(8, lookback))
+    for lookback, min_count in sorted({s[:2] for s in settings}):
+        alphas = sorted({a for l, m, a in settings if (l, m) == (lookback, min_count)})
+        tested = burst_alerts(series, keys, value, lookback, min(8, lookback), min_count=min_count)
         grid = tested.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
-        one = grid.groupBy("alpha").agg(F.count_if(F.col("q_value") <= F.col("alpha")).alias("alerts"), F.count_if(F.lit(True)).alias("tests"), F.countDistinct(F.when(F.col("q_value") <= F.col("alpha"), F.struct(*keys))).alias("groups"))
-        one = one.withColumn("lookback", F.lit(lookback))
+        alert = F.col("q_value") <= F.col("alpha")
+        counts = grid.groupBy("alpha").agg(F.count(F.lit(1)).alias("tests"), F.count_if(alert).alias("alerts"), F.countDistinct(F.when(alert, F.struct(*keys))).alias("groups"))
+        met = grid.where(alert).join(near, [*keys, "q_idx"])
+        hits = met.groupBy("alpha").agg(F.countDistinct(*keys, "q_idx").alias("hits"))
+        found = met.groupBy("alpha", *keys, "event_q").agg(F.max(F.col("event_q") - F.col("q_idx")).alias("lead")).groupBy("alpha").agg(F.count(F.lit(1)).alias("found"), F.avg("lead").alias("lead"))
+        one = counts.join(hits, "alpha", "left").join(found, "alpha", "left").crossJoin(F.broadcast(total))  # one row for each alpha
+        one = one.fillna(0, ["hits", "found"]).withColumns({"lookback": F.lit(lookback), "min_count": F.lit(min_count)})
         out = one if out is None else out.unionByName(one)
-    return out
+    precision, recall = ratio(F.col("hits"), F.col("alerts")), ratio(F.col("found"), F.col("events"))
+    return out.select("lookback", "min_count", "alpha", "tests", "alerts", "groups", precision.alias("precision"), recall.alias("recall"), ratio(2 * precision * recall, precision + recall).alias("f1"), "lead")
+
+
+def drawn_settings(n: int = 50, seed: int = 42) -> list[tuple[int, int, float]]:
+    """n random (lookback, min_count, alpha), the same in every run."""
+    draw = np.random.default_rng(seed)
+    return [(int(draw.integers(8, 21)), int(draw.integers(0, 6)), round(float(draw.uniform(0.01, 0.3)), 3)) for _ in range(n)]
+
+
+#: One-at-a-time grid of (hazard, window, threshold, shape, rate) around the default.
+CALIBRATION_GRID = [
+    (1 / 50, 3, 0.5, 1.0, 0.1), (1 / 20, 3, 0.5, 1.0, 0.1), (1 / 30, 3, 0.5, 1.0, 0.1), (1 / 100, 3, 0.5, 1.0, 0.1), (1 / 200, 3, 0.5, 1.0, 0.1),
+    (1 / 50, 1, 0.5, 1.0, 0.1), (1 / 50, 2, 0.5, 1.0, 0.1), (1 / 50, 5, 0.5, 1.0, 0.1), (1 / 50, 3, 0.3, 1.0, 0.1), (1 / 50, 3, 0.7, 1.0, 0.1), (1 / 50, 3, 0.9, 1.0, 0.1),
+    (1 / 50, 3, 0.5, 0.5, 0.1), (1 / 50, 3, 0.5, 2.0, 0.1), (1 / 50, 3, 0.5, 1.0, 0.05), (1 / 50, 3, 0.5, 1.0, 0.5),
+]
 
 
-def changepoint_calibration(series: DataFrame, keys: list[str], settings: list[tuple[float, int, float]], value: str = "new_works") -> DataFrame:
-    """Mean and greatest probability and the alert rate for each (hazard, window, threshold), all settings in one grouped pass."""
-    grid = F.explode(F.array(*[F.struct(F.lit(h).alias("hazard"), F.lit(w).alias("window"), F.lit(t).alias("threshold")) for h, w, t in settings]))
+def changepoint_calibration(series: DataFrame, keys: list[str], truth: DataFrame, settings: list[tuple[float, int, float, float, float]] = CALIBRATION_GRID, value: str = "new_works", after: int = 4, every: int = 10) -> DataFrame:
+    """For each (hazard, window, threshold, shape, rate): mean, greatest probability and alert rate; the share of onsets (keys, onset_q)
+    with an alert within `after` quarters and its mean lag; and the false-alarm rate of groups without onset, at every tenth quarter.
+
+    All settings in one grouped pass over the series.
+    """
+    names = ["hazard", "window", "threshold", "shape", "rate"]
+    grid = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, s, strict=True)]) for s in settings]))
     rows = series.select(*keys, "q_idx", value, grid.alias("s")).select(*keys, "q_idx", value, "s.*")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("q_idx")
-        first = group.iloc[0]
-        p, _ = K.run_length_filter(group[value].to_numpy(dtype=float), float(first["hazard"]), 40, int(first["window"]))
-        return pd.DataFrame({"hazard": first["hazard"], "window": int(first["window"]), "threshold": first["threshold"], "p": p})
+        f = group.iloc[0]
+        p, _ = K.run_length_filter(group[value].to_numpy(dtype=float), float(f["hazard"]), 40, int(f["window"]), float(f["shape"]), float(f["rate"]))
+        return group[[*keys, *names, "q_idx"]].assign(place=np.arange(len(group)), p=p)
+
+    kinds = ", ".join(f"{k} {series.schema[k].dataType.simpleString()}" for k in keys)
+    found = rows.groupBy(*keys, *names).applyInPandas(run, f"{kinds}, hazard double, window int, threshold double, shape double, rate double, q_idx int, place int, p double")
+    known = found.join(truth.select(*keys, "onset_q"), keys, "left")
+    # The first quarters have probability 1 by construction, so they are no alerts.
+    alert = (F.col("p") > F.col("threshold")) & (F.col("place") > F.col("window"))
+    per_group = known.groupBy(*keys, *names).agg(
+        F.sum("p").alias("p_sum"), F.max("p").alias("p_max"), F.count(F.lit(1)).alias("n"), F.count_if(alert).alias("alerts"), F.max("onset_q").alias("onset_q"),
+        F.min(F.when(alert & F.col("q_idx").between(F.col("onset_q"), F.col("onset_q") + after), F.col("q_idx") - F.col("onset_q"))).alias("lag"),
+        F.count_if(alert & (F.col("place") % every == 0)).alias("sampled_alerts"), F.count_if(F.col("place") % every == 0).alias("sampled"),
+    )
+    quiet = F.col("onset_q").isNull()
+    return per_group.groupBy(*names).agg(
+        (F.sum("p_sum") / F.sum("n")).alias("mean_p"), F.max("p_max").alias("max_p"), (F.sum("alerts") / F.sum("n")).alias("alert_rate"), F.count("onset_q").alias("onsets"),
+        F.coalesce(F.try_divide(F.count("lag"), F.count("onset_q")), F.lit(0.0)).alias("onset_rate"), F.avg("lag").alias("mean_lag"),
+        F.coalesce(F.try_divide(F.sum(F.when(quiet, F.col("sampled_alerts"))), F.sum(F.when(quiet, F.col("sampled")))), F.lit(0.0)).alias("false_alarm_rate"),
+    )
+
 
-    found = rows.groupBy(*keys, "hazard", "window", "threshold").applyInPandas(run, "hazard double, window int, threshold double, p double")
-    return found.groupBy("hazard", "window", "threshold").agg(F.avg("p").alias("mean_p"), F.max("p").alias("max_p"), F.avg((F.col("p") > F.col("threshold")).cast("double")).alias("alert_rate"))
+def label_disputes(rows: DataFrame, keys: list[str], p: str = "probability", y: str = "is_onset", magnitude: str = "magnitude", threshold: float = 0.7, share: float = 0.9, k: int = 50) -> DataFrame:
+    """A label review queue: the k strongest false positives, false negatives whose magnitude reaches the quantile `share`, and
+    quarters that a single probability flags but persistence doesn't, with their kind and worth."""
+    flagged = persistent(rows, keys, p, threshold)
+    cut = rows.agg(F.percentile(magnitude, F.lit(share)).alias("cut"))
+    single = F.col(p) >= threshold
+    kinds = F.array_compact(F.array(
+        F.when(single & (F.col(y) == 0), F.struct(F.lit("false_positive").alias("kind"), F.col(p).cast("double").alias("worth"))),
+        F.when(~single & (F.col(y) == 1) & (F.col(magnitude) >= F.col("cut")), F.struct(F.lit("false_negative").alias("kind"), F.col(magnitude).cast("double").alias("worth"))),
+        F.when(single & ~F.col("persistent"), F.struct(F.lit("not_persistent").alias("kind"), F.col(p).cast("double").alias("worth"))),
+    ))
+    queue = flagged.crossJoin(F.broadcast(cut)).select(*keys, "q_idx", F.explode(kinds).alias("d")).select(*keys, "q_idx", "d.*")  # one row
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("worth"), *keys, "q_idx"))
+    return queue.withColumn("place", place).where((F.col("kind") != "false_positive") | (F.col("place") <= k))

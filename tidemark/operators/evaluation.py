@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import ratio, trailing
+from tidemark.operators.relations import average_ranks, hash_unit
 
 #: Weights of true positives, false positives and false negatives by profile.
 PROFILES = {"standard": (1.0, 0.11, 1.0), "low_fp": (1.0, 0.22, 1.0), "low_fn": (1.0, 0.11, 2.0)}
@@ -127,10 +128,12 @@ def backfill_outcomes(history: DataFrame, labels: DataFrame, key: str = "lineage
 
 def conformal_width(scores: DataFrame, alpha: float = 0.1, p: str = "probability", y: str = "outcome") -> DataFrame:
     """One row: the ceil((n + 1)(1 - alpha)) / n quantile of |p - y|; 0.5 with fewer than two rows."""
-    s = scores.select(F.abs(F.col(p) - F.col(y)).alias("s"))
-    ranked = s.withColumns({"place": F.row_number().over(Window.orderBy("s")), "n": F.count(F.lit(1)).over(Window.partitionBy())})  # resolved predictions only, a few thousand
+    s = scores.select(F.abs(F.col(p) - F.col(y)).alias("s")).where("s IS NOT NULL").groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    # One row for each distinct residual: what is sorted is their counts.
+    upto = F.sum("c").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    counted = s.withColumns({"upto": upto, "n": F.sum("c").over(Window.partitionBy())})
     at = F.least(F.ceil((F.col("n") + 1) * (1 - alpha)), F.col("n"))
-    got = ranked.where(F.col("place") == at).agg(F.max("n").alias("n"), F.max("s").alias("s"))
+    got = counted.where(F.col("upto") >= at).agg(F.max("n").alias("n"), F.min("s").alias("s"))
     return got.select(F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") >= 2, F.col("s")).otherwise(F.lit(0.5)).alias("width"))
 
 
@@ -209,17 +212,16 @@ def stratified_sample(rows: DataFrame, label: str, n: int, key: str, seed: int =
     """About n rows that keep the label's shares (rounded for each label), chosen by hash order: the same in every run."""
     total = Window.partitionBy()
     share = rows.groupBy(label).agg(F.count(F.lit(1)).alias("c")).withColumn("take", F.bround(n * F.col("c") / F.sum("c").over(total)).cast("int"))
-    place = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key))
+    place = F.row_number().over(Window.partitionBy(label).orderBy(hash_unit(F.col(key), seed=seed), key))
     return rows.withColumn("place_", place).join(F.broadcast(share.select(label, "take")), label).where("place_ <= take").select(*rows.columns)  # one row for each label
 
 
 def paired_signed_rank(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Wilcoxon's signed-rank sums of a - b (zeros left out, average ranks of ties) with the normal approximation's z."""
     d = pairs.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0").withColumn("m", F.abs("d"))
-    counts = d.groupBy("m").agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("up"))
-    w = Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = counts.withColumn("rank", F.coalesce(F.sum("c").over(w), F.lit(0)) + (F.col("c") + 1) / 2.0)
-    s = ranked.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("up")).alias("w_plus"), F.sum(F.col("rank") * (F.col("c") - F.col("up"))).alias("w_minus"))
+    ranked = average_ranks(d, ["m"])
+    up = F.col("d") > 0
+    s = ranked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(up, F.col("m_rank"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(~up, F.col("m_rank"))), F.lit(0.0)).alias("w_minus"))
     n = F.col("n").cast("double")
     return s.withColumn("z", ratio(F.col("w_plus") - n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24)))
 
@@ -232,3 +234,32 @@ def time_forward(rows: DataFrame, train_to: int, dev_to: int) -> DataFrame:
 def prediction_rollup(scores: DataFrame, keys: list[str], p: str = "probability", threshold: float = 0.5) -> DataFrame:
     """Number, mean, median, greatest and deviation (samples) of probabilities, and positives, by keys."""
     return scores.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean"), F.median(p).alias("median"), F.max(p).alias("max"), F.stddev_samp(p).alias("std"), F.count_if(F.col(p) >= threshold).alias("positives"))
+
+
+def lag_summary(nearest: DataFrame, by: str) -> DataFrame:
+    """By `by`: rows, the share with a milestone, median and mean lag and the share of each lag bucket, from series.nearest_event."""
+    n = F.count(F.lit(1))
+    shares = [(F.count_if(F.col("bucket") == b) / n).alias(name) for b, name in (("<4q", "under_4"), ("4-8q", "from_4"), ("8-12q", "from_8"), (">=12q", "from_12"))]
+    return nearest.groupBy(by).agg(n.alias("rows"), (F.count("lag") / n).alias("coverage"), F.median("lag").alias("median_lag"), F.avg("lag").alias("mean_lag"), *shares)
+
+
+def briefing_rows(predictions: DataFrame, key: str, p: str = "probability", k: int = 10) -> DataFrame:
+    """The k highest tiers of the latest quarter: tier, key, probability, change since the quarter before and place."""
+    w = Window.partitionBy(key).orderBy("q_idx")
+    changed = predictions.withColumn("change", F.col(p) - F.lag(p).over(w))
+    last = predictions.agg(F.max("q_idx").alias("last_q"))
+    latest = alert_tiers(changed, p).join(F.broadcast(last), F.col("q_idx") == F.col("last_q")).where("tier <> 'none'")  # one row
+    best = latest.orderBy(F.desc(p), key).limit(k)
+    return best.select("q_idx", "tier", key, F.col(p).alias("probability"), "change", F.row_number().over(Window.orderBy(F.desc(p), key)).alias("place"))  # k rows
+
+
+def briefing(rows: DataFrame, key: str, title: str = "Quarterly briefing") -> str:
+    """Markdown of briefing_rows, written on the driver."""
+    found = rows.orderBy("place").collect()
+    lines = [f"# {title}", ""]
+    for tier in ("watch", "extended"):
+        own = [r for r in found if r["tier"] == tier]
+        lines += [f"## {tier.capitalize()} ({len(own)})", ""]
+        lines += [f"{r['place']}. {r[key]}: {r['probability']:.3f}" + (f" ({r['change']:+.3f})" if r["change"] is not None else "") for r in own]
+        lines.append("")
+    return "\n".join(lines)

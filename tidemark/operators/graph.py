@@ -20,16 +20,20 @@ def citation_edges(works: DataFrame, refs: DataFrame) -> DataFrame:
     return pairs.select("src", "dst", F.greatest("src_q", "dst_q").alias("valid_from_q"))
 
 
-def shared_references(refs: DataFrame, min_shared: int = 5) -> DataFrame:
+def shared_references(refs: DataFrame, min_shared: int = 5, block: int = 1024) -> DataFrame:
     """(node_a, node_b, shared_refs) for pairs a < b of works that share min_shared references or more.
 
-    References that one work alone has go before the self-join. A popular reference's pairs grow with its square; partial
-    sums are combined map-side, and adaptive execution splits its join partition.
+    References that one work alone has go before the self-join. The citers of a popular reference are dealt into blocks of about
+    `block` works, and every pair of its blocks is a join key of its own, so no task has more than a block's pairs to make; which
+    pairs come out is not changed.
     """
     pairs = refs.select("work_id", "ref_id").distinct()
-    popular = pairs.groupBy("ref_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ref_id")
-    kept = pairs.join(popular, "ref_id", "left_semi")
-    both = kept.withColumnRenamed("work_id", "node_a").join(kept.withColumnRenamed("work_id", "node_b"), "ref_id").where("node_a < node_b")
+    popular = pairs.groupBy("ref_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ref_id", F.ceil(F.col("n") / block).alias("blocks"))
+    kept = pairs.join(popular, "ref_id").withColumn("own", F.pmod(F.xxhash64("work_id"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    left = kept.select("ref_id", F.col("own").alias("i"), other.alias("j"), F.col("work_id").alias("node_a"))
+    right = kept.select("ref_id", other.alias("i"), F.col("own").alias("j"), F.col("work_id").alias("node_b"))
+    both = left.join(right, ["ref_id", "i", "j"]).where("node_a < node_b")
     return both.groupBy("node_a", "node_b").agg(F.count(F.lit(1)).alias("shared_refs")).where(F.col("shared_refs") >= min_shared)
 
 
@@ -85,6 +89,26 @@ def nodes_at(works: DataFrame, q: int, scope: str = "cumulative") -> DataFrame:
     return works.where(limit[scope])
 
 
+def edges_at(edges: DataFrame, works: DataFrame, q: int, scope: str = "cumulative") -> DataFrame:
+    """Edges of the graph at quarter q: both ends are among its works. For cumulative and annual scopes that is a filter on valid_from_q."""
+    if scope == "cumulative":
+        return edges.where(F.col("valid_from_q") <= q)
+    if scope == "annual":
+        return edges.where(F.floor(F.col("valid_from_q") / 4) <= q // 4)
+    own = nodes_at(works, q, scope).select("work_id")
+    return edges.where(F.col("valid_from_q") == q).join(own.withColumnRenamed("work_id", "src"), "src", "left_semi").join(own.withColumnRenamed("work_id", "dst"), "dst", "left_semi")
+
+
+def size_bounds(stats: DataFrame, least: int = 10, most: int = 15000, min_share: float = 0.0005, sparse_degree: float = 15.0) -> DataFrame:
+    """Bounds of community sizes that follow each quarter's graph (nodes, avg_degree): wider the larger, and with a floor where it is dense."""
+    n = F.col("nodes")
+    low = F.greatest(F.lit(least), F.ceil(n * F.lit(min_share)))
+    sparse = F.least(F.lit(most), F.ceil(n * F.lit(0.05)))
+    floor, ceiling = F.greatest(F.lit(10), F.ceil(n * F.lit(0.02))), F.least(F.lit(15000), F.ceil(n * F.lit(0.10)))
+    high = F.when(F.col("avg_degree") < sparse_degree, sparse).otherwise(F.least(F.greatest(F.lit(most), floor), ceiling))
+    return stats.select("q_idx", "nodes", "avg_degree", low.cast("long").alias("size_min"), high.cast("long").alias("size_max"))
+
+
 def window_and_prune(works: DataFrame, edges: DataFrame, q: int, window: int | None = None, max_age_years: int | None = None, min_in_degree: int = 0) -> DataFrame:
     """Works of the last `window` quarters up to q; of works older than max_age_years only those cited more than min_in_degree times."""
     kept = works.where(F.col("q_idx") <= q)

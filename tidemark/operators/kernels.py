@@ -2,52 +2,121 @@
 
 from __future__ import annotations
 
-from math import exp, lgamma, log
+from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 
 
-def poisson_tail(x: int, mean: float) -> float:
-    """P(X >= x)."""
-    return _tail(x, lambda k: -mean + k * log(mean) - lgamma(k + 1) if mean > 0 else (0.0 if k == 0 else -np.inf))
+_log_gamma = np.frompyfunc(lgamma, 1, 1)
 
 
-def negative_binomial_tail(x: int, mean: float, k: float) -> float:
-    """P(X >= x) of mean and dispersion k (variance mean + mean^2 / k)."""
-    p = k / (k + mean)
-    return _tail(x, lambda n: lgamma(n + k) - lgamma(k) - lgamma(n + 1) + k * log(p) + n * log(1 - p))
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    return np.asarray(_log_gamma(np.asarray(x, dtype=float)), dtype=float)
 
 
-def _tail(x: int, log_mass) -> float:
-    if x <= 0:
-        return 1.0
-    below = sum(exp(log_mass(n)) for n in range(int(x)))
-    if below < 0.999:
-        return float(min(1.0, max(0.0, 1 - below)))
-    total, n = 0.0, int(x)
-    while True:  # far out, terms are summed directly: 1 - below would lose them
-        term = exp(log_mass(n))
-        total += term
-        n += 1
-        if term <= 1e-15 * max(total, 1e-300):
-            return float(min(1.0, total))
+TINY = 1e-300
 
 
-def run_length_filter(counts: np.ndarray, hazard: float = 1 / 50, longest: int = 40, window: int = 3, shape: float = 1.0, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Bayesian online changepoints of Poisson counts with a gamma prior: P(run length <= window) and the likeliest run length, by step.
+def _fraction(first: np.ndarray, term, rounds: int = 10_000) -> np.ndarray:
+    """A continued fraction first + a1 / (b1 + a2 / (b2 + ...)) by the modified Lentz rule, for all rows until the last has settled."""
+    value = np.where(first == 0, TINY, first)
+    c, d = value.copy(), np.zeros_like(value)
+    for i in range(1, rounds):
+        a, b = term(i)
+        d = b + a * d
+        d = 1 / np.where(d == 0, TINY, d)
+        c = b + a / c
+        c = np.where(c == 0, TINY, c)
+        step = c * d
+        value = value * step
+        if (np.abs(step - 1) < 1e-15).all():
+            break
+    return value
 
-    Mass beyond `longest` is dropped and the rest renormalised, so the first `window` steps always have probability 1.
-    """
-    mass, a, b = np.array([1.0]), np.array([shape]), np.array([rate])
-    recent, likeliest = np.zeros(len(counts)), np.zeros(len(counts), dtype=int)
-    for t, x in enumerate(counts):
-        p = b / (b + 1)
-        predictive = np.exp([lgamma(x + i) - lgamma(i) - lgamma(x + 1) + i * log(q) + x * log(1 - q) for i, q in zip(a, p, strict=True)])
-        grown, changed = mass * predictive * (1 - hazard), (mass * predictive * hazard).sum()
+
+def lower_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised lower incomplete gamma function: a series where x < a + 1, one less the upper function's fraction elsewhere."""
+    a, x = np.broadcast_arrays(np.asarray(a, dtype=float), np.asarray(x, dtype=float))
+    out = np.zeros(a.shape)
+    with np.errstate(divide="ignore", under="ignore"):
+        scale = np.exp(-x + a * np.log(np.maximum(x, TINY)) - log_gamma(a))
+    low = (x < a + 1) & (x > 0)
+    if low.any():
+        p, q, total, term = a[low], x[low], 1 / a[low], 1 / a[low]
+        while True:
+            p = p + 1
+            term = term * q / p
+            total = total + term
+            if (term <= 1e-16 * total).all():
+                break
+        out[low] = total * scale[low]
+    high = x >= a + 1
+    if high.any():
+        p, q = a[high], x[high]
+        out[high] = 1 - scale[high] / _fraction(q + 1 - p, lambda i: (-i * (i - p), q + 2 * i + 1 - p))
+    return out
+
+
+def incomplete_beta(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function by its continued fraction, on the side where that settles fast."""
+    x, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, a, b)))
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+
+    def term(i: int) -> tuple[np.ndarray, np.ndarray]:
+        m = i // 2
+        if i % 2:
+            return -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1)), np.ones_like(y)
+        return m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), np.ones_like(y)
+
+    with np.errstate(divide="ignore", under="ignore"):
+        scale = np.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * np.log(np.maximum(y, TINY)) + q * np.log(np.maximum(1 - y, TINY))) / p
+    part = np.where(y <= 0, 0.0, scale / _fraction(np.ones_like(y), term))
+    return np.where(swap, 1 - part, part)
+
+
+def poisson_tail(x: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    """P(X >= x), row by row of arrays; 1 for x up to 0."""
+    x, mean = np.broadcast_arrays(np.asarray(x, dtype=float), np.asarray(mean, dtype=float))
+    return np.where(x <= 0, 1.0, np.clip(lower_gamma(np.maximum(x, 1), mean), 0, 1))
+
+
+def negative_binomial_tail(x: np.ndarray, mean: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """P(X >= x) of mean and dispersion k (variance mean + mean^2 / k), row by row of arrays."""
+    x, mean, k = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, mean, k)))
+    return np.where(x <= 0, 1.0, np.clip(incomplete_beta(mean / (k + mean), np.maximum(x, 1), k), 0, 1))
+
+
+@dataclass
+class RunLengths:
+    """The state of Bayesian online changepoints of Poisson counts with a gamma prior: mass, shape and rate of each run length."""
+
+    mass: np.ndarray
+    shape: np.ndarray
+    rate: np.ndarray
+
+    @classmethod
+    def start(cls, shape: float = 1.0, rate: float = 0.1) -> RunLengths:
+        return cls(np.array([1.0]), np.array([shape]), np.array([rate]))
+
+    def step(self, x: float, hazard: float = 1 / 50, longest: int = 40, shape: float = 1.0, rate: float = 0.1) -> RunLengths:
+        """After one more count; mass beyond `longest` is dropped and the rest renormalised."""
+        p = self.rate / (self.rate + 1)
+        predictive = np.exp(log_gamma(x + self.shape) - log_gamma(self.shape) - lgamma(x + 1) + self.shape * np.log(p) + x * np.log(1 - p))
+        grown, changed = self.mass * predictive * (1 - hazard), (self.mass * predictive * hazard).sum()
         mass = np.concatenate([[changed], grown])[: longest + 1]
         mass = mass / mass.sum() if mass.sum() > 0 else np.full(len(mass), 1 / len(mass))
-        a, b = np.concatenate([[shape], a + x])[: longest + 1], np.concatenate([[rate], b + 1])[: longest + 1]
-        recent[t], likeliest[t] = mass[: window + 1].sum(), int(np.argmax(mass))
+        return RunLengths(mass, np.concatenate([[shape], self.shape + x])[: longest + 1], np.concatenate([[rate], self.rate + 1])[: longest + 1])
+
+
+def run_length_filter(counts: np.ndarray, hazard: float = 1 / 50, longest: int = 40, window: int = 3, shape: float = 1.0, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+    """P(run length <= window) and the likeliest run length after each count; the first `window` steps always have probability 1."""
+    state = RunLengths.start(shape, rate)
+    recent, likeliest = np.zeros(len(counts)), np.zeros(len(counts), dtype=int)
+    for t, x in enumerate(counts):
+        state = state.step(x, hazard, longest, shape, rate)
+        recent[t], likeliest[t] = state.mass[: window + 1].sum(), int(np.argmax(state.mass))
     return recent, likeliest
 
 

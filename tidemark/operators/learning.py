@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
-
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -11,9 +9,11 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import names
+
 SEED = 42
 
 
@@ -89,17 +89,16 @@ def feature_signals(rows: DataFrame, columns: list[str], label: str) -> DataFram
 
 
 class ModelRegistry:
-    """Versions of a model under one folder: v0001, v0002, ... and their metrics."""
+    """Versions of a model under one folder of any file system: v0001, v0002, ... and their metrics."""
 
-    def __init__(self, folder: str):
-        self.folder = folder.rstrip("/")
+    def __init__(self, folder: str, spark: SparkSession | None = None):
+        self.folder, self.spark = folder.rstrip("/"), spark or SparkSession.getActiveSession()
 
     def _path(self, version: int) -> str:
         return f"{self.folder}/v{version:04d}"
 
     def versions(self) -> list[int]:
-        root = Path(self.folder.removeprefix("file://"))
-        return sorted(int(p.name[1:]) for p in root.glob("v[0-9]*")) if root.exists() else []
+        return [int(n[1:]) for n in names(self.spark, self.folder) if n[:1] == "v" and n[1:].isdigit()]
 
     def save(self, model: PipelineModel, metrics: DataFrame) -> int:
         version = (self.versions() or [0])[-1] + 1
@@ -112,3 +111,8 @@ class ModelRegistry:
         if not known:
             raise ValueError("the registry is empty")
         return PipelineModel.load(f"{self._path(version or known[-1])}/model")
+
+    def best(self, metric: str) -> int:
+        """The version whose metrics have the greatest value of a metric, the latest of equals."""
+        scored = [(self.spark.read.json(f"{self._path(v)}/metrics").agg(F.max(metric)).first()[0], v) for v in self.versions()]
+        return max(scored)[1]

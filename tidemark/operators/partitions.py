@@ -117,15 +117,6 @@ def consensus_communities(near: list[dict[int, float]], resolution: float, runs:
     return potts_communities(weighted, resolution, seed)
 
 
-def size_bounds(n: int, avg_degree: float, least: int = 10, most: int = 15000, min_share: float = 0.0005, sparse_degree: float = 15.0) -> tuple[int, int]:
-    """Bounds of community sizes that follow the graph's size and density."""
-    low = max(least, int(np.ceil(n * min_share)))
-    if avg_degree < sparse_degree:
-        return low, min(most, int(np.ceil(0.05 * n)))
-    floor, ceiling = max(10, int(np.ceil(0.02 * n))), min(15000, int(np.ceil(0.10 * n)))
-    return low, min(max(most, floor), ceiling)
-
-
 def pagerank(src: np.ndarray, dst: np.ndarray, n: int, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100) -> np.ndarray:
     """Uniform out-edges, dangling mass spread evenly, until the change is below tolerance * n."""
     rank = np.full(n, 1 / max(n, 1))

@@ -136,6 +136,17 @@ def decline_streaks(series: DataFrame, keys: list[str], value: str = "new_works"
     return island.select(*keys, "q_idx", run.alias("decline_streak"))
 
 
+def front_lifecycle(fronts: DataFrame, onsets: DataFrame, mapping: DataFrame, growth_window: int = 12, decline: int = 4) -> DataFrame:
+    """Stage of each front and quarter of front_series: no_onset, pre_onset, growth for growth_window quarters, then decline where the
+    rolling mean has fallen for `decline` quarters, else mature. A front's onset is the earliest among its lineages."""
+    known = onsets.join(mapping.select("lineage_id", "front"), "lineage_id").groupBy("front").agg(F.min("onset_q").alias("onset_q"), F.count("onset_q").alias("onset_lineages"))
+    falls = decline_streaks(fronts, ["front"], "roll_mean_4")
+    joined = fronts.select("front", "q_idx").join(falls, ["front", "q_idx"]).join(known, "front", "left")
+    since = F.col("q_idx") - F.col("onset_q")
+    stage = F.when(F.col("onset_q").isNull(), "no_onset").when(since < 0, "pre_onset").when(since <= growth_window, "growth").when(F.col("decline_streak") >= decline, "decline").otherwise("mature")
+    return joined.withColumns({"since_onset": F.when(since >= 0, since), "stage": stage})
+
+
 def field_from_lineages(series: DataFrame, value: Column, weight: Column) -> DataFrame:
     """Weighted mean (weights null or 0 count as 1), simple mean and median of a lineage value by quarter."""
     w = F.when(F.coalesce(weight, F.lit(0)) == 0, 1).otherwise(weight)

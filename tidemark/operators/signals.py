@@ -154,3 +154,32 @@ def match_coverage(signals: DataFrame, thresholds: list[float], key: str = "line
     """Keys that reach each threshold, by front and signal."""
     at = F.explode(F.array(*[F.lit(t) for t in thresholds]))
     return signals.withColumn("threshold", at).groupBy("front", "signal", "threshold").agg(F.count_if(F.col("similarity") >= F.col("threshold")).alias("matches"))
+
+
+def stage_weights(signals: DataFrame, key: str = "lineage") -> DataFrame:
+    """By signal: mean margin and entropy, how often it is the odd one out of three, and the weight these suggest (weights sum to 3).
+
+    A weight adds up, each relative to the best signal: margin times share of clear winners (.35), decisiveness 1 / (entropy + .1)
+    (.25), agreement (.20) and spread of the best scores (.20). Entropy is of a key's scores brought to [0, 1].
+    """
+    w = Window.partitionBy(key, "signal")
+    placed = signals.withColumns({"place": F.row_number().over(w.orderBy(F.desc("similarity"), "front")), "low": F.min("similarity").over(w), "high": F.max("similarity").over(w)})
+    scaled = placed.withColumn("s", ratio(F.col("similarity") - F.col("low"), F.col("high") - F.col("low")))
+    shares = scaled.withColumn("p", ratio(F.col("s"), F.sum("s").over(w)))
+    at = lambda place, c: F.max(F.when(F.col("place") == place, F.col(c)))
+    entropy = -F.sum(F.when(F.col("p") > 0, F.col("p") * F.log("p")).otherwise(0.0))
+    best = shares.groupBy(key, "signal").agg(F.max("similarity").alias("top"), (F.max("similarity") - at(2, "similarity")).alias("margin"), entropy.alias("entropy"), at(1, "front").alias("best"))
+    # Odd: the two other signals of a key agree on another front.
+    choices = Window.partitionBy(key)
+    same = F.count(F.lit(1)).over(Window.partitionBy(key, "best"))
+    judged = best.withColumns({"same": same, "most": F.lit(0)}).withColumn("most", F.max("same").over(choices))
+    odd = (F.col("same") == 1) & (F.col("most") == 2)
+    by = judged.groupBy("signal").agg(
+        F.avg("margin").alias("mean_margin"), F.avg((F.col("margin") > 0.1).cast("double")).alias("clear"), F.avg("entropy").alias("mean_entropy"), F.count_if(odd).alias("odd_one_out"), F.stddev_pop("top").alias("spread"),
+    )
+    every = Window.partitionBy()  # one row for each signal
+    relative = lambda c: ratio(c, F.max(c).over(every))
+    agreement = F.when(F.sum("odd_one_out").over(every) > 0, 1 - ratio(F.col("odd_one_out"), F.sum("odd_one_out").over(every))).otherwise(1.0)
+    worth = 0.35 * relative(F.col("mean_margin") * F.col("clear")) + 0.25 * relative(1 / (F.col("mean_entropy") + 0.1)) + 0.2 * agreement + 0.2 * relative(F.col("spread"))
+    raw = by.withColumn("raw", worth)
+    return raw.select("signal", "mean_margin", "mean_entropy", "odd_one_out", (3 * ratio(F.col("raw"), F.sum("raw").over(every))).alias("weight"))

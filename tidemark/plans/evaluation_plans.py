@@ -222,7 +222,9 @@ def d127_unit_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.unit_feasibility(B.scores(spark, sf_dir), "source", "doc_id", "outcome", observations=100).withColumn("coverage", F.round("coverage", 6))
 
 
-@query()
+@query(with_(SCORES) + """, s AS (SELECT outcome, round_even(100 * count(*) / (sum(count(*)) OVER ())::DOUBLE, 0)::INTEGER AS take FROM scores GROUP BY 1),
+p AS (SELECT scores.*, take, row_number() OVER (PARTITION BY outcome ORDER BY ('0x' || substr(md5('42|' || doc_id), 1, 8))::BIGINT, doc_id) AS place FROM scores JOIN s USING (outcome))
+SELECT doc_id, source, probability, outcome FROM p WHERE place <= take""")
 def d132_stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.stratified_sample(B.scores(spark, sf_dir), "outcome", 100, "doc_id")
 
@@ -249,7 +251,10 @@ def d097_classifier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.predict(model, f.where("q_idx > 7999")).select("lineage_id", "q_idx", F.round("probability", 6).alias("probability"), "label")
 
 
-@query()
+@query(with_(SCORES) + """, g AS (SELECT probability AS p, sum(outcome)::DOUBLE AS s, count(*)::DOUBLE AS n, row_number() OVER (ORDER BY probability) AS i FROM scores GROUP BY 1),
+c AS (SELECT i, p, sum(s) OVER (ORDER BY i) AS cs, sum(n) OVER (ORDER BY i) AS cn, s, n FROM g), m AS (SELECT a.i AS i, b.i AS j, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.i <= b.i),
+lo AS (SELECT i, j, min(mean) OVER (PARTITION BY i ORDER BY j DESC) AS least FROM m), fit AS (SELECT j AS i, max(least) AS calibrated FROM lo GROUP BY 1)
+SELECT doc_id, round(calibrated, 6) AS calibrated FROM scores JOIN g ON probability = p JOIN fit USING (i)""")
 def d108_isotonic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.isotonic(B.scores(spark, sf_dir)).select("doc_id", F.round("calibrated", 6).alias("calibrated"))
 

@@ -211,9 +211,15 @@ def d088_burst_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("front", "q_idx", "count", "model", *rounded(["mu", "variance"]), F.round("k", 4).alias("k"))
 
 
-@query()
+@query(BACKGROUND + """, t AS (SELECT *, greatest(CASE model WHEN 'Zero' THEN CASE WHEN count > 0 THEN 0 ELSE 1 END
+  WHEN 'Poisson' THEN 1 - COALESCE(list_sum(list_transform(range(count), lambda j: exp(-mu + j * ln(mu) - lgamma(j + 1)))), 0)
+  ELSE 1 - COALESCE(list_sum(list_transform(range(count), lambda j: exp(lgamma(j + mu * mu / (variance - mu)) - lgamma(mu * mu / (variance - mu)) - lgamma(j + 1) + mu * mu / (variance - mu) * ln(mu / variance) + j * ln(1 - mu / variance)))), 0) END, 0)::DOUBLE AS p FROM bg),
+n AS (SELECT *, row_number() OVER (PARTITION BY q_idx ORDER BY p, front) AS r, count(*) OVER (PARTITION BY q_idx) AS m FROM t),
+q AS (SELECT *, min(p * m / r) OVER (PARTITION BY q_idx ORDER BY p, front ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q FROM n)
+SELECT front, q_idx, count, model, round(p, 8) AS p_value, round(q, 7) AS q_value, round(count / mu, 6) AS rate_ratio, q <= 0.1 AS alert FROM q WHERE model <> 'Zero'""")
 def d088_burst_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.burst_alerts(_fronts(spark, sf_dir), ["front"])
+    a = D.burst_alerts(_fronts(spark, sf_dir), ["front"])
+    return a.select("front", "q_idx", "count", "model", F.round("p_value", 8).alias("p_value"), F.round("q_value", 7).alias("q_value"), F.round("rate_ratio", 6).alias("rate_ratio"), "alert")
 
 
 @query()
@@ -263,7 +269,7 @@ def d101_growth_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.growth_alerts(B.series(spark, sf_dir), ["lineage_id"]).withColumn("growth", F.round("growth", 6))
 
 
-@query()
+@query(with_(SERIES) + "SELECT lineage_id, q_idx, ('0x' || substr(md5('42|' || lineage_id || '|' || q_idx), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.05 AS alert FROM series")
 def d101_random_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.random_alerts(B.series(spark, sf_dir), ["lineage_id"])
 
@@ -308,16 +314,25 @@ def d123_two_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def d094_vector_changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each label's quarterly mean vectors, which turn to other labels' vectors for the second half of the quarters."""
     v = B.vectors(spark, sf_dir).withColumn("q_idx", (F.col("vec_id") % 24).cast("int"))
-    return D.vector_changepoints(signals.weighted_mean_vector(v, ["label", "q_idx"]), ["label"])
+    v = v.withColumn("label", F.when(F.col("q_idx") >= 12, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return D.vector_changepoints(signals.weighted_mean_vector(v, ["label", "q_idx"]), ["label"], penalty=0.5)
 
 
 @query()
 def d125_parameter_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.burst_parameter_sweep(_fronts(spark, sf_dir), ["front"], [8, 12], [0.05, 0.1, 0.5])
+    """A grid of lookbacks, least counts and levels, and random settings, against each front's quarters of strongest growth."""
+    f = _fronts(spark, sf_dir)
+    grown = D.growth_alerts(f, ["front"], "count", theta=0.1).where("alert").select("front", F.col("q_idx").alias("event_q"))
+    settings = [(lookback, least, alpha) for lookback in (8, 12, 16) for least in (0, 1, 3) for alpha in (0.05, 0.1, 0.2)]
+    s = D.burst_parameter_sweep(f, ["front"], [*settings, *D.drawn_settings(6)], grown)
+    return s.select("lookback", "min_count", "alpha", "tests", "alerts", "groups", *rounded(["precision", "recall", "f1", "lead"]))
 
 
 @query()
 def d126_changepoint_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = D.changepoint_calibration(B.series(spark, sf_dir), ["lineage_id"], [(1 / 50, 3, 0.5), (1 / 20, 5, 0.3), (1 / 100, 3, 0.5)])
-    return c.select("window", *rounded(["hazard", "threshold", "mean_p", "max_p", "alert_rate"]))
+    s = B.series(spark, sf_dir)
+    known = D.onsets(s, ["lineage_id"], growth=0.05).where("onset_q IS NOT NULL")
+    c = D.changepoint_calibration(s, ["lineage_id"], known)
+    return c.select("window", "onsets", *rounded(["hazard", "threshold", "shape", "rate", "mean_p", "max_p", "alert_rate", "onset_rate", "mean_lag", "false_alarm_rate"]))

@@ -13,7 +13,7 @@ from tidemark.plans import bindings as B
 from tidemark.plans.bindings import TEXTS, VECTORS, with_
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
-_TERMS = rf"list_filter(regexp_extract_all(lower(COALESCE(text, '')), '([A-Za-z0-9_\-]+)'), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w))"
+_TERMS = rf"list_filter(regexp_extract_all(lower(COALESCE(text, '')), '([\p{{L}}\p{{N}}_\-]+)'), lambda w: length(w) > 2 AND NOT list_contains({_STOP}, w))"
 _SET = f"list_distinct({_TERMS})"
 TERMS = with_(TEXTS) + f""", tokens AS (SELECT lineage, paper_id, unnest({_TERMS}) AS term FROM texts),
 counts AS (SELECT lineage, term, count(*) AS tf FROM tokens GROUP BY ALL)"""

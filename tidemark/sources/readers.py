@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from urllib.parse import urlencode
 from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +50,8 @@ def read(spark: SparkSession, source: dict) -> DataFrame:
         return spark.read.schema(schema or RAW_WORK).json(source["path"])
     if kind == "works_api":
         spark.dataSource.register(WorksApi)
-        options = {"url": source["url"], "filter": filter_string(source.get("filters", {})), "pages": str(source.get("pages", 1)), "per_page": str(source.get("per_page", 200))}
+        options = {"url": source["url"], "filter": filter_string(source.get("filters", {}))}
+        options |= {k: str(source[k]) for k in ("pages", "per_page", "max_records", "select", "sort", "pause") if source.get(k) is not None}
         return spark.read.format("works_api").options(**options).load()
     raise ValueError(f"unknown source kind: {kind!r}")
 
@@ -74,6 +76,8 @@ def newer_than(df: DataFrame, date_col: str, watermark: object | None) -> DataFr
 
 
 class Page(InputPartition):
+    """A page by number, or (0) the whole chain of pages that cursors link."""
+
     def __init__(self, number: int):
         self.number = number
 
@@ -92,7 +96,11 @@ def fetch(url: str, opened: Callable = urlopen, retries: int = 5, pause: float =
 
 
 class WorksApi(DataSource):
-    """A paged works service as a Spark source: options url, filter, pages and per_page; each page is a partition, so tasks fetch in parallel."""
+    """A paged works service as a Spark source.
+
+    Options: url, filter, per_page, select, sort, max_records and pause (seconds between requests). Pages are followed by their
+    cursors to the end, one after the other, as each names the next. With pages, so many numbered ones are read instead, in parallel.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -102,18 +110,37 @@ class WorksApi(DataSource):
         return "id string, display_name string, publication_date string, publication_year int, cited_by_count int, referenced_works array<string>"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return WorksReader(dict(self.options))
+        return WorksReader(dict(self.options), schema.fieldNames())
+
+
+FIELDS = ["id", "display_name", "publication_date", "publication_year", "cited_by_count", "referenced_works"]
 
 
 class WorksReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.options = options
+    def __init__(self, options: dict[str, str], fields: list[str] = FIELDS):
+        self.options, self.fields = options, fields
 
     def partitions(self) -> list[InputPartition]:
-        return [Page(i + 1) for i in range(int(self.options.get("pages", "1")))]
+        pages = int(self.options.get("pages", "0"))
+        return [Page(i + 1) for i in range(pages)] if pages else [Page(0)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def address(self, **position: object) -> str:
         o = self.options
-        url = f"{o['url']}?filter={o.get('filter', '')}&per-page={o.get('per_page', '200')}&page={partition.number}"
-        for w in fetch(url).get("results", []):
-            yield tuple(w.get(k) for k in ("id", "display_name", "publication_date", "publication_year", "cited_by_count", "referenced_works"))
+        asked = {"filter": o.get("filter"), "select": o.get("select"), "sort": o.get("sort"), "per-page": o.get("per_page", "200"), **position}
+        return f"{o['url']}?{urlencode({k: v for k, v in asked.items() if v})}"
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        most, pause = int(self.options.get("max_records", "0")), float(self.options.get("pause", "0"))
+        given, cursor = 0, "*"
+        while True:
+            answer = fetch(self.address(page=partition.number) if partition.number else self.address(cursor=cursor))
+            works = answer.get("results", [])
+            for w in works:
+                if most and given >= most:
+                    return
+                yield tuple(w.get(k) for k in self.fields)
+                given += 1
+            cursor = (answer.get("meta") or {}).get("next_cursor")
+            if partition.number or not cursor or not works:
+                return
+            time.sleep(pause)

@@ -44,26 +44,27 @@ def first_seen(events: DataFrame, keys: tuple[str, ...] = ("user_id",)) -> DataF
 
 
 def changepoints(counts: DataFrame, key: str = "lineage_id", hazard: float = 1 / 50, window: int = 3, longest: int = 40) -> DataFrame:
-    """(key, q_idx, changepoint_prob) of a stream of quarterly counts (key, q_idx, new_works).
+    """(key, q_idx, changepoint_prob, late) of a stream of quarterly counts (key, q_idx, new_works).
 
-    State for a key is its counts so far, at most `longest` + window quarters: the filter drops longer runs anyway. Quarters
-    of a batch are taken in order; one that comes after a later one was taken is skipped.
+    State for a key is the filter's own: mass, shape and rate of at most `longest` + 1 run lengths, and the last quarter. Quarters
+    of a batch are taken in order, one step each. A quarter that comes after a later one was taken can't be filtered any more: it
+    gives a row with late true and no probability.
     """
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, held = state.get if state.exists else (-1, [])
-        held = list(held)
+        last, mass, shape, rate = state.get if state.exists else (None, [1.0], [1.0], [0.1])
+        held = kernels.RunLengths(*(np.array(v, dtype=float) for v in (mass, shape, rate)))
         rows = pd.concat(list(batches)).sort_values("q_idx")
-        out: list[tuple[Any, int, float]] = []
+        out: list[tuple[Any, int, float | None, bool]] = []
         for q, x in zip(rows["q_idx"], rows["new_works"], strict=True):
-            if q <= last:
+            if last is not None and q <= last:
+                out.append((name[0], int(q), None, True))
                 continue
-            held = (held + [float(x)])[-(longest + window) :]
-            p, _ = kernels.run_length_filter(np.array(held), hazard, longest, window)
-            out.append((name[0], int(q), float(p[-1])))
-            last = int(q)
-        state.update((last, held))
-        yield pd.DataFrame(out, columns=[key, "q_idx", "changepoint_prob"])
+            held, last = held.step(float(x), hazard, longest), int(q)
+            out.append((name[0], last, float(held.mass[: window + 1].sum()), False))
+        state.update((last, held.mass.tolist(), held.shape.tolist(), held.rate.tolist()))
+        yield pd.DataFrame(out, columns=[key, "q_idx", "changepoint_prob", "late"])
 
     kind = counts.schema[key].dataType.simpleString()
-    return counts.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, q_idx int, changepoint_prob double", "last int, held array<double>", "append", GroupStateTimeout.NoTimeout)
+    held = "last int, mass array<double>, shape array<double>, rate array<double>"
+    return counts.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, q_idx int, changepoint_prob double, late boolean", held, "append", GroupStateTimeout.NoTimeout)
