@@ -36,6 +36,8 @@ BYTES_AT_ONCE = 1 << 21
 #: Chunks of a giant text that go on as one batch.
 CHUNKS_AT_ONCE = 32
 NEVER = -np.inf
+#: Words of more characters are traced one by one.
+LONG = 64
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -100,6 +102,8 @@ class Pieces:
                 self.id[text], self.score[text] = i, piece[2]
                 self.bytes.append(text.replace(SPACE, " ").encode())
         self.longest = max(map(len, self.id))
+        #: Every beginning of a piece, and whether it is one.
+        self.begins = {t[:n]: False for t in self.id for n in range(1, len(t))} | dict.fromkeys(self.id, True)
         self.merged = lru_cache(1 << 16)(self._merged)
         self.compatible = lru_cache(1 << 18)(self._compatible)
 
@@ -126,17 +130,21 @@ class Pieces:
 
     def paths(self, text: str, begin: int = 0) -> list[str | None]:
         """For each end, the last piece of the one path from begin to there; the weight of any other path is -inf."""
-        known, ok, longest = self.id, self.compatible, self.longest
-        last: list[str | None] = [None] * (len(text) + 1)
+        begins, ok, n = self.begins, self.compatible, len(text)
+        last: list[str | None] = [None] * (n + 1)
         last[begin] = ""
-        for end in range(begin + 1, len(text) + 1):
-            for start in range(max(begin, end - longest), end):
-                before = last[start]
-                if before is None:
-                    continue
+        for start in range(begin, n):
+            before = last[start]
+            if before is None:
+                continue
+            for end in range(start + 1, n + 1):
                 piece = text[start:end]
-                if (end - start == 1 or piece in known) and ok(before, piece):
+                whole = begins.get(piece)
+                if whole is None and end - start > 1:
+                    break  # no piece begins like this
+                if last[end] is None and (whole or end - start == 1) and ok(before, piece):
                     last[end] = piece
+                if whole is None:
                     break
         return last
 
@@ -167,16 +175,157 @@ def prepared(text: str | None) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+class Lattice:
+    """The paths of many words at once, as arrays: what Pieces.paths and Pieces.trace do one by one.
+
+    Boundaries of all words stand in one array, a word's behind each other. First all pieces that match at any place are found, by
+    one step of a trie for all places at a time. Then paths grow from each word's beginning, all words by one character a round:
+    a boundary that has a path passes it on over every compatible piece that begins there. Last, all paths are walked back.
+    """
+
+    #: Pieces are their ids; characters that are no piece follow them. A boundary without path, and what is before a word.
+    NONE, BEGIN = -2, -1
+    PAIR_BITS = 20
+
+    def __init__(self, model: Pieces):
+        self.model = model
+        letters = sorted({c for t in model.id for c in t})
+        self.code = np.zeros(0x110000, dtype=np.uint16)
+        self.code[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        nodes = {"": 0} | {t: i + 1 for i, t in enumerate(model.begins)}
+        key = np.array([nodes[t[:-1]] * self.width + int(self.code[ord(t[-1])]) for t in model.begins], dtype=np.int64)
+        order = np.argsort(key)
+        self.edge, self.child = key[order], np.array([nodes[t] for t in model.begins], dtype=np.int64)[order]
+        self.piece_of = np.array([-1, *(model.id.get(t, -1) for t in model.begins)], dtype=np.int64)
+        self.first_raw = len(model.text)
+        self.length = np.array([len(t) for t in model.text], dtype=np.int64)
+        self.raw: dict[str, int] = {}
+        self.raw_ids: list[list[int]] = []
+        self.pair = np.full(1 << self.PAIR_BITS, -1, dtype=np.int64)
+        self.fits = np.zeros(1 << self.PAIR_BITS, dtype=bool)
+
+    def _text(self, piece: int) -> str:
+        if piece == self.BEGIN:
+            return ""
+        return self.model.text[piece] if piece < self.first_raw else self.raw_text[piece - self.first_raw]
+
+    def _compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether right may follow left, for arrays; answers are kept in a table in which a new pair takes an old one's place."""
+        key = (left + 1) << np.int64(32) | right
+        at = (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.PAIR_BITS)).astype(np.int64)
+        out = self.fits[at]
+        miss = np.flatnonzero(self.pair[at] != key)
+        if len(miss):
+            _, one, back = np.unique(key[miss], return_index=True, return_inverse=True)
+            one = miss[one]
+            found = np.array([self.model.compatible(self._text(a), self._text(b)) for a, b in zip(left[one].tolist(), right[one].tolist(), strict=True)])
+            out[miss] = found[back]
+            self.pair[at[one]], self.fits[at[one]] = key[one], found
+        return out
+
+    def _matches(self, codes: np.ndarray, left: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length, piece) of all pieces in the words, by place; left: characters up to the end of the word from each place on."""
+        place = np.arange(len(codes))
+        node = np.zeros(len(codes), dtype=np.int64)
+        found = []
+        for n in range(1, self.model.longest + 1):
+            key = node * self.width + codes[place + n - 1]
+            at = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            on = self.edge[at] == key
+            if n == 1:
+                lone = np.flatnonzero(~on | (self.piece_of[self.child[at]] < 0))
+                for c in {text[i] for i in lone.tolist()} - self.raw.keys():
+                    self.raw[c] = len(self.raw)
+                    self.raw_ids.append(self.model.ids([c]))
+                self.raw_text = list(self.raw)
+                found.append((lone, np.ones(len(lone), dtype=np.int64), np.array([self.first_raw + self.raw[text[i]] for i in lone.tolist()], dtype=np.int64)))
+            place, node = place[on], self.child[at[on]]
+            piece = self.piece_of[node]
+            whole = piece >= 0
+            found.append((place[whole], np.full(int(whole.sum()), n), piece[whole]))
+            more = left[place] > n
+            place, node = place[more], node[more]
+        place, length, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(place, kind="stable")
+        return place[order], length[order], piece[order]
+
+    def trace(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that are not empty, one after the other, and how many each has."""
+        if not words:
+            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        text = "".join(words)
+        codes = self.code[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)].astype(np.int64)
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        ends = np.cumsum(size)
+        begins = ends - size
+        word = np.repeat(np.arange(len(words)), size)
+        place, length, piece = self._matches(codes, ends[word] - np.arange(len(codes)), text)
+        first = np.searchsorted(place, np.arange(len(codes) + 1))
+        # A word's boundaries: its places and its end; so boundary = place + number of words before.
+        last = np.full(len(codes) + len(words), self.NONE, dtype=np.int64)
+        number = np.arange(len(words))
+        last[begins + number] = self.BEGIN
+        for round_ in range(int(size.max(initial=0))):
+            mine = number[size > round_]
+            at = begins[mine] + round_
+            reached = last[at + mine] != self.NONE
+            at, mine = at[reached], mine[reached]
+            counts = first[at + 1] - first[at]
+            which = np.repeat(first[at] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+            to = np.repeat(at + mine, counts) + length[which]
+            free = last[to] == self.NONE
+            which, to, before = which[free], to[free], np.repeat(last[at + mine], counts)[free]
+            good = self._compatible(before, piece[which])
+            last[to[good]] = piece[which[good]]
+        steps, owners = [], []
+        at, mine = ends + number, number
+        while len(mine):
+            came = last[at]
+            if (came < 0).any():
+                raise ValueError("a word without a path")
+            steps.append(came)
+            owners.append(mine)
+            at = at - np.where(came < self.first_raw, self.length[np.minimum(came, self.first_raw - 1)], 1)
+            going = at > (begins + number)[mine]
+            at, mine = at[going], mine[going]
+        steps, owners = np.concatenate(steps[::-1]), np.concatenate(owners[::-1])
+        steps, owners = (x[np.argsort(owners, kind="stable")] for x in (steps, owners))
+        # Characters that are no piece stand as their bytes.
+        raw_size = np.array([len(i) for i in self.raw_ids], dtype=np.int64)
+        raw_flat = np.array([i for ids in self.raw_ids for i in ids], dtype=np.int64)
+        raw = steps >= self.first_raw
+        counts = np.ones(len(steps), dtype=np.int64)
+        counts[raw] = raw_size[steps[raw] - self.first_raw]
+        ids = np.repeat(steps, counts)
+        if raw.any():
+            within = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
+            spot = np.flatnonzero(ids >= self.first_raw)
+            ids[spot] = raw_flat[(np.cumsum(raw_size) - raw_size)[ids[spot] - self.first_raw] + within[spot]]
+        return ids.astype(np.int32), np.bincount(owners, weights=counts, minlength=len(words)).astype(np.int64)
+
+
 class PieceEncoder:
     """Ids of stretches that begin and end at piece boundaries, each distinct word traced once while it is kept."""
 
     def __init__(self, model: Pieces):
         self.model = model
+        self.lattice = Lattice(model)
         self.units = UnitTable(self._learn)
 
     def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [self.model.ids(self.model.trace(w)) for w in words]
-        return np.array([i for ids in found for i in ids], dtype=np.int32), np.array([len(ids) for ids in found], dtype=np.int64)
+        """Words of up to LONG characters grow together; longer ones would keep the others waiting and are traced one by one."""
+        if max(map(len, words)) <= LONG:
+            return self.lattice.trace(words)
+        short = self.lattice.trace([w for w in words if len(w) <= LONG])
+        long = [np.array(self.model.ids(self.model.trace(w)), dtype=np.int32) for w in words if len(w) > LONG]
+        is_long = np.array([len(w) > LONG for w in words])
+        sizes = np.zeros(len(words), dtype=np.int64)
+        sizes[~is_long], sizes[is_long] = short[1], [len(x) for x in long]
+        ids = np.zeros(sizes.sum(), dtype=np.int32)
+        in_long = np.repeat(is_long, sizes)
+        ids[~in_long], ids[in_long] = short[0], np.concatenate(long)
+        return ids, sizes
 
     @staticmethod
     def cut(text: str) -> list[str]:
