@@ -243,3 +243,24 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     counts = [F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.when(gone.isNotNull(), F.size(gone)), F.lit(0)).cast("long").alias("n_dropped")]
     return joined.select(*columns, *counts)
+
+
+#: The same for tables of distinct ids: exact repeats, then the two kinds of variant keys, each with its earliest line.
+ORACLE_SQL = r"""
+WITH l AS (
+  SELECT doc_id, no, line, doc_id * 1000000 + no AS pos, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents WHERE text IS NOT NULL)),
+u AS (SELECT array_to_string(ws, ' ') AS whole, any_value(ws) AS ws, len(any_value(ws)) AS n, min(pos) AS pos FROM l WHERE len(ws) > 0 GROUP BY 1),
+v AS (SELECT whole, n, pos, i, array_to_string(list_concat(ws[1:i - 1], ws[i + 1:]), ' ') AS rest FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM u WHERE n >= 10)),
+same_place AS (SELECT n, i, rest, min(pos) AS pos FROM v GROUP BY ALL),
+near AS (
+  SELECT v.whole FROM v JOIN same_place s ON s.n = v.n AND s.i = v.i AND s.rest = v.rest AND s.pos < v.pos
+  UNION SELECT v.whole FROM v JOIN u ON u.whole = v.rest AND u.n >= 10 AND u.pos < v.pos
+  UNION SELECT u.whole FROM u JOIN v ON u.whole = v.rest AND u.n >= 10 AND v.pos < u.pos),
+marked AS (
+  SELECT l.*, len(l.ws) > 0 AND (l.pos > u.pos OR u.whole IN (SELECT whole FROM near)) AS gone FROM l LEFT JOIN u ON u.whole = array_to_string(l.ws, ' ')),
+kept AS (
+  SELECT doc_id, COALESCE(string_agg(line, chr(10) ORDER BY no) FILTER (NOT gone), '') AS text, count(*) FILTER (len(ws) > 0) AS n_lines, count(*) FILTER (gone) AS n_dropped FROM marked GROUP BY 1)
+SELECT d.doc_id, CASE WHEN n_dropped > 0 THEN k.text ELSE d.text END AS text, COALESCE(n_lines, 0)::BIGINT AS n_lines, COALESCE(n_dropped, 0)::BIGINT AS n_dropped
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""

@@ -435,6 +435,22 @@ def ngram_components(docs: DataFrame, width: int = 4, similarity: tuple[int, int
     return joined.select(F.col("doc_id").alias(id_col), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+#: The same by joining shingles and walking all links: for tables whose common shingles are few.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= 85 * (a.n + b.n - c)),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS root FROM w UNION SELECT e.y, r.root FROM reach r JOIN ends e ON e.x = r.doc_id WHERE r.root < e.y)
+SELECT r.doc_id, COALESCE(max(n.n), 0)::BIGINT AS n_shingles, min(r.root) AS component_id FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY 1
+"""
+
+
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Of the rows of docs linked by ngram_components, the one of least id (null ids last, then hash of the text).
 

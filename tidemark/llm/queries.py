@@ -62,4 +62,6 @@ def op10_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_token_counts, op2_ngram_components, op3_toxicity, op4_source_mix, op5_line_dedup, op6_token_orc, op7_sentencepiece, op8_vector_neighbours, op9_gif_media, op10_quality_resampling)
 }
-ORACLE_SQL: dict[str, str] = {"op4_source_mix": mixing.ORACLE_SQL, "op8_vector_neighbours": vptree.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_components": ngram_join.ORACLE_SQL, "op4_source_mix": mixing.ORACLE_SQL, "op5_line_dedup": line_dedup.ORACLE_SQL, "op8_vector_neighbours": vptree.ORACLE_SQL,
+}
