@@ -68,6 +68,18 @@ def test_pagerank_by_powers():
     assert np.abs(partitions.pagerank(pairs[:, 0], pairs[:, 1], n, tolerance=1e-12) - want).max() < 1e-8
 
 
+def test_pagerank_by_joins_is_that_of_one_task(spark):
+    rng = random.Random(3)
+    edges = sorted({(q, rng.randrange(12), rng.randrange(12)) for q in (1, 2) for _ in range(25)})
+    df = spark.createDataFrame(edges, "q_idx int, src long, dst long")
+    got = {(r.q_idx, r.work_id): r.rank for r in communities.pagerank_by_joins(df, tolerance=1e-5).collect()}
+    for q in (1, 2):
+        own = [(a, b) for k, a, b in edges if k == q]
+        names = sorted({x for e in own for x in e})
+        want = partitions.pagerank(np.array([names.index(a) for a, _ in own]), np.array([names.index(b) for _, b in own]), len(names), tolerance=1e-12)
+        assert max(abs(got[q, w] - want[i]) for i, w in enumerate(names)) < 1e-3
+
+
 def test_greedy_matches_need_no_whole_table(spark):
     rng = random.Random(4)
     rows = [(e, l, rng.random()) for e in range(4) for l in range(60)]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numeric import ratio
 from tidemark.operators import partitions as P
+from tidemark.sources.stages import dropped, written
 
 
 def edges_by_quarter(edges: DataFrame, quarters: list[int]) -> DataFrame:
@@ -53,19 +54,47 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
 
     A round is one join and one aggregate; the table of labels is written out after every round, which cuts the lineage.
     """
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    both = written(edges.select("src", "dst").union(edges.select("dst", "src")).distinct(), "links")
     labels = both.select(F.col("src").alias("work_id")).distinct().withColumn("community_id", F.col("work_id"))
     for _ in range(rounds):
         votes = both.join(labels, F.col("dst") == F.col("work_id")).groupBy("src", "community_id").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("src").agg(F.max_by("community_id", F.struct("n", (-F.col("community_id")).alias("least"))).alias("community_id"))
-        labels = best.withColumnRenamed("src", "work_id")
-        if edges.sparkSession.conf.get("spark.checkpoint.dir", None) or edges.sparkSession.sparkContext.getCheckpointDir():
-            labels = labels.checkpoint()
+        labels = written(best.withColumnRenamed("src", "work_id"), "labels")
     return labels
 
 
-def pagerank_cores(quarterly: DataFrame, partition: DataFrame, share: float = 0.1) -> DataFrame:
-    """(q_idx, community_id, work_id, rank): the ceil(share * size) members of highest PageRank in the quarter's graph, ties by id."""
+def pagerank_by_joins(quarterly: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, rounds: int = 100) -> DataFrame:
+    """(q_idx, work_id, rank) of the graphs of all quarters at once, for graphs too large for one task.
+
+    A round is one join of edges with ranks, one aggregate and one join back; its ranks are written out, which ends the lineage, and
+    the change of each quarter is all that the driver sees. Out-edges are uniform, dangling mass is spread evenly.
+    """
+    edges = quarterly.select("q_idx", "src", "dst").distinct()
+    degree = edges.groupBy("q_idx", "src").agg(F.count(F.lit(1)).alias("out"))
+    edges = written(edges.join(degree, ["q_idx", "src"]), "edges")
+    nodes = edges.select("q_idx", F.col("src").alias("work_id")).union(edges.select("q_idx", "dst")).distinct()
+    nodes = nodes.join(degree.withColumnRenamed("src", "work_id"), ["q_idx", "work_id"], "left").withColumn("dangling", F.col("out").isNull()).drop("out")
+    sizes = nodes.groupBy("q_idx").agg(F.count(F.lit(1)).cast("double").alias("n"))  # one row for each quarter
+    ranks = written(nodes.join(sizes, "q_idx").withColumn("rank", 1 / F.col("n")).withColumn("before", F.lit(0.0)), "ranks")
+    for _ in range(rounds):
+        given = edges.join(ranks.select("q_idx", F.col("work_id").alias("src"), "rank"), ["q_idx", "src"])
+        given = given.groupBy("q_idx", F.col("dst").alias("work_id")).agg(F.sum(F.col("rank") / F.col("out")).alias("given"))
+        loose = ranks.groupBy("q_idx").agg(F.sum(F.when(F.col("dangling"), F.col("rank")).otherwise(0.0)).alias("loose"))
+        joined = ranks.join(loose, "q_idx").join(given, ["q_idx", "work_id"], "left")
+        fresh = damping * (F.coalesce("given", F.lit(0.0)) + F.col("loose") / F.col("n")) + (1 - damping) / F.col("n")
+        old, ranks = ranks, written(joined.select("q_idx", "work_id", "dangling", "n", fresh.alias("rank"), F.col("rank").alias("before")), "ranks")
+        dropped(old)
+        left = ranks.groupBy("q_idx").agg((F.sum(F.abs(F.col("rank") - F.col("before"))) < F.max("n") * tolerance).alias("done"))
+        if not left.where("NOT done").limit(1).count():
+            break
+    return ranks.select("q_idx", "work_id", "rank")
+
+
+def pagerank_cores(quarterly: DataFrame, partition: DataFrame, share: float = 0.1, by_joins: bool = False) -> DataFrame:
+    """(q_idx, community_id, work_id, rank): the ceil(share * size) members of highest PageRank in the quarter's graph, ties by id.
+
+    A quarter's graph is ranked in one task, which its edges must fit; by_joins ranks graphs of any size, in many rounds.
+    """
     kind = quarterly.schema["src"].dataType.simpleString()
 
     def rank(group: pd.DataFrame) -> pd.DataFrame:
@@ -73,7 +102,8 @@ def pagerank_cores(quarterly: DataFrame, partition: DataFrame, share: float = 0.
         pairs = np.unique(np.stack([a, b], axis=1), axis=0)
         return pd.DataFrame({"q_idx": group["q_idx"].iloc[0], "work_id": names, "rank": P.pagerank(pairs[:, 0], pairs[:, 1], len(names))})
 
-    ranked = quarterly.groupBy("q_idx").applyInPandas(rank, f"q_idx int, work_id {kind}, rank double").join(partition.select("q_idx", "work_id", "community_id"), ["q_idx", "work_id"])
+    ranks = pagerank_by_joins(quarterly) if by_joins else quarterly.groupBy("q_idx").applyInPandas(rank, f"q_idx int, work_id {kind}, rank double")
+    ranked = ranks.join(partition.select("q_idx", "work_id", "community_id"), ["q_idx", "work_id"])
     w = Window.partitionBy("q_idx", "community_id")
     placed = ranked.withColumns({"place": F.row_number().over(w.orderBy(F.desc(F.round("rank", 12)), "work_id")), "size": F.count(F.lit(1)).over(w)})
     return placed.where(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("size") * share))).select("q_idx", "community_id", "work_id", "rank")
