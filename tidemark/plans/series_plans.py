@@ -232,12 +232,26 @@ def d091_retrospective_inflections(spark: SparkSession, sf_dir: str) -> DataFram
     return D.retrospective_inflections(B.series(spark, sf_dir), ["lineage_id"])
 
 
-@query()
+@query(with_(SERIES).replace("WITH", "WITH RECURSIVE") + """, o AS (SELECT lineage_id, q_idx, new_works::DOUBLE AS x, row_number() OVER (PARTITION BY lineage_id ORDER BY q_idx) AS t FROM series),
+f AS (SELECT DISTINCT lineage_id, 0::BIGINT AS t, 0::INTEGER AS q_idx, [1.0::DOUBLE] AS m, [1.0::DOUBLE] AS a, [0.1::DOUBLE] AS b FROM o
+  UNION ALL SELECT lineage_id, t, q_idx, list_transform(m, lambda v: v / list_sum(m)), a, b FROM (
+    SELECT lineage_id, t, q_idx, list_concat([list_sum(g) * 0.02], list_transform(g, lambda v: v * 0.98))[1:41] AS m, list_concat([1.0::DOUBLE], list_transform(a, lambda v: v + x))[1:41] AS a, list_concat([0.1::DOUBLE], list_transform(b, lambda v: v + 1))[1:41] AS b FROM (
+      SELECT o.lineage_id, o.t, o.q_idx, o.x, a, b,
+        list_transform(range(1, len(m) + 1), lambda i: m[i] * exp(lgamma(o.x + a[i]) - lgamma(a[i]) - lgamma(o.x + 1) + a[i] * ln(b[i] / (b[i] + 1)) + o.x * ln(1 / (b[i] + 1)))) AS g
+      FROM f JOIN o ON o.lineage_id = f.lineage_id AND o.t = f.t + 1)))
+SELECT lineage_id, q_idx, round(list_sum(m[1:4]), 6) AS changepoint_prob, list_sum(m[1:4]) > 0.5 AS alert, (list_position(m, list_max(m)) - 1)::INTEGER AS run_length FROM f WHERE t > 0""")
 def d092_changepoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.changepoint_probabilities(B.series(spark, sf_dir), ["lineage_id"])
+    return D.changepoint_probabilities(B.series(spark, sf_dir), ["lineage_id"]).withColumn("changepoint_prob", F.round("changepoint_prob", 6))
 
 
-@query()
+@query(with_(SERIES).replace("WITH", "WITH RECURSIVE") + """, o AS (SELECT lineage_id, q_idx, new_works::DOUBLE AS x, row_number() OVER (PARTITION BY lineage_id ORDER BY q_idx) AS t FROM series),
+r AS (SELECT lineage_id, greatest(avg(x), 1e-9) AS mean, count(*) AS n FROM o GROUP BY 1), e AS (SELECT o.lineage_id, o.t, n, list_transform([1.0, 2.0, 4.0], lambda k: mean * k - x * ln(mean * k)) AS em FROM o JOIN r USING (lineage_id)),
+f AS (SELECT lineage_id, t, n, list_transform([1, 2, 3], lambda i: em[i] + (i - 1)) AS cost, [[0], [1], [2]] AS paths FROM e WHERE t = 1
+  UNION ALL SELECT lineage_id, t, n, list_transform([1, 2, 3], lambda j: list_min(th[j]) + em[j]), list_transform([1, 2, 3], lambda j: list_append(paths[list_position(th[j], list_min(th[j]))], j - 1)) FROM (
+    SELECT e.lineage_id, e.t, e.n, em, paths, list_transform([1, 2, 3], lambda j: list_transform([1, 2, 3], lambda i: cost[i] + abs(i - j))) AS th FROM f JOIN e ON e.lineage_id = f.lineage_id AND e.t = f.t + 1)),
+b AS (SELECT lineage_id, paths[list_position(cost, list_min(cost))] AS path FROM f WHERE t = n), s AS (SELECT o.lineage_id, q_idx, t, path[t] AS state FROM o JOIN b USING (lineage_id)),
+c AS (SELECT *, COALESCE(((state > 0) <> lag(state > 0) OVER (PARTITION BY lineage_id ORDER BY t))::INT, 0) AS turn FROM s), i AS (SELECT *, sum(turn) OVER (PARTITION BY lineage_id ORDER BY t) AS run FROM c)
+SELECT lineage_id, q_idx, state::INTEGER AS state, state > 0 AND count(*) OVER (PARTITION BY lineage_id, run) BETWEEN 3 AND 8 AS burst FROM i""")
 def d093_burst_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.burst_periods(B.series(spark, sf_dir), ["lineage_id"])
 
