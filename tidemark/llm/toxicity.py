@@ -38,7 +38,7 @@ THRESHOLD = 0.3
 SPACED = re.compile(r"(?<!\w)\w(?:\W\w){2,}(?!\w)")
 #: Arrow's regular expressions know no look-around, and only texts that match this can match SPACED.
 MAYBE_SPACED = r"[\pL\pN_][^\pL\pN_][\pL\pN_][^\pL\pN_][\pL\pN_]"
-PAIRS_AT_ONCE = 1 << 13
+PAIRS_AT_ONCE = 1 << 12
 
 
 class Landmarks:
@@ -49,6 +49,8 @@ class Landmarks:
         marked = ["^" + w[: WINDOW - 1] for w in words]
         letters = sorted(set("".join(marked)))
         self.code = {c: i + 1 for i, c in enumerate(letters)}  # 0: in no landmark
+        self.table = np.zeros(0x110000, dtype=np.uint8)  # landmarks have less than 255 different letters: LANDMARKS * WINDOW at most, and far fewer in words
+        self.table[[ord(c) for c in letters[:255]]] = np.arange(1, min(len(letters), 255) + 1)
         self.target = self._codes(marked)
         self.root = np.sqrt(kernel(self.target, self.target))
         self.held = self._held(self._counts(self.target))
@@ -60,8 +62,10 @@ class Landmarks:
 
     def _codes(self, marked: list[str]) -> np.ndarray:
         out = np.zeros((len(marked), WINDOW), dtype=np.uint8)
-        for i, m in enumerate(marked):
-            out[i, : len(m)] = [self.code.get(c, 0) for c in m]
+        size = np.array([len(m) for m in marked], dtype=np.int64)
+        row = np.repeat(np.arange(len(marked)), size)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        out[row, place] = self.table[np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         return out
 
     def _counts(self, codes: np.ndarray) -> np.ndarray:
@@ -124,23 +128,26 @@ def kernel(s: np.ndarray, t: np.ndarray, order: int = ORDER, decay: float = DECA
     Sums decay ** (letters spanned in s + letters spanned in t) over common subsequences of `order` letters. Code 0 matches
     nothing.
     """
-    n, width = t.shape
-    used = np.flatnonzero((s != 0).any(axis=0))
-    last = int(used[-1]) + 1 if len(used) else 0
-    far = np.flatnonzero((t != 0).any(axis=0))
-    width = int(far[-1]) + 1 if len(far) else 0
-    step = np.array([[decay ** (j - i) if j >= i else 0.0 for j in range(width)] for i in range(width)])
-    # before[q][:, j]: weight of common subsequences of q letters of s so far and the first j letters of t, up to the ends of both
-    before = [np.ones((n, width + 1))] + [np.zeros((n, width + 1)) for _ in range(order - 1)]
-    total = np.zeros(n)
-    for i in range(last):
-        same = (t[:, :width] == s[:, i : i + 1]) & (s[:, i : i + 1] != 0)
-        for q in range(order, 0, -1):
-            met = same * before[q - 1][:, :width] * decay**2
+    lengths = [int(used[-1]) + 1 if len(used := np.flatnonzero((x != 0).any(axis=0))) else 0 for x in (s, t)]
+    s, t = (np.ascontiguousarray(x[:, :n].T) for x, n in zip((s, t), lengths, strict=True))
+    width, n = t.shape
+    # before[q, j]: weight of common subsequences of q letters of s so far and the first j letters of t, up to the ends of both
+    before = np.zeros((order, width + 1, n))
+    before[0] = 1
+    total, same, open_, met = np.zeros(n), np.empty((width, n)), np.empty(n), np.empty(n)
+    for i, letter in enumerate(s):
+        np.multiply(t == letter, decay**2 * (letter != 0), out=same)
+        for q in range(min(order, i + 1), 0, -1):
             if q == order:
-                total += met.sum(axis=1)
-            else:
-                before[q][:, 1:] = decay * before[q][:, 1:] + met @ step
+                for j in range(q - 1, width):
+                    total += np.multiply(same[j], before[q - 1, j], out=met)
+                continue
+            open_[:] = 0
+            for j in range(q - 1, width):
+                open_ *= decay
+                open_ += np.multiply(same[j], before[q - 1, j], out=met)
+                before[q, j + 1] *= decay
+                before[q, j + 1] += open_
     return total
 
 
