@@ -85,6 +85,8 @@ def near_copies(seed, n=120):
 def test_ngram_components_match_brute_force(spark, width, similarity, monkeypatch):
     monkeypatch.setattr(ngram_join, "GROUP_MEMBERS", 8)  # so that groups, tiles and parts are several
     monkeypatch.setattr(ngram_join, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "TILE_MEMBERS", 6)
+    monkeypatch.setattr(ngram_join, "MATRIX_ROWS", 5)
     texts = near_copies(width)
     sets = {}
     for i, t in enumerate(texts):

@@ -31,8 +31,8 @@ from tidemark.llm.shared import column, drop_table, give_back, hash_shingles, ha
 #: Fixed size of the filter of possible signatures and nodes; when it fills up it only lets more rows through.
 FILTER_BITS = 27
 GROUP_MEMBERS, GROUP_SHINGLES, SUBGROUP = 256, 1 << 17, 8
-#: Members and queries of a tile that meet in one group.
-TILE_MEMBERS, QUERY_BLOCK = 128, 128
+#: Members and queries of a tile that meet in one group, and members whose rows of the matrix are held at once.
+TILE_MEMBERS, QUERY_BLOCK, MATRIX_ROWS = 1024, 512, 128
 
 
 def shingle_sets(block: list[bytes], width: int) -> list[np.ndarray]:
@@ -205,15 +205,20 @@ def document_nodes(docs: DataFrame, width: int, similarity: tuple[int, int], id_
 
 
 def qualifying_links(queries: list[np.ndarray], members: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(query, member) index arrays of the links den * |intersection| >= num * |union| between sorted distinct arrays.
+    """(query, member) index arrays of the links den * |intersection| >= num * |union| between sorted distinct arrays, MATRIX_ROWS members at a time."""
+    for at in range(0, len(members), MATRIX_ROWS):
+        for q, m in _matrix_links(queries, members[at : at + MATRIX_ROWS], num, den):
+            yield q, m + at
 
-    Members are ordered by least shingle and size, so that similar ones fall into the same subgroup. A row of the matrix is a
+
+def _matrix_links(queries: list[np.ndarray], members: list[np.ndarray], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members are ordered by least shingle and size, so that similar ones fall into the same subgroup. A row of the matrix is a
     subgroup's token union; a query opens the subgroup only if the row holds num/den of the query's shingles.
     """
     vocabulary = np.unique(np.concatenate(members))
     size = np.array([len(m) for m in members])
     order = np.lexsort((size, [m[0] for m in members]))
-    matrix = np.zeros((len(members), len(vocabulary)), dtype=np.float32)  # some 256 x 2 ** 17 cells at most
+    matrix = np.zeros((len(members), len(vocabulary)), dtype=np.float32)  # MATRIX_ROWS x GROUP_SHINGLES cells at most
     for row, i in enumerate(order):
         matrix[row, np.searchsorted(vocabulary, members[i])] = 1
     begins = np.arange(0, len(members), SUBGROUP)
