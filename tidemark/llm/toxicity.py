@@ -32,13 +32,13 @@ SUM_SCALE, SUM_WORDS = 5.0, 20
 TELLING, ROWS = 27.0, 5
 ORDER, DECAY, POWER, WINDOW = 4, 0.8, 3, 20
 #: Words whose values a worker keeps, and bytes of text that it reads at once.
-CACHE_WORDS, BYTES_AT_ONCE = 150_000, 1 << 20
+CACHE_WORDS, BYTES_AT_ONCE = 120_000, 1 << 20
 THRESHOLD = 0.3
 #: Single letters with one other sign between them.
 SPACED = re.compile(r"(?<!\w)\w(?:\W\w){2,}(?!\w)")
 #: Arrow's regular expressions know no look-around, and only texts that match this can match SPACED.
 MAYBE_SPACED = r"[\pL\pN_][^\pL\pN_][\pL\pN_][^\pL\pN_][\pL\pN_]"
-PAIRS_AT_ONCE = 1 << 12
+PAIRS_AT_ONCE, STRINGS_AT_ONCE = 1 << 12, 1 << 15
 
 
 class Landmarks:
@@ -207,8 +207,8 @@ class Reader:
             owner, index = owner[hit], index[hit]
             order = np.argsort(owner, kind="stable")
             owner, index = owner[order], index[order]
-            for at in range(0, len(owner), 1 << 17):
-                who, values = owner[at : at + (1 << 17)], self.values[index[at : at + (1 << 17)]]
+            for at in range(0, len(owner), STRINGS_AT_ONCE):
+                who, values = owner[at : at + STRINGS_AT_ONCE], self.values[index[at : at + STRINGS_AT_ONCE]]
                 starts = np.flatnonzero(np.diff(who, prepend=-1))
                 mine = first + who[starts]
                 out[mine, :width] = np.maximum(out[mine, :width], np.maximum.reduceat(values, starts, axis=0))
