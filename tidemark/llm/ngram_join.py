@@ -350,15 +350,15 @@ def _hopeful(sets: DataFrame, num: int, den: int) -> DataFrame:
 def _links_across(left: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b): links that join the components (root) of the rows (sig, node, root), whose signatures several components share.
 
-    Roots that share signatures make a clump, and the root with most nodes is its main one. Nodes lie in tiles of a bounded number
-    of members, those with the same least signature together. Every node but the main root's asks each tile that holds one of its
+    Roots that share signatures make a clump, and the root with most nodes is its main one. A clump's nodes lie in tiles of a bounded
+    number of members. Every node but the main root's asks each tile that holds one of its
     signatures under another root; a tile with many askers is opened in as many parts.
     """
     met = left.groupBy("sig").agg(F.min("root").alias("least"))
     clumps = connected_components(left.join(met, "sig").where("root > least").select(F.col("root").alias("a"), F.col("least").alias("b")).distinct())
-    nodes = left.groupBy("node").agg(F.first("root").alias("root"), F.min("sig").alias("kind"))
+    nodes = left.groupBy("node").agg(F.first("root").alias("root"))
     nodes = nodes.join(clumps.select(F.col("node").alias("root"), F.col("root").alias("clump")), "root", "left").withColumn("clump", F.coalesce("clump", "root"))
-    nodes = materialize(nodes.join(sets.select("node", F.size("tokens").alias("n")), "node"), "members")
+    nodes = materialize(nodes.join(sets.select("node", F.size("tokens").alias("n")), "node").withColumn("kind", F.col("clump")), "members")
     main = nodes.groupBy("clump", "root").count().groupBy("clump").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
     sizes = nodes.groupBy("kind").agg(F.greatest(F.ceil(F.count(F.lit(1)) / TILE_MEMBERS), F.ceil(F.sum("n") / GROUP_SHINGLES)).alias("tiles"))
     placed = nodes.join(main, "clump").join(sizes, "kind").select("node", "root", "kind", F.pmod(F.xxhash64("node"), "tiles").alias("tile"), (F.col("root") != F.col("main")).alias("asks"))
