@@ -14,6 +14,11 @@ from tidemark.operators import partitions as P
 from tidemark.sources.stages import dropped, written
 
 
+def _large(rows: DataFrame) -> DataFrame:
+    """rows, never to be broadcast: the optimiser's size of works exploded over quarters leaves out what the explode adds."""
+    return rows.hint("merge")
+
+
 def edges_by_quarter(edges: DataFrame, quarters: list[int]) -> DataFrame:
     """The cumulative graph of each asked quarter, as one table with the quarter as key."""
     at = F.filter(F.array(*[F.lit(q) for q in quarters]).cast("array<int>"), lambda q: q >= F.col("valid_from_q"))
@@ -113,7 +118,7 @@ def core_overlaps(cores: DataFrame, step: int = 1) -> DataFrame:
     """(q_idx, prev, curr, overlap, size_prev, size_curr) of cores `step` quarters apart that share works: one join for all quarters."""
     sizes = cores.groupBy("q_idx", "community_id").agg(F.count(F.lit(1)).alias("size"))
     before = cores.select((F.col("q_idx") + step).alias("q_idx"), F.col("community_id").alias("prev"), "work_id")
-    pairs = cores.select("q_idx", F.col("community_id").alias("curr"), "work_id").join(before, ["q_idx", "work_id"])
+    pairs = cores.select("q_idx", F.col("community_id").alias("curr"), "work_id").join(_large(before), ["q_idx", "work_id"])
     pairs = pairs.groupBy("q_idx", "prev", "curr").agg(F.count(F.lit(1)).alias("overlap"))
     pairs = pairs.join(sizes.select((F.col("q_idx") + step).alias("q_idx"), F.col("community_id").alias("prev"), F.col("size").alias("size_prev")), ["q_idx", "prev"])
     return pairs.join(sizes.select("q_idx", F.col("community_id").alias("curr"), F.col("size").alias("size_curr")), ["q_idx", "curr"])
