@@ -191,7 +191,7 @@ def core_overlap_summary(overlaps: DataFrame, registry: DataFrame, matches: Data
 def label_change_rate(assignments: DataFrame, step: int = 1) -> DataFrame:
     """Share of a lineage's works of a quarter that had another lineage `step` quarters before, among those that had one."""
     before = assignments.select("work_id", (F.col("q_idx") + step).alias("q_idx"), F.col("lineage_id").alias("before"))
-    joined = assignments.join(before, ["work_id", "q_idx"])
+    joined = assignments.join(_large(before), ["work_id", "q_idx"])
     return joined.groupBy("lineage_id", "q_idx").agg(F.count(F.lit(1)).alias("n_nodes"), F.avg((F.col("before") != F.col("lineage_id")).cast("double")).alias("change_rate"))
 
 
