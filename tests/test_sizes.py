@@ -5,7 +5,7 @@ import pytest
 from tidemark import catalog
 from tidemark.operators import communities
 
-SELF_JOINS = ["d025_core_matches", "d025_core_overlaps_all", "d026_overlap_events_all", "d027_lineages", "d029_core_overlap", "d030_label_change_all"]
+SELF_JOINS = ["d025_core_matches", "d025_core_overlaps_all", "d026_overlap_events_all", "d027_lineages", "d029_core_overlap", "d030_label_change_all", "d024_pagerank_cores"]
 
 
 class Asked(Exception):

@@ -108,7 +108,7 @@ def pagerank_cores(quarterly: DataFrame, partition: DataFrame, share: float = 0.
         return pd.DataFrame({"q_idx": group["q_idx"].iloc[0], "work_id": names, "rank": P.pagerank(pairs[:, 0], pairs[:, 1], len(names))})
 
     ranks = pagerank_by_joins(quarterly) if by_joins else quarterly.groupBy("q_idx").applyInPandas(rank, f"q_idx int, work_id {kind}, rank double")
-    ranked = ranks.join(partition.select("q_idx", "work_id", "community_id"), ["q_idx", "work_id"])
+    ranked = ranks.join(_large(partition.select("q_idx", "work_id", "community_id")), ["q_idx", "work_id"])
     w = Window.partitionBy("q_idx", "community_id")
     placed = ranked.withColumns({"place": F.row_number().over(w.orderBy(F.desc(F.round("rank", 12)), "work_id")), "size": F.count(F.lit(1)).over(w)})
     return placed.where(F.col("place") <= F.greatest(F.lit(1), F.ceil(F.col("size") * share))).select("q_idx", "community_id", "work_id", "rank")
