@@ -1,9 +1,12 @@
 """Plans and memory that have to hold at sizes which the test tables do not reach."""
 
+import tracemalloc
+
+import numpy as np
 import pytest
 
 from tidemark import catalog
-from tidemark.operators import communities
+from tidemark.operators import communities, partitions
 
 SELF_JOINS = ["d025_core_matches", "d025_core_overlaps_all", "d026_overlap_events_all", "d027_lineages", "d029_core_overlap", "d030_label_change_all", "d024_pagerank_cores"]
 
@@ -29,3 +32,14 @@ def test_exploded_works_are_not_broadcast(spark, sf_dir, monkeypatch, name):
     plan = frame._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join [" in line and "q_idx" in line and "work_id" in line]
     assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_memory_of_communities():
+    """A quarter's graph takes some 200 bytes an edge while it is clustered, not the dictionaries of its nodes."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 20_000, 30_000), rng.integers(0, 2_000, 30_000)
+    tracemalloc.start()
+    label = partitions.potts_communities(partitions.symmetric(a, b, np.ones(len(a)), 20_000), 0.05)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(label) == 20_000 and peak < 250 * len(a)
