@@ -5,7 +5,7 @@ import os
 import numpy as np
 from pyspark.sql import functions as F
 
-from tidemark.llm import ngram_join
+from tidemark.llm import line_dedup, ngram_join
 
 
 def shuffle_files(spark):
@@ -55,3 +55,17 @@ def test_a_shared_passage_does_not_make_a_candidate(spark):
     kept = {r.node for r in ngram_join._wanted_signatures(nodes, ngram_join.Bits(spark, sigs)).select("node").distinct().collect()}
     ids = {r.doc_id for r in nodes.collect() if r.node in kept}
     assert {0, 99} <= ids and len(ids) < 10
+
+
+def test_variants_of_lines_carry_no_document_keys(spark, monkeypatch):
+    """Some 2 n variants of a line of n words are sorted and shuffled: they are two numbers and a kind, whatever the ids are."""
+    seen, make = [], line_dedup._variant_rows
+    monkeypatch.setattr(line_dedup, "_variant_rows", lambda near: seen.append(make(near)) or seen[-1])
+    words = [f"w{i}" for i in range(12)]
+    rows = [("a" * 30, " ".join(words)), ("b" * 30, " ".join([*words[:5], "other", *words[6:]])), ("c" * 30, " \t\r\n" + " ".join(words[1:]) + "\n\n x")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id[0]: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {"a": (rows[0][1], 1, 0), "b": ("", 1, 1), "c": (" \t\r\n\n x", 2, 1)}
+    assert [f.dataType.simpleString() for f in seen[0].schema] == ["bigint", "bigint", "tinyint"]
+    same_place = spark.createDataFrame([(7, rows[0][1]), (7, rows[1][1])], "doc_id long, text string")
+    assert line_dedup.repeated_lines(same_place).collect() == []  # neither is earlier

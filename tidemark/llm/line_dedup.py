@@ -135,7 +135,7 @@ def _words_of(docs: DataFrame, text_col: str, wanted: Bits, words_per_edit: int)
         seen: set[int] = set()
         for batch in nonempty(batches):
             for _, _, words, bounds in _lines(batch):
-                h1 = line_keys(words, bounds)[0].view(np.int64)
+                h1 = Segments(words).hash(bounds[:-1], bounds[1:]).view(np.int64)
                 take = np.flatnonzero((np.diff(bounds) >= words_per_edit) & wanted.has(h1))
                 take = [i for i in take.tolist() if not (h1[i] in seen or seen.add(h1[i]))]
                 if take:
@@ -147,12 +147,12 @@ def _words_of(docs: DataFrame, text_col: str, wanted: Bits, words_per_edit: int)
 
 
 def _variant_rows(near: DataFrame) -> DataFrame:
-    """(line_id, doc_id, line_no, key, kind): kind 0 a whole line, 1 a variant, 2 a variant with its place and the line's length."""
+    """(pos, key, kind): kind 0 a whole line, 1 a variant, 2 a variant with its place and the line's length."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in nonempty(batches):
             keys, kinds, owners, held = [], [], [], 0
-            for i, words in enumerate(batch.column(3)):
+            for i, words in enumerate(batch.column(1)):
                 n = np.uint64(len(words))
                 for at, h in deletion_variants(words.values.to_numpy().view(np.uint64)):
                     if at < 0:
@@ -165,11 +165,10 @@ def _variant_rows(near: DataFrame) -> DataFrame:
                     held += len(kinds[-1])
                     if held > VARIANTS_AT_ONCE or at < 0 and i + 1 == batch.num_rows:
                         owner = pa.array(np.concatenate(owners))
-                        yield pa.RecordBatch.from_arrays([*[batch.column(c).take(owner) for c in range(3)], pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds))], ["line_id", "doc_id", "line_no", "key", "kind"])
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(kinds))], ["pos", "key", "kind"])
                         keys, kinds, owners, held = [], [], [], 0
 
-    source = near.select("line_id", "doc_id", "line_no", "words")
-    return source.mapInArrow(settled(emit), f"line_id long, doc_id {source.schema['doc_id'].dataType.simpleString()}, line_no int, key long, kind byte")
+    return near.select("pos", "words").mapInArrow(settled(emit), "pos long, key long, kind byte")
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
@@ -203,17 +202,17 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Of two lines of one h1 the earlier stands for both here: a collision of 64 bits hides no exact repeat.
     where = first.groupBy(F.col("h1").alias("line_id")).agg(F.min("first").alias("first"))
     words = _words_of(docs, text_col, Bits(spark, near), words_per_edit).dropDuplicates(["line_id"])
-    near = words.join(near, "line_id").join(where, "line_id").select("line_id", "first.doc_id", "first.line_no", "words")
-    near = materialize(near, "line-words")
+    near = words.join(near, "line_id").join(where, "line_id").select("first.doc_id", "first.line_no", "words")
+    # Numbers in the order of the lines: their minima need no sort, and the many variants carry no keys of documents.
+    near = materialize(near.orderBy("doc_id", "line_no").withColumn("pos", F.monotonically_increasing_id()), "line-words")
 
     rows = _variant_rows(near)
-    earliest = [F.min(F.when(F.col("kind") == k, F.struct("doc_id", "line_no", "line_id"))).alias(f"e{k}") for k in (0, 1, 2)]
+    earliest = [F.min(F.when(F.col("kind") == k, F.col("pos"))).alias(f"e{k}") for k in (0, 1, 2)]
     met = rows.groupBy("key").agg(*earliest, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     pairs = rows.join(met, "key").withColumn("other", F.when(F.col("kind") == 2, F.col("e2")).when(F.col("kind") == 1, F.col("e0")).otherwise(F.col("e1")))
-    earlier = F.struct("other.doc_id", "other.line_no") < at
-    pairs = pairs.where(F.col("other").isNotNull() & (F.col("other.line_id") != F.col("line_id")) & earlier)
-    pairs = pairs.select("line_id", F.col("other.line_id").alias("other_id")).distinct()
-    pairs = pairs.join(near, "line_id").join(near.select(F.col("line_id").alias("other_id"), F.col("words").alias("other_words")), "other_id")
+    pairs = pairs.where("other < pos").select("pos", "other").distinct()
+    others = near.select(F.col("pos").alias("other"), at.alias("other_at"), F.col("words").alias("other_words"))
+    pairs = pairs.join(near, "pos").join(others, "other").where(F.col("other_at") < at)  # rows of one id may share places
     # A line's own first occurrence goes; its later ones are exact repeats.
     repeated = materialize(exact.union(_verified(pairs)).distinct(), "line-repeats")
     for table in (places, first, near):
@@ -239,7 +238,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     untouched = gone.isNull() | F.col(text_col).isNull()
     text = F.when(untouched, F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
-    n_lines = F.size(F.filter(lines, lambda x: x.rlike("[^\\x20\\x09-\\x0D]")))
+    n_lines = F.regexp_count(text_col, F.lit("[^\\x20\\x09-\\x0D][^\\n]*"))
     columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
     counts = [F.when(F.col(text_col).isNull(), 0).otherwise(n_lines).cast("long").alias("n_lines"), F.coalesce(F.when(gone.isNotNull(), F.size(gone)), F.lit(0)).cast("long").alias("n_dropped")]
     return joined.select(*columns, *counts)
