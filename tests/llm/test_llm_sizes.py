@@ -1,6 +1,8 @@
 """What the operators leave on disk and pass on, where that decides how far they go."""
 
 import os
+import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -57,6 +59,43 @@ def test_a_shared_passage_does_not_make_a_candidate(spark):
     assert {0, 99} <= ids and len(ids) < 10
 
 
+def test_a_large_group_of_near_copies_asks_few_tiles(spark, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(200)]
+    texts = []
+    for i in range(400):  # one to three changed words each: most link with some copies, not with all
+        at = rng.sample(range(200), 1 + i % 3)
+        texts.append(" ".join(word() if j in at else w for j, w in enumerate(base)))
+    monkeypatch.setattr(ngram_join, "GROUP_MEMBERS", 8)
+    monkeypatch.setattr(ngram_join, "TILE_MEMBERS", 50)
+    routes, write = [], ngram_join.materialize
+
+    def counted(df, label, *more):
+        out = write(df, label, *more)
+        if label == "routes":
+            routes.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    found = ngram_join.ngram_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    main = Counter(r.component_id for r in found).most_common(1)[0][1]
+    assert main > 150
+    # Each node may ask one tile; all tiles only those that stay outside the main component.
+    assert sum(routes) <= 400 + (400 - main) * -(-400 // 50)
+
+
+def test_frequent_signatures_meet_no_tiles_one_by_one(spark):
+    """100 components of one clump share 40 signatures, in 5 tiles: routes come of the nodes, not of nodes x signatures x tiles."""
+    left = spark.range(4000).selectExpr("id % 40 AS sig", "id DIV 40 AS node", "id DIV 40 AS root")
+    placed = spark.range(100).selectExpr("id AS node", "id AS root", "0L AS kind", "id % 5 AS tile", "5L AS tiles", "id > 0 AS asks")
+    routes = ngram_join._routes(left, placed, False)
+    assert {(r.q_node, r.tile) for r in routes.collect()} == {(n, t) for n in range(1, 100) for t in range(5)} and routes.count() == 495
+    assert ngram_join._routes(left, placed, True).count() == 99
+    rare = spark.createDataFrame([(1, 1, 1), (1, 2, 2), (2, 2, 2), (2, 8, 8), (3, 3, 3), (3, 13, 13)], "sig long, node long, root long")
+    assert {(r.q_node, r.tile) for r in ngram_join._routes(rare, placed.where("node in (1, 2, 3, 8, 13)"), False).collect()} == {(1, 2), (2, 1), (2, 3), (8, 2), (3, 3), (13, 3)}
+
+
 def test_variants_of_lines_carry_no_document_keys(spark, monkeypatch):
     """Some 2 n variants of a line of n words are sorted and shuffled: they are two numbers and a kind, whatever the ids are."""
     seen, make = [], line_dedup._variant_rows
