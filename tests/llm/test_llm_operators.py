@@ -682,3 +682,13 @@ def test_bigram_counts():
     words, bounds = hash_words([b"A b a", b"", b"b"])
     single, pair = resampling.bucket_ngrams(words, bounds, 1 << 14)
     assert single[0] == single[2] and single[1] == single[3] and (pair < 0).tolist() == [False, False, True, True] and pair[0] != pair[1]
+
+
+def test_units_with_and_without_a_space_before_them():
+    encoder = token_orc.UnitEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    units = [" plain", "bare", " 's", " a,b", "x", " é7!", " Ġ", "Ġq", " don't"]
+    for some in (units, units[::-1], [u for u in units if u[0] == " "], [u for u in units if u[0] != " "], [*units, " two  spaces"]):
+        flat, sizes = encoder._ids(some)
+        want = [encoder.tokenizer.encode(u, add_special_tokens=False).ids for u in some]
+        assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+    assert encoder._spaced([" one", " two"])[1].tolist() == [1, 1] and encoder._spaced([" two  spaces"]) is None

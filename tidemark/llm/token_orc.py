@@ -31,7 +31,7 @@ class UnitEncoder:
     """Encodes texts with a tokenizers file, each distinct unit once while it is kept.
 
     A text is cut into units only where the pre-tokenizer always cuts, so the joined ids are those of the whole text. New
-    units are encoded in one call with line feeds between them; those with inner white space or the special token one by one.
+    units are encoded in one call, those without a space before them with line feeds between them; those with inner white space or the special token one by one.
     """
 
     def __init__(self, path: str):
@@ -41,6 +41,9 @@ class UnitEncoder:
         added = self.tokenizer.get_added_tokens_decoder()
         self.mark = next(t.content for _, t in sorted(added.items()) if t.special)
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that begin with a space
+        self.opens[[i for token, i in vocabulary.items() if token[0] == "\u0120"]] = True
         self.units = UnitTable(lambda new: self._ids([u[1:] if u[:1] == "\0" else " " + u for u in new]))
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -95,7 +98,17 @@ class UnitEncoder:
         """The ids of texts one after the other, and how many each has."""
         joined = "\n".join(texts)
         if joined.count("\n") == len(texts) - 1 and self.mark not in joined and not OTHER_SPACE.search(joined) and " " not in texts and "" not in texts:
-            return self._joined(joined)
+            spaced = np.array([t[0] == " " for t in texts])
+            if (got := self._spaced([t for t in texts if t[0] == " "])) is None:
+                return self._joined(joined)
+            if spaced.all():
+                return got
+            bare = self._joined("\n".join(t for t in texts if t[0] != " "))
+            sizes, starts = np.zeros((2, len(texts)), dtype=np.int64)
+            for mine, (flat, own), at in ((spaced, got, 0), (~spaced, bare, len(got[0]))):
+                sizes[mine], starts[mine] = own, at + np.cumsum(own) - own
+            ends = np.cumsum(sizes)
+            return np.concatenate([got[0], bare[0]])[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])], sizes
         apart = [i for i, t in enumerate(texts) if not t or t == " " or "\n" in t or " " in t[1:] or self.mark in t or OTHER_SPACE.search(t)]
         others = sorted(set(range(len(texts))) - set(apart))
         flat, sizes = self._joined("\n".join(texts[i] for i in others)) if others else (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
@@ -106,6 +119,13 @@ class UnitEncoder:
         ends = np.cumsum(sizes)
         return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
 
+    def _spaced(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """_joined for texts that each begin with a space, which needs nothing between them; None if one has another space that begins a token."""
+        joined = self.tokenizer.encode_batch_fast(["".join(texts)], add_special_tokens=False)[0].ids if texts else []
+        ids = np.array(joined, dtype=np.int32)
+        begins = np.flatnonzero(self.opens[ids])
+        return (ids, np.diff(begins, append=len(ids))) if len(begins) == len(texts) else None
+
     def _joined(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype=np.int32)
         breaks = np.flatnonzero(ids == self.feed)
