@@ -108,3 +108,28 @@ def test_variants_of_lines_carry_no_document_keys(spark, monkeypatch):
     assert [f.dataType.simpleString() for f in seen[0].schema] == ["bigint", "bigint", "tinyint"]
     same_place = spark.createDataFrame([(7, rows[0][1]), (7, rows[1][1])], "doc_id long, text string")
     assert line_dedup.repeated_lines(same_place).collect() == []  # neither is earlier
+
+
+def components_by(spark, monkeypatch, edges, at_once):
+    """Roots by node, and how often edges were written."""
+    written, write = [], ngram_join.materialize
+    with monkeypatch.context() as patch:
+        patch.setattr(ngram_join, "EDGES_AT_ONCE", at_once)
+        patch.setattr(ngram_join, "materialize", lambda df, label, *more: written.append(label) or write(df, label, *more))
+        found = ngram_join.connected_components(spark.createDataFrame(edges, "a long, b long").repartition(4)).collect()
+    return {r.node: r.root for r in found}, len(found), len(written)
+
+
+def test_few_edges_are_joined_without_rounds_of_shuffles(spark, monkeypatch):
+    rng = random.Random(9)
+    path = rng.sample(range(-400, 400), 800)
+    edges = list(zip(path[:500], path[1:501], strict=True)) + [(x, x) for x in path[500:510]]
+    edges += [(rng.choice(path[520:]), rng.choice(path[520:])) for _ in range(150)] * 2
+    trees = ngram_join.Forest()
+    for a, b in edges:
+        trees.join(a, b)
+    want = {x: trees.find(x) for e in edges for x in e if trees.find(x) != x}
+    for at_once in (1 << 20, 100):  # in one task, and by rounds
+        got, rows, written = components_by(spark, monkeypatch, edges, at_once)
+        assert got == want and rows == len(want)
+        assert written <= 2 or at_once == 100
