@@ -5,9 +5,10 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, ngram_join
+from tidemark.llm import line_dedup, ngram_join, toxicity
 
 
 def shuffle_files(spark):
@@ -133,3 +134,23 @@ def test_few_edges_are_joined_without_rounds_of_shuffles(spark, monkeypatch):
         got, rows, written = components_by(spark, monkeypatch, edges, at_once)
         assert got == want and rows == len(want)
         assert written <= 2 or at_once == 100
+
+
+def test_rare_words_do_not_push_out_frequent_ones(monkeypatch):
+    """Values of a worker's frequent words are computed twice at most, however many rare ones come between."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abdeilmnorstu") for _ in range(n))
+    landmarks, frequent = ["idiot", "moron", "disturbed"], [word(7) for _ in range(60)] + ["idiots", "m-o-r-o-n", "undisturbedmoronidiots"]
+    blocks = [pa.array([" ".join(frequent + [word(9) for _ in range(50)]), None, " i d i o t s " + word(8), ""]) for _ in range(20)]
+    want = [toxicity.Reader(landmarks).read(b) for b in blocks]
+    compared, compare = Counter(), toxicity.Landmarks.compare
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 100)
+    monkeypatch.setattr(toxicity.Landmarks, "compare", lambda self, words: compared.update(words) or compare(self, words))
+    reader = toxicity.Reader(landmarks)
+    assert all(np.array_equal(reader.read(b), w) for b, w in zip(blocks, want, strict=True))
+    assert len(reader.place) <= 100 and max(compared[w] for w in [*frequent, "idiots"]) <= 2
+    monkeypatch.setattr(toxicity, "MOST_ANEW", 200)  # a full store that is told to forget learns afresh
+    monkeypatch.setattr(toxicity, "CACHE_WORDS", 10)
+    reader = toxicity.Reader(landmarks)
+    assert all(np.array_equal(reader.read(b), w) and len(reader.place) <= 10 for b, w in zip(blocks, want, strict=True))
+    assert compared["idiots"] > 4

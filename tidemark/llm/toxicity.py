@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import Places, byte_slices, held, holding, nonempty
+from tidemark.llm.shared import byte_slices, held, holding, nonempty
 
 #: Labelled rows that the model is fitted on, at most: those of least hash.
 MOST_LABELLED = 8_000
@@ -31,8 +31,10 @@ SUM_SCALE, SUM_WORDS = 5.0, 20
 #: A landmark's log-likelihood ratio against chance, and toxic rows that hold it, at least.
 TELLING, ROWS = 27.0, 5
 ORDER, DECAY, POWER, WINDOW = 4, 0.8, 3, 20
-#: Words whose values a worker keeps, and bytes of text that it reads at once.
-CACHE_WORDS, BYTES_AT_ONCE = 120_000, 1 << 20
+#: Words whose values a worker keeps, words of one block that it knows again, and words it may read anew before it learns afresh.
+CACHE_WORDS, ONCE_WORDS, MOST_ANEW = 160_000, 150_000, 4_000_000
+#: Bytes of text that a worker reads at once.
+BYTES_AT_ONCE = 1 << 20
 THRESHOLD = 0.3
 #: Single letters with one other sign between them.
 SPACED = re.compile(r"(?<!\w)\w(?:\W\w){2,}(?!\w)")
@@ -52,6 +54,7 @@ class Landmarks:
         self.table = np.zeros(0x110000, dtype=np.uint8)  # landmarks have less than 255 different letters: LANDMARKS * WINDOW at most, and far fewer in words
         self.table[[ord(c) for c in letters[:255]]] = np.arange(1, min(len(letters), 255) + 1)
         self.target = self._codes(marked)
+        self.length = np.array([len(m) for m in marked], dtype=np.int16)
         self.root = np.sqrt(kernel(self.target, self.target))
         self.held = self._held(self._counts(self.target))
         # Bit j of reach[letter, landmark]: the landmark's j-th letter is this one.
@@ -98,23 +101,27 @@ class Landmarks:
 
     def compare(self, words: list[str]) -> np.ndarray:
         """The POWER-th power of the normalised kernel (words x landmarks), at most 1. Longer words count by their best window."""
-        owner, marked = [], []
-        for i, w in enumerate(words):
-            w = "^" + w
-            for at in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2):
+        marked, owner = ["^" + w for w in words], list(range(len(words)))
+        for i in np.flatnonzero(np.fromiter(map(len, marked), dtype=np.int64, count=len(marked)) > WINDOW).tolist():
+            w = marked[i]
+            marked[i] = w[:WINDOW]
+            for at in range(WINDOW // 2, len(w) - WINDOW // 2, WINDOW // 2):
                 owner.append(i)
                 marked.append(w[at : at + WINDOW])
+        owner = np.array(owner, dtype=np.int64)
         out = np.zeros((len(words), len(self.words)), dtype=np.float32)
         # Strings of like length together: the kernel's loops end at the longest of a block.
-        order = np.argsort([len(m) for m in marked], kind="stable")
+        order = np.argsort(np.fromiter(map(len, marked), dtype=np.int16, count=len(marked)), kind="stable")
         for first in range(0, len(marked), PAIRS_AT_ONCE):
             some = order[first : first + PAIRS_AT_ONCE]
             codes = self._codes([marked[i] for i in some.tolist()])
             string, mark = self._related(codes)
+            alike = np.argsort(self.length[mark], kind="stable")  # and landmarks of like length, for the same reason
+            string, mark = string[alike], mark[alike]
             rooted = np.zeros(len(codes))
             used = np.unique(string)
             rooted[used] = np.sqrt(kernel(codes[used], codes[used]))
-            mine = np.array(owner)[some]
+            mine = owner[some]
             for part in range(0, len(string), PAIRS_AT_ONCE):
                 s, m = string[part : part + PAIRS_AT_ONCE], mark[part : part + PAIRS_AT_ONCE]
                 value = (kernel(codes[s], self.target[m]) / (rooted[s] * self.root[m])) ** POWER
@@ -167,15 +174,49 @@ class ToxicityModel:
 
 
 class Reader:
-    """Landmark values of whole texts; keeps the values of words already seen."""
+    """Landmark values of whole texts; keeps the values of words that several blocks have.
+
+    A word is kept once a second block has it, up to CACHE_WORDS: most different words of a text are rare, and keeping those would
+    push out the frequent ones.
+    """
 
     def __init__(self, landmarks: list[str]):
         self.marks = Landmarks(landmarks)
         self._reset()
 
     def _reset(self) -> None:
-        self.place = Places()
-        self.values = np.zeros((0, len(self.marks.words)), dtype=np.float32)
+        self.place: dict[str, int] = {}
+        self.once: set[str] = set()
+        self.anew = 0
+        self.values = np.zeros((1, len(self.marks.words)), dtype=np.float32)
+
+    def _values(self, words: list[str]) -> np.ndarray:
+        """The landmark values of a block's words."""
+        if self.anew > MOST_ANEW:
+            self._reset()
+        known = np.fromiter((self.place.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        new = np.flatnonzero(known < 0)
+        out = self.values[known]
+        if len(new):
+            unknown = [words[i] for i in new.tolist()]
+            out[new] = self.marks.compare(unknown)
+            again = np.array([w in self.once for w in unknown])
+            kept = np.flatnonzero(again)[: CACHE_WORDS - len(self.place)]
+            first, size = len(self.place), len(self.place) + len(kept)
+            if size > len(self.values):
+                grown = np.zeros((max(size, min(2 * size, CACHE_WORDS)), out.shape[1]), dtype=np.float32)
+                grown[:first] = self.values[:first]
+                self.values = grown
+            self.values[first:size] = out[new[kept]]
+            self.place.update(zip((unknown[i] for i in kept.tolist()), range(first, size), strict=True))
+            if size < CACHE_WORDS:
+                if len(self.once) > ONCE_WORDS:
+                    self.once = set()
+                self.once.update(unknown)
+            else:
+                self.once = set()
+                self.anew += len(new)
+        return out
 
     @staticmethod
     def spelled(low: str) -> list[str]:
@@ -187,32 +228,29 @@ class Reader:
         width = len(self.marks.words)
         out = np.zeros((len(texts), 2 * width), dtype=np.float32)
         for first, block in byte_slices(texts, BYTES_AT_ONCE):
-            if len(self.place) > CACHE_WORDS:
-                self._reset()
             low = pc.utf8_lower(block)
             split = pc.utf8_split_whitespace(low)
             counted = split.values.dictionary_encode()
-            known = np.array([self.place[w] if w else -1 for w in counted.dictionary.to_pylist()], dtype=np.int64)
+            words = {w: i for i, w in enumerate(counted.dictionary.to_pylist())}
             owner = np.repeat(np.arange(len(block)), np.diff(split.offsets.to_numpy()))
-            index = known[counted.indices.to_numpy()]
-            owner, index = owner[index >= 0], index[index >= 0]  # white space at a text's ends gives empty strings
+            index = counted.indices.to_numpy()
+            if (blank := words.get("")) is not None:  # white space at a text's ends gives empty strings
+                owner, index = owner[index != blank], index[index != blank]
             for i in np.flatnonzero(pc.match_substring_regex(low, MAYBE_SPACED).to_numpy(zero_copy_only=False)).tolist():
-                more = [self.place[w] for w in self.spelled(low[i].as_py())]
-                owner, index = np.concatenate([owner, np.full(len(more), i)]), np.concatenate([index, np.array(more, dtype=np.int64)])
-            if self.place.new:
-                new, self.place.new = self.place.new, []
-                self.values = np.concatenate([self.values, self.marks.compare(new)])
+                if more := [words.setdefault(w, len(words)) for w in self.spelled(low[i].as_py())]:
+                    owner, index = np.concatenate([owner, np.full(len(more), i)]), np.concatenate([index, np.array(more, dtype=np.int64)])
+            values = self._values(list(words))
             number = np.bincount(owner, minlength=len(block))
-            hit = self.values.any(axis=1)[index]
+            hit = values.any(axis=1)[index]
             owner, index = owner[hit], index[hit]
             order = np.argsort(owner, kind="stable")
             owner, index = owner[order], index[order]
             for at in range(0, len(owner), STRINGS_AT_ONCE):
-                who, values = owner[at : at + STRINGS_AT_ONCE], self.values[index[at : at + STRINGS_AT_ONCE]]
+                who, each = owner[at : at + STRINGS_AT_ONCE], values[index[at : at + STRINGS_AT_ONCE]]
                 starts = np.flatnonzero(np.diff(who, prepend=-1))
                 mine = first + who[starts]
-                out[mine, :width] = np.maximum(out[mine, :width], np.maximum.reduceat(values, starts, axis=0))
-                out[mine, width:] += np.add.reduceat(values, starts, axis=0, dtype=np.float64)
+                out[mine, :width] = np.maximum(out[mine, :width], np.maximum.reduceat(each, starts, axis=0))
+                out[mine, width:] += np.add.reduceat(each, starts, axis=0, dtype=np.float64)
             out[first : first + len(block), width:] *= (SUM_SCALE / np.sqrt(number + SUM_WORDS))[:, None]
         return out
 
