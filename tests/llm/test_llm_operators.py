@@ -692,3 +692,19 @@ def test_units_with_and_without_a_space_before_them():
         want = [encoder.tokenizer.encode(u, add_special_tokens=False).ids for u in some]
         assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
     assert encoder._spaced([" one", " two"])[1].tolist() == [1, 1] and encoder._spaced([" two  spaces"]) is None
+
+
+def test_words_are_encoded_once_whatever_sign_follows(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng, encoder = random.Random(8), token_orc.UnitEncoder(path)
+    words = ["the", "don't", "dogs'", "l'été", "Straße", "x", "naïve", "1,000", "12", "a.b", "3×", "日本", "é", "🙂", "<|endoftext|", "<|endoftext|>", "a<|endoftext|>", "'", "''s", "ÿ", "÷", "ǆ", "​", "it's", "I'LL"]
+    tails = ["", ",", ".", "...", "***", "!?", "'", "',", ",'s", "'s,", ">", "|>", "#1", "§", "_", "-", '"', ")."]
+    texts = [" ".join(rng.choice(words) + rng.choice(tails) for _ in range(rng.randint(1, 12))) for _ in range(400)] + ["\n".join(rng.sample(words, 3)) + "," for _ in range(30)]
+    texts += [None, "", " ", ",", "a,", " a,", "a,  b.", "a,\tb.\n", "<|endoftext|>,", "a, "]
+    for some in (texts, [None, " "], [","], ["a\t"], []):
+        got = [ids[a:b].tolist() for ids, bounds in encoder.encode(pa.array(some, pa.string())) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+    learned, ids = [], token_orc.UnitEncoder._ids
+    monkeypatch.setattr(token_orc.UnitEncoder, "_ids", lambda self, units: learned.extend(units) or ids(self, units))
+    list(token_orc.UnitEncoder(path).encode(pa.array([f"word{a} word{b} word" for a in tails[1:6] for b in tails[1:6]])))
+    assert sorted(learned) == sorted([" word", "word", *tails[1:6]])
