@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -111,6 +112,15 @@ def test_variants_of_lines_carry_no_document_keys(spark, monkeypatch):
     assert line_dedup.repeated_lines(same_place).collect() == []  # neither is earlier
 
 
+def test_variants_of_lines_are_not_broadcast(spark, monkeypatch):
+    """The optimiser takes the variants to be as large as the lines they are made of."""
+    plans, write = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, label: plans.update({label: df._jdf.queryExecution().executedPlan().toString()}) or write(df, label))
+    line_dedup.repeated_lines(spark.createDataFrame([(1, "a b c"), (2, "a b c")], "doc_id long, text string"))
+    joins = re.findall(r"(\w+Join) \[(key|pos|h1)#", plans["line-repeats"])
+    assert sorted(joins) == [("SortMergeJoin", "h1"), ("SortMergeJoin", "key"), ("SortMergeJoin", "pos")]
+
+
 def components_by(spark, monkeypatch, edges, at_once):
     """Roots by node, and how often edges were written."""
     written, write = [], ngram_join.materialize

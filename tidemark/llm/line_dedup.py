@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.ngram_join import Bits
-from tidemark.llm.shared import column, drop_table, hash_lines, materialize, mix, nonempty, row_key, settled, text_blocks
+from tidemark.llm.shared import column, drop_table, hash_lines, large, materialize, mix, nonempty, row_key, settled, text_blocks
 
 #: A line may differ by one word for so many words of its own.
 WORDS_PER_EDIT = 10
@@ -194,7 +194,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = places.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
     first = materialize(first, "line-first")
     at = F.struct("doc_id", "line_no")
-    exact = places.select("doc_id", "line_no", "h1", "h2").join(first, ["h1", "h2"]).where(at > F.col("first")).select("doc_id", "line_no")
+    exact = places.select("doc_id", "line_no", "h1", "h2").join(large(first), ["h1", "h2"]).where(at > F.col("first")).select("doc_id", "line_no")
 
     halves = places.select(F.col("h1").alias("line_id"), F.explode("halves").alias("half"))
     common = halves.groupBy("half").agg(F.min("line_id").alias("lo"), F.max("line_id").alias("hi")).where("lo < hi").select("half")
@@ -209,10 +209,10 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _variant_rows(near)
     earliest = [F.min(F.when(F.col("kind") == k, F.col("pos"))).alias(f"e{k}") for k in (0, 1, 2)]
     met = rows.groupBy("key").agg(*earliest, F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    pairs = rows.join(met, "key").withColumn("other", F.when(F.col("kind") == 2, F.col("e2")).when(F.col("kind") == 1, F.col("e0")).otherwise(F.col("e1")))
+    pairs = large(rows).join(met, "key").withColumn("other", F.when(F.col("kind") == 2, F.col("e2")).when(F.col("kind") == 1, F.col("e0")).otherwise(F.col("e1")))
     pairs = pairs.where("other < pos").select("pos", "other").distinct()
     others = near.select(F.col("pos").alias("other"), at.alias("other_at"), F.col("words").alias("other_words"))
-    pairs = pairs.join(near, "pos").join(others, "other").where(F.col("other_at") < at)  # rows of one id may share places
+    pairs = large(pairs).join(near, "pos").join(others, "other").where(F.col("other_at") < at)  # rows of one id may share places
     # A line's own first occurrence goes; its later ones are exact repeats.
     repeated = materialize(exact.union(_verified(pairs)).distinct(), "line-repeats")
     for table in (places, first, near):
