@@ -121,6 +121,20 @@ def test_variants_of_lines_are_not_broadcast(spark, monkeypatch):
     assert sorted(joins) == [("SortMergeJoin", "h1"), ("SortMergeJoin", "key"), ("SortMergeJoin", "pos")]
 
 
+def test_a_part_of_the_signatures_is_on_disk_at_a_time(spark, monkeypatch):
+    """Signatures and shingles meet in passes, each of some of them, and stored signatures are gone before texts are read again."""
+    seen, write, drop = [], ngram_join.materialize, ngram_join.drop_table
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, label, *more: (out := write(df, label, *more), seen.append((label, out.collect() if label == "several" else None)))[0])
+    monkeypatch.setattr(ngram_join, "drop_table", lambda spark, df: seen.append(("drop", df.columns)) or drop(spark, df))
+    words = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:-2], "x"])), (3, "other words of one text"), (4, " ".join(words))]
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 1}
+    parts = [[r[0] for r in found] for label, found in seen if label == "several"]
+    assert len(parts) == 8 and all(len({h % 4 for h in part}) == 1 for part in parts)
+    assert any("sigs" in columns for label, columns in seen[: [label for label, _ in seen].index("near")] if label == "drop")
+
+
 def components_by(spark, monkeypatch, edges, at_once):
     """Roots by node, and how often edges were written."""
     written, write = [], ngram_join.materialize
