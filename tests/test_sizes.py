@@ -43,3 +43,20 @@ def test_memory_of_communities():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(label) == 20_000 and peak < 250 * len(a)
+
+
+def test_local_moves_make_no_arrays_for_each_node():
+    """A node is visited many times in 17 clusterings: arrays of a few numbers each would take most of the time."""
+    taken = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            taken.append(at)
+            return super().__getitem__(at)
+
+    rng = np.random.default_rng(4)
+    near = partitions.symmetric(rng.integers(0, 300, 900).astype(np.int32), rng.integers(0, 300, 900).astype(np.int32), np.ones(900), 300)
+    want = partitions._local_moves(near, np.ones(300), 0.1, np.random.default_rng(1))
+    near.to, near.weight = near.to.view(Counted), near.weight.view(Counted)
+    got = partitions._local_moves(near, np.ones(300), 0.1, np.random.default_rng(1))
+    assert np.array_equal(got, want) and len(np.unique(got)) < 300 and not taken
